@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import exact_dedup, line_dedup, media, packing, token_counts
+from weirflow.llm import exact_dedup, line_dedup, media, packing, token_counts, toxicity, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_line_dedup, op5_media_columns, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_line_dedup, op5_media_columns, op7_toxicity, op9_token_counts, op10_best_fit_packing)}
 
 ORACLES = {
     "op3_line_dedup": """
