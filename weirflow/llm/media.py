@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE = 8000
 FRAME = 576
@@ -92,7 +93,7 @@ def encode_wav(df: DataFrame, data_col: str, media_col: str = "media", rate: int
 
 def wav_fingerprints(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with ``fingerprints``, an array of (t, hash) in order of time, from a column of WAV files (null: null)."""
-    schema = df.schema.add("fingerprints", "array<struct<t:int,hash:int>>")
+    schema = T.StructType(df.schema.fields).add("fingerprints", T.ArrayType(T.StructType().add("t", "int").add("hash", "int")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

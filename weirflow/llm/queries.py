@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weirflow.llm import exact_dedup, line_dedup, media, packing, token_counts, toxicity, toxicity
+from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, packing, token_counts, toxicity, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' declared language stands for their markup's, their source for their host; they have no address."""
+    found = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language.*")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -19,6 +26,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
@@ -35,7 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_line_dedup, op5_media_columns, op7_toxicity, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_line_dedup, op4_mixing, op5_media_columns, op7_toxicity, op9_token_counts, op10_best_fit_packing)}
 
 ORACLES = {
     "op3_line_dedup": """
