@@ -5,7 +5,7 @@ label columns. Projected-gradient least squares then finds a rate for each docum
 expected tokens of each domain match its target. Everything is DataFrame operations; the driver holds one number a domain.
 
 The gradient is taken in the norm that weighs a document by its tokens, so a rate depends on what a document is, not on
-how long it is; momentum speeds the steps up.
+how long it is; momentum speeds the steps up. Rates are projected to between zero and MAX_RATE.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from weirflow.llm.common import drop_path, written
 
 BUCKETS = 2048
 #: Labelled documents that the classifier is fitted to at most, in the order of a hash.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 #: Words whose evidence counts in full; that of a longer text is scaled down to so many.
 FULL_WORDS = 50
-ROUNDS = 40
+#: Words' worth of the overall frequencies in those of a class.
+SMOOTHING = 2000.0
+#: No document is repeated more often.
+MAX_RATE = 8.0
+ROUNDS = 60
 TOLERANCE = 1e-4
 WRITE_EVERY = 8
 #: Target weights by (quality, toxic), an example of production values.
@@ -46,23 +50,27 @@ def tokens(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, sample_docs: int) -> list[tuple[list[float], float]]:
-    """For each label column a weight for each bucket and a prior log-odds, by naive Bayes on the sample."""
-    known = labels.groupBy(F.col(id_col).alias("label_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"y_{k}") for k, c in enumerate(label_cols)])
-    rows = docs.select(F.col(id_col).alias("doc_id"), buckets(F.col(text_col)).alias("b")).join(known, F.col("doc_id") == F.col("label_id"))
-    sample, path = written(rows.orderBy(F.xxhash64("doc_id")).limit(sample_docs), "mix-sample")
+    """For each label column a weight for each bucket and a prior log-odds, by multinomial naive Bayes on the sample."""
     ys = [f"y_{k}" for k in range(len(label_cols))]
-    totals = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
-    cells = sample.select(*ys, F.explode(F.array_distinct("b")).alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys])
-    found = {r["b"]: r for r in cells.collect()}  # at most BUCKETS rows
+    known = labels.groupBy(F.col(id_col).alias("label_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"y_{k}") for k, c in enumerate(label_cols)])
+    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)  # ids and labels only
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select(*ys, buckets(F.col(text_col)).alias("b"))
+    sample, path = written(rows, "mix-sample")
+    n_docs = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+    cells = sample.select(*ys, F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys])
+    found = cells.collect()  # at most BUCKETS rows
+    every = float(sum(r["n"] for r in found))
     out = []
     for y in ys:
-        n1 = float(totals[y] or 0)
-        n0 = float(totals["n"]) - n1
+        n1 = float(sum(r[y] or 0 for r in found))
+        n0 = every - n1
         weights = [0.0] * BUCKETS
-        for b, r in found.items():
-            a1, a0 = float(r[y] or 0), float(r["n"] - (r[y] or 0))
-            weights[b - 1] = math.log((a1 + 0.5) / (n1 + 1)) - math.log((a0 + 0.5) / (n0 + 1))
-        out.append((weights, math.log((n1 + 1) / (n0 + 1))))
+        for r in found:
+            a1 = float(r[y] or 0)
+            pooled = SMOOTHING * r["n"] / every
+            weights[r["b"] - 1] = math.log((a1 + pooled) / (n1 + SMOOTHING)) - math.log((r["n"] - a1 + pooled) / (n0 + SMOOTHING))
+        d1 = float(n_docs[y] or 0)
+        out.append((weights, math.log((d1 + 1) / (n_docs["n"] - d1 + 1))))
     drop_path(docs.sparkSession, path)
     return out
 
@@ -144,7 +152,7 @@ def stepped(df: DataFrame, ps: list[Column], pull: list[float], momentum: float)
     down = F.lit(0.0)
     for p, g in zip(ps, pull, strict=True):
         down = down + p * F.lit(g)
-    moved = df.withColumn("_m", F.greatest(F.lit(0.0), F.col("_y") - down))
+    moved = df.withColumn("_m", F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), F.col("_y") - down)))
     return moved.withColumn("_y", F.col("_m") + F.lit(momentum) * (F.col("_m") - F.col("_r"))).withColumn("_r", F.col("_m")).drop("_m")
 
 
