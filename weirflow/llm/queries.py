@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, token_counts, toxicity, toxicity
+from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_line_dedup, op4_mixing, op5_media_columns, op7_toxicity, op8_minhash_near_dedup, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_line_dedup, op4_mixing, op5_media_columns, op6_suffix_dedup, op7_toxicity, op8_minhash_near_dedup, op9_token_counts, op10_best_fit_packing)}
 
 ORACLES = {
     "op3_line_dedup": """
