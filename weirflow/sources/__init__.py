@@ -1,0 +1,213 @@
+"""Connections, readers and writers."""
+
+from __future__ import annotations
+
+import io
+import json
+import re
+import zipfile
+from dataclasses import dataclass, field
+from xml.etree import ElementTree
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Keywords of providers and connection strings, in the order in which they are tried.
+CONNECTORS = [
+    ("sap_hana", ("hana",)), ("sap_bw", ("sapbw", "sap bw", "saprfc")), ("salesforce", ("salesforce",)), ("oracle", ("oracle", "oraoledb", "msdaora")),
+    ("teradata", ("teradata", "tdoledb")), ("db2", ("db2", "ibmda")), ("mysql", ("mysql",)), ("postgresql", ("postgres", "pgsql", "npgsql")),
+    ("s3", ("s3://", "s3a://", "amazonaws")), ("gcs", ("gs://", "googleapis.com/storage")), ("bigquery", ("bigquery",)), ("rest", ("http://", "https://")),
+    ("excel", ("microsoft.ace.oledb", "excel")), ("odbc", ("odbc", "dsn=")), ("ado_net", ("sqlclient", ".net")), ("oledb", ("sqlncli", "sqloledb", "msoledbsql", "oledb")),
+]
+READ_FORMATS = {"s3": "parquet", "gcs": "parquet", "excel": "excel", "rest": "json"}
+
+
+def detect_connector(provider: str = "", connection_string: str = "") -> str:
+    """The kind of a connection, by the first rule that its provider or string meets; OLE DB if none does."""
+    text = f"{provider} {connection_string}".lower()
+    return next((kind for kind, words in CONNECTORS if any(w in text for w in words)), "oledb")
+
+
+@dataclass
+class Connection:
+    name: str
+    id: str = ""
+    kind: str = ""
+    connection_string: str = ""
+    provider: str = ""
+    server: str = ""
+    database: str = ""
+    url: str = ""
+    options: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def connector(self) -> str:
+        return self.kind or detect_connector(self.provider, self.connection_string)
+
+
+@dataclass
+class Registry:
+    """Connections by id or name, and the tables that stand in for databases: a table name leads to a path or a DataFrame."""
+
+    spark: SparkSession
+    connections: dict[str, Connection] = field(default_factory=dict)
+    tables: dict[str, str | DataFrame] = field(default_factory=dict)
+    warehouse: str = ""
+
+    def add(self, connection: Connection) -> None:
+        for key in (connection.name, connection.id):
+            if key:
+                self.connections[key.lower()] = connection
+
+    def connection(self, ref: str) -> Connection | None:
+        """By id or name; also by the name inside a reference such as Package.ConnectionManagers[x]."""
+        m = re.search(r"\[([^\]]+)\]", ref or "")
+        return self.connections.get((ref or "").lower()) or self.connections.get(m[1].lower() if m else "")
+
+    def table(self, name: str) -> DataFrame:
+        key = clean_name(name)
+        found = self.tables.get(key) if key in self.tables else self.tables.get(key.rpartition(".")[2])
+        if found is None:
+            return self.spark.table(key)
+        return self.spark.read.parquet(found) if isinstance(found, str) else found
+
+    def publish(self) -> None:
+        """Give every registered table a view, for SQL."""
+        for name in self.tables:
+            self.table(name).createOrReplaceTempView(clean_name(name).replace(".", "_"))
+
+    def sql(self, text: str, args: list | None = None) -> DataFrame:
+        self.publish()
+        return self.spark.sql(dialect(text, set(self.tables)), args=args or [])
+
+
+def clean_name(name: str) -> str:
+    return re.sub(r'[\[\]"`]', "", name).strip().lower()
+
+
+def dialect(sql: str, tables: set[str] | None = None) -> str:
+    """The few T-SQL forms that pass-through queries use, in Spark's dialect; what cannot be run raises."""
+    if re.match(r"\s*(EXEC|EXECUTE|DECLARE)\b", sql, re.I):
+        raise ValueError(f"needs a registered procedure: {sql.strip()[:60]}")
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    for k in range(0, len(parts), 2):
+        p = re.sub(r"\[([^\]]+)\]", r"`\1`", parts[k])
+        p = re.sub(r"(?:`?dbo`?\.)(`?\w+`?)", r"\1", p, flags=re.I)
+        p = re.sub(r"\bISNULL\s*\(", "coalesce(", p, flags=re.I)
+        p = re.sub(r"\bGETDATE\s*\(\s*\)", "current_timestamp()", p, flags=re.I)
+        parts[k] = re.sub(r"\bWITH\s*\(\s*NOLOCK\s*\)", "", p, flags=re.I)
+    out = "".join(parts)
+    if m := re.match(r"(\s*SELECT\s+)TOP\s*\(?\s*(\d+)\s*\)?\s+(.*)", out, re.I | re.S):
+        out = f"{m[1]}{m[3].rstrip().rstrip(';')} LIMIT {m[2]}"
+    return out
+
+
+def read_database(registry: Registry, connection: Connection | None, query: str | None = None, table: str | None = None) -> DataFrame:
+    """A query wins over a table. Without a JDBC url the registered tables stand in for the database."""
+    if not query and not table:
+        raise ValueError("a source needs a query or a table")
+    if connection and connection.url:
+        reader = registry.spark.read.format("jdbc").option("url", connection.url).options(**connection.options)
+        return reader.option("query", query).load() if query else reader.option("dbtable", table).load()
+    return registry.sql(query) if query else registry.table(table)
+
+
+def read_flat(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, delimiter: str = ",", quote: str = '"') -> DataFrame:
+    reader = spark.read.option("header", header).option("sep", delimiter).option("quote", quote)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str = "row", schema: T.StructType | str | None = None) -> DataFrame:
+    reader = spark.read.format("xml").option("rowTag", row_tag)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def change_table(name: str) -> str:
+    """The change table of a table: cdc.<schema>_<table>_CT, unless it is one already."""
+    key = clean_name(name)
+    return key if key.startswith("cdc.") else f"cdc.{key.replace('.', '_')}_ct"
+
+
+def read_cdc(registry: Registry, connection: Connection | None, table: str | None = None, query: str | None = None, low=None, high=None, lsn: str = "__$start_lsn") -> DataFrame:
+    from weirflow.operators.dimensions import lsn_range
+
+    rows = read_database(registry, connection, query, None if query else change_table(table or ""))
+    return lsn_range(rows, f"`{lsn}`", low, high)
+
+
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+
+
+def sheet_rows(data: bytes, sheet: str = "Sheet1") -> list[list[str | None]]:
+    """The cells of a workbook's sheet as texts, row by row from A1."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)]
+        k = names.index(sheet.rstrip("$")) + 1 if sheet.rstrip("$") in names else 1
+        out = []
+        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).findall("m:sheetData/m:row", _NS):
+            cells: list[str | None] = []
+            for c in row.findall("m:c", _NS):
+                at = 0
+                for ch in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
+                    at = at * 26 + ord(ch) - 64
+                cells += [None] * (at - len(cells))
+                v = c.find("m:v", _NS)
+                text = v.text if v is not None else "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) or None
+                cells[at - 1] = shared[int(text)] if c.get("t") == "s" else text
+            out.append(cells)
+        return out
+
+
+def read_excel(spark: SparkSession, path: str, schema: str, sheet: str = "Sheet1") -> DataFrame:
+    """Workbooks with a header row; a task reads each, values are cast to the schema and nulls where they cannot be."""
+    target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = target.names
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                rows = sheet_rows(content, sheet)
+                head = rows[0] if rows else []
+                body = [dict(zip(head, r + [None] * (len(head) - len(r)), strict=False)) for r in rows[1:]]
+                yield pd.DataFrame([[r.get(n) for n in names] for r in body], columns=names, dtype=object)
+
+    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+    return texts.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in target])
+
+
+def map_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rename columns to a destination's spelling where only case differs; others keep their names."""
+    wanted = {c.lower(): c for c in columns}
+    return df.select(*[F.col(f"`{c}`").alias(wanted.get(c.lower(), c)) for c in df.columns])
+
+
+def write_database(df: DataFrame, connection: Connection, table: str, batch_size: int = 10_000, mode: str = "append") -> None:
+    df.write.format("jdbc").option("url", connection.url).option("dbtable", table).option("batchsize", batch_size).options(**connection.options).mode(mode).save()
+
+
+def write_flat(df: DataFrame, path: str, header: bool = True, delimiter: str = ",") -> None:
+    df.write.mode("overwrite").option("header", header).option("sep", delimiter).csv(path)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
+    df.write.mode(mode).parquet(path)
+
+
+def manifest(table: str, connection: str, schema: T.StructType) -> str:
+    """A destination's description as JSON."""
+    columns = []
+    for f in schema:
+        d = f.dataType
+        number = isinstance(d, T.DecimalType)
+        columns.append({"name": f.name, "dataType": d.simpleString(), "length": f.metadata.get("length", 0), "precision": d.precision if number else 0, "scale": d.scale if number else 0})
+    return json.dumps({"table": table, "connectionRef": connection, "columns": columns})

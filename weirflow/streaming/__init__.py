@@ -1,0 +1,68 @@
+"""Change feeds as streams, and detection of streaming sources."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weirflow.operators.dimensions import cdc_apply
+
+# Words that give a streaming source away, and how sure each kind of sign is.
+SOURCE_WORDS = [("event_hub", ("eventhub", "servicebus.windows.net")), ("kafka", ("kafka", "bootstrap.servers")), ("mqtt", ("mqtt",)), ("service_bus", ("servicebus", "sb://"))]
+CONNECTION_CONFIDENCE, TASK_CONFIDENCE, CDC_CONFIDENCE = 0.9, 0.85, 0.95
+
+
+def detect_sources(connections: list[str], task_names: list[str]) -> list[tuple[str, str, float]]:
+    """(kind, where it shows, confidence) of the streaming sources that connection strings and task names tell of."""
+    found = []
+    for text in connections:
+        kind = next((k for k, words in SOURCE_WORDS if any(w in text.lower() for w in words)), None)
+        if kind:
+            found.append((kind, text, CONNECTION_CONFIDENCE))
+    for name in task_names:
+        if re.search(r"cdc|change.?data", name, re.I):
+            found.append(("cdc", name, CDC_CONFIDENCE))
+        elif re.search(r"stream|real.?time|event.?hub|kafka", name, re.I):
+            found.append(("custom", name, TASK_CONFIDENCE))
+    return found
+
+
+def readiness(found: list[tuple[str, str, float]]) -> float:
+    return round(sum(c for _, _, c in found) / len(found) * 100, 1) if found else 0.0
+
+
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, schema: T.StructType, operation: str = "__$operation"):
+    """Keep a table of current rows up to date with a stream of changes; the started query.
+
+    Each batch makes a version of the table in a folder named by the batch, from the version before it, so a batch that
+    is run again makes the same. A deleted row stays as a mark with its place in the order: late or repeated changes that
+    do not come after it are ignored. ``current`` reads the newest version.
+    """
+    state = T.StructType([*schema.fields, T.StructField("_deleted", T.BooleanType()), *[T.StructField(f"_at_{c}", stream.schema[c].dataType) for c in order]])
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(state).parquet(f"{target}/v{number - 1}") if number else spark.createDataFrame([], state)
+        seen = old.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*[f"_at_{c}" for c in order]).alias("_seen"))
+        match = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+        new = batch.join(seen, match, "left").filter(F.col("_seen").isNull() | (F.struct(*[F.col(c).alias(f"_at_{c}") for c in order]) > F.col("_seen")))
+        new = new.select(*batch.columns).withColumns({f"_at_{c}": F.col(c) for c in order})
+        out = cdc_apply(old.withColumn("_deleted", F.coalesce("_deleted", F.lit(False))), new, keys, order, operation, deleted="_deleted")
+        out.write.mode("overwrite").parquet(f"{target}/v{number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str, schema: T.StructType, last_batch: int) -> DataFrame:
+    return spark.read.parquet(f"{target}/v{last_batch}").filter("NOT _deleted").select(*schema.names)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str):
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
