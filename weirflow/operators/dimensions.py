@@ -59,8 +59,11 @@ def latest_change(changes: DataFrame, keys: list[str], order: list[str]) -> Data
     return top.select(*[F.col(c) if c in keys else F.col(f"_top.`{c}`").alias(c) for c in changes.columns])
 
 
-def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str], operation: str = "__$operation", deleted: str | None = None) -> DataFrame:
-    """The target after each key's last change: inserts and updates put the row, deletes take it (or flag it)."""
+def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str], operation: str = "__$operation", deleted: str | None = None, tombstones: bool = False) -> DataFrame:
+    """The target after each key's last change: inserts and updates put the row, deletes take it (or flag it).
+
+    With ``tombstones`` a delete of an unknown key leaves a flagged row, and all deletes put their own values.
+    """
     values = [c for c in target.columns if c not in keys and c != deleted]
     last = latest_change(changes.filter(F.col(f"`{operation}`") != 3), keys, order)
     gone = F.col(f"c.`{operation}`") == 1
@@ -70,8 +73,9 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], order: lis
         both = both.filter(F.coalesce(~gone, F.lit(True)))
         kept = has
     else:
-        both = both.filter(~(F.coalesce(gone, F.lit(False)) & F.col(f"t.{keys[0]}").isNull()))
-        kept = has & ~gone
+        if not tombstones:
+            both = both.filter(~(F.coalesce(gone, F.lit(False)) & F.col(f"t.{keys[0]}").isNull()))
+        kept = has if tombstones else has & ~gone
     out = [F.coalesce(f"t.{k}", f"c.{k}").alias(k) for k in keys]
     out += [F.when(kept, F.col(f"c.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in values]
     if deleted:

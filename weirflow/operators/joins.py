@@ -105,6 +105,6 @@ def _grams(n: int) -> Column:
 
 def term_extraction(df: DataFrame, column: str, min_frequency: int = 2, min_length: int = 2) -> DataFrame:
     """(term, frequency, documents) of the words of all texts."""
-    words = df.select(F.monotonically_increasing_id().alias("_row"), F.explode(text_words(F.col(column))).alias("term"))
-    counts = words.filter(F.length("term") >= min_length).groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), text_words(F.col(column)).alias("_w"))
+    counts = numbered.select("_row", F.explode("_w").alias("term")).filter(F.length("term") >= min_length).groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents")).filter(F.col("frequency") >= min_frequency)

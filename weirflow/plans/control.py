@@ -28,6 +28,11 @@ def evaluate(text: str, ctx: RunContext, registry: Registry):
     return row.select(compile_expression(text, row.schema, {k: v for k, v in ctx.variables.items() if isinstance(v, (str, int, float, bool)) or v is None or hasattr(v, "isoformat")}, ctx.now).alias("v")).first()["v"]
 
 
+def plain_name(file: str) -> str:
+    """A package's name without its extension and leading number, in lower case."""
+    return re.sub(r"^\d+[_\-. ]*", "", re.sub(r"\.dtsx$", "", file, flags=re.I)).lower()
+
+
 class Runner:
     def __init__(self, registry: Registry, ctx: RunContext | None = None, packages: dict[str, Package] | None = None):
         self.registry, self.ctx, self.packages = registry, ctx or RunContext(), packages or {}
@@ -124,8 +129,8 @@ class Runner:
                         ctx.variables[variable.strip()] = value
                 self.inner(task)
         elif task.type == "execute_package":
-            name = re.sub(r"^\d+[_\-. ]*", "", re.sub(r"\.dtsx$", "", task.properties.get("package", ""), flags=re.I))
-            child = next((p for k, p in self.packages.items() if re.sub(r"^\d+[_\-. ]*", "", k).lower() == name.lower()), None)
+            name = plain_name(task.properties.get("package", ""))
+            child = next((p for k, p in self.packages.items() if plain_name(k) == name), None)
             if child is None:
                 raise ValueError(f"unknown package {name}")
             inner = Runner(registry, RunContext(dict(ctx.variables), ctx.now, child.name), self.packages)

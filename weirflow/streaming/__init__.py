@@ -54,7 +54,7 @@ def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[s
         match = [F.col(k) == F.col(f"_k_{k}") for k in keys]
         new = batch.join(seen, match, "left").filter(F.col("_seen").isNull() | (F.struct(*[F.col(c).alias(f"_at_{c}") for c in order]) > F.col("_seen")))
         new = new.select(*batch.columns).withColumns({f"_at_{c}": F.col(c) for c in order})
-        out = cdc_apply(old.withColumn("_deleted", F.coalesce("_deleted", F.lit(False))), new, keys, order, operation, deleted="_deleted")
+        out = cdc_apply(old.withColumn("_deleted", F.coalesce("_deleted", F.lit(False))), new, keys, order, operation, deleted="_deleted", tombstones=True)
         out.write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
