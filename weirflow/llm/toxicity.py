@@ -39,7 +39,7 @@ SHOUT = re.compile(r"[^\W\d_]!{2,}")
 VOTERS = (*[f"list_{k}" for k in range(len(LISTS))], "two_abusive", "three_abusive", "addressed", "shouted", "any_list", "stem", "stems_2", "stems_4", "stems_8", "stem_share")
 
 #: Training documents that the classifier is fitted to at most, and the words it may know.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 MAX_WORDS = 1 << 15
 MIN_WORD_DOCS = 3
 THRESHOLD = 0.7
@@ -170,8 +170,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
 
     # The sample: labelled training documents in the order of a hash, at most sample_docs of them.
-    train = texts.filter("NOT held_out").join(known, F.col("doc_id") == F.col("label_id"))
-    chosen = train.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id")).limit(sample_docs)
+    held_label = F.crc32(F.col("label_id").cast("string").cast("binary")) % 3 == 1
+    ids = known.filter(~held_label).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)  # ids and labels only
+    chosen = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,17 +201,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if model is not None:
         words = [r["term"] for r in by_term.filter(F.col("n") >= MIN_WORD_DOCS).orderBy(F.desc("n"), "term").limit(MAX_WORDS).collect()]
         place = {w: k + len(VOTERS) for k, w in enumerate(words)}
-        rows, cols, seen = [], [], []
-        for k, r in enumerate(sample.join(voted, "doc_id").select("bits", "toxic", "terms").toLocalIterator()):
-            seen.append((r["bits"], r["toxic"]))
-            at = [j for j in range(len(VOTERS)) if r["bits"] >> j & 1] + [place[w] for w in r["terms"] if w in place]
-            rows += [k] * len(at)
-            cols += at
-        if seen:
-            target = model.posterior_of(*np.array(seen, int).T)
+        sent_place = spark.sparkContext.broadcast(place)
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known_terms = sent_place.value
+            for b in batches:
+                got = [[known_terms[w] for w in t if w in known_terms] for t in b.column("terms").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("bits"), b.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["bits", "toxic", "at"])
+
+        seen = sample.join(voted.distinct(), "doc_id").mapInArrow(number, "bits int, toxic int, at array<int>").orderBy("bits", "toxic", "at").toPandas()  # sample_docs rows
+        if len(seen):
+            target = model.posterior_of(seen["bits"].to_numpy(int), seen["toxic"].to_numpy(int))
+            bits = _bits(seen["bits"].to_numpy(int))
+            of_votes = np.nonzero(bits)
+            n_terms = seen["at"].map(len).to_numpy()
+            rows = np.concatenate([of_votes[0], np.repeat(np.arange(len(seen)), n_terms)]).astype(np.int32)
+            cols = np.concatenate([of_votes[1], *seen["at"].to_list()]).astype(np.int32)
             width = len(VOTERS) + len(words)
             l2 = np.concatenate([np.full(len(VOTERS), 1e-6), np.full(len(words), 1e-3)])
-            w, bias = fit_linear(np.array(rows, int), np.array(cols, int), len(target), width, target, l2)
+            w, bias = fit_linear(rows, cols, len(target), width, target, l2)
             voter_weights = w[: len(VOTERS)]
             vocabulary = {x: float(w[k]) for x, k in place.items() if abs(w[k]) > 1e-3}
     sent = spark.sparkContext.broadcast((vocabulary, bias, voter_weights))  # at most MAX_WORDS weights
