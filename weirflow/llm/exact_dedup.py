@@ -34,24 +34,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).withColumns({"len": F.octet_length("rest").cast("long"), "rid": F.monotonically_increasing_id()})
 
     def split(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-        """Count the groups that the next digit makes and give each row its new group; ``rest`` loses the digit."""
+        """Give each row the group that the next digit makes; ``rest`` loses the digit.
+
+        Only groups of two or more are written and joined, so the join's large side is the rows alone.
+        """
         digit = F.substring("rest", 1, width)
-        groups = (
+        groups, _ = written(
             rows.groupBy(*keys, digit.alias("digit"))
             .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("top"))
-            .select(*[F.col(k).alias(f"g_{k}") for k in keys], "digit", "n", "top")
+            .filter("n > 1")
+            .select(*[F.col(k).alias(f"g_{k}") for k in keys], "digit", "n", "top"),
+            "msd-groups",
         )
         same = digit == F.col("digit")
         for k in keys:
             same = same & (F.col(k) == F.col(f"g_{k}"))
-        return rows.join(groups, same).select(
+        single = F.col("n").isNull()
+        # Merged at every size: a broadcast would serve small inputs only.
+        return rows.join(groups.hint("merge"), same, "left").select(
             "doc_id",
             "rid",
             "len",
             "sha",
-            F.col("top.rid").alias("gid"),
-            F.col("top.doc_id").alias("keep_id"),
-            F.col("n").alias("group_size"),
+            F.when(single, F.col("rid")).otherwise(F.col("top.rid")).alias("gid"),
+            F.when(single, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+            F.coalesce("n", F.lit(1)).alias("group_size"),
             F.expr(f"substring(rest, {width + 1})").alias("rest"),
         )
 
