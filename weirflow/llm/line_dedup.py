@@ -240,14 +240,14 @@ def dropped_lines(state: LineState) -> DataFrame:
     maybe = _probe(state, state.refs)
     repeated = state.counts.filter(F.col("n_docs") >= state.min_docs).select("k1", "k2", "top_doc")
     lost = F.col("top_doc").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("top_doc"))
-    return maybe.join(repeated, ["k1", "k2"]).filter(lost).select("doc_id", "k1", "k2")
+    return maybe.join(repeated.hint("merge"), ["k1", "k2"]).filter(lost).select("doc_id", "k1", "k2")
 
 
 def clean(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Documents of the state without the lines they lose: doc_id, n_lines, n_dropped, kept_sha256 (and kept_text)."""
     import xxhash
 
-    lists = dropped_lines(state).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
+    lists = dropped_lines(state).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     both = texts.join(lists.withColumnRenamed("doc_id", "lost_id"), F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
     seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(SECOND_SEED))).first()[0] % (1 << 64)
