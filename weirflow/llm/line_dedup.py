@@ -146,11 +146,12 @@ def _refilter(state: LineState, refs: DataFrame, counts: DataFrame, moved: DataF
     shards = state.shards
     if shards and n <= shards * SHARD_LINES:
 
-        def update(_, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.loads(old["filter"].iloc[0])
+        def update(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            # A shard that held no line yet has no filter.
+            f = CuckooFilter.loads(old["filter"].iloc[0]) if len(old) else CuckooFilter.sized(SHARD_LINES + SHARD_LINES // 2)
             f.delete(keys["k2"][~keys["up"]].to_numpy())
             ok = f.insert(keys["k2"][keys["up"]].to_numpy())
-            return pd.DataFrame({"shard": [int(old["shard"].iloc[0])], "filter": [f.dumps() if ok else None]})
+            return pd.DataFrame({"shard": [int(key[0])], "filter": [f.dumps() if ok else None]})
 
         keyed = moved.withColumn("shard", _shard(shards))
         new = state.filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(update, "shard int, filter binary")

@@ -93,7 +93,7 @@ def encode_wav(df: DataFrame, data_col: str, media_col: str = "media", rate: int
 
 def wav_fingerprints(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with ``fingerprints``, an array of (t, hash) in order of time, from a column of WAV files (null: null)."""
-    schema = T.StructType(df.schema.fields).add("fingerprints", T.ArrayType(T.StructType().add("t", "int").add("hash", "int")))
+    schema = T.StructType(df.schema.fields).add("fingerprints", T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("hash", T.IntegerType())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,8 +28,9 @@ SMOOTHING = 2000.0
 #: No document is repeated more often.
 MAX_RATE = 8.0
 ROUNDS = 60
-TOLERANCE = 1e-4
-WRITE_EVERY = 8
+#: Tokens that a domain may be off its target, as a share of all tokens.
+TOLERANCE = 1e-3
+WRITE_EVERY = 4
 #: Target weights by (quality, toxic), an example of production values.
 TARGETS = {(1, 0): 0.80, (1, 1): 0.02, (0, 0): 0.16, (0, 1): 0.02}
 
@@ -54,7 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str,
     ys = [f"y_{k}" for k in range(len(label_cols))]
     known = labels.groupBy(F.col(id_col).alias("label_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"y_{k}") for k, c in enumerate(label_cols)])
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)  # ids and labels only
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select(*ys, buckets(F.col(text_col)).alias("b"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("label_id")).select(*ys, buckets(F.col("_text")).alias("b"))
     sample, path = written(rows, "mix-sample")
     n_docs = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     cells = sample.select(*ys, F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys])
@@ -91,7 +93,7 @@ def posteriors(docs: DataFrame, models: list[tuple[list[float], float]], text_co
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate.
+    """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate. One of that name is replaced.
 
     Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. A domain that no
     document can belong to is missed by as much. Null and empty texts count one token and have the prior's posterior.
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
     targets = targets or TARGETS
     domains = list(product((0, 1), repeat=len(label_cols)))
     models = fit(docs, labels, list(label_cols), id_col, text_col, sample_docs)
-    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
     base = docs.select(keep.alias("_doc"), buckets(F.col(text_col)).alias("_b"), tokens(F.col(text_col)).alias("_n"))
     logits = posteriors(base, models, text_col)
     base = base.withColumns({f"_q{k}": q for k, q in enumerate(logits)})
@@ -137,10 +139,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
                 drop_path(spark, path)
             path = newer
     # Each document goes through the same steps as its copy in the loop did.
-    out = start(scored)
-    for move in history:
-        out = stepped(out, ps, *move)
-    return out.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), F.col("_r").alias("rate")).alias("mix"))
+    return scored.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), replayed(ps, history).alias("rate")).alias("mix"))
+
+
+def replayed(ps: list[Column], history: list[tuple[list[float], float]]) -> Column:
+    """The rate after all steps."""
+    if not history:
+        return F.lit(1.0)
+    steps = F.array(*[F.struct(*[F.lit(g).alias(f"g{k}") for k, g in enumerate(pull)], F.lit(m).alias("m")) for pull, m in history])
+
+    def step(at: Column, h: Column) -> Column:
+        r = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), at["y"] - sum((p * h[f"g{k}"] for k, p in enumerate(ps)), F.lit(0.0))))
+        return F.struct(r.alias("r"), (r + h["m"] * (r - at["r"])).alias("y"))
+
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
 
 
 def start(df: DataFrame) -> DataFrame:
