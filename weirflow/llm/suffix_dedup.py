@@ -104,11 +104,13 @@ def common_prefixes(rows: np.ndarray, lengths: np.ndarray, order: np.ndarray) ->
 
 
 def bytes_matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values as rows of bytes, zeros after their ends, and their lengths; filled in blocks, so the index arrays stay small."""
     lengths = np.fromiter(map(len, values), np.int64, len(values))
     out = np.zeros((len(values), width), np.uint8)
-    flat = np.frombuffer(b"".join(values), np.uint8)
-    rows = np.repeat(np.arange(len(values)), lengths)
-    out[rows, np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)] = flat
+    for low in range(0, len(values), 1024):
+        part, n = values[low : low + 1024], lengths[low : low + 1024]
+        rows = np.repeat(np.arange(low, low + len(part)), n)
+        out[rows, np.arange(len(rows)) - np.repeat(n.cumsum() - n, n)] = np.frombuffer(b"".join(part), np.uint8)
     return out, lengths
 
 
@@ -243,6 +245,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at, twice = rows.column("at").to_numpy(), rows.column("twice").to_numpy(zero_copy_only=False)
         k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
         right, left = rows.column("right").to_pylist(), rows.column("left").to_pylist()
+        del own, rows, b, gone
         repeated, leads, edge = repeated_in_bucket(right, left, twice, width, gram)
         place = (at >> 20) + (at >> 10 & 1023)
         row, far, near = runs(repeated[:, ::-1])
