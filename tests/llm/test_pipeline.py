@@ -15,7 +15,7 @@ def test_stages(spark):
     assert {r.doc_id for r in two.select("doc_id").collect()} == {r.doc_id for r in exact_dedup.exact_dedup(one).filter("kept").collect()}
     assert two.count() == one.select("text").distinct().count()
     three = by_name["near_dedup"](spark, two, SF).cache()
-    near = brute_near([(r.doc_id, r.text) for r in two.select("doc_id", "text").collect()])
+    near = brute_near([(r.doc_id, r.text) for r in two.select("doc_id", "text").collect()], 80)
     assert {r.doc_id for r in three.select("doc_id").collect()} == {i for i, (_, c) in near.items() if c == i}
     four = by_name["mixing"](spark, three, SF).cache()
     assert four.columns == docs.columns and four.join(three, "doc_id", "left_anti").count() == 0

@@ -11,7 +11,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_near(docs):
+def brute_near(docs, percent=85):
     sets = {}
     for i, text in docs:
         w = WORDS.findall((text or "").translate(LOWER))
@@ -29,16 +29,16 @@ def brute_near(docs):
         for x in s:
             posting[x].append(i)
         for j, k in common.items():
-            if 100 * k >= 85 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def check_near(df):
+def check_near(df, percent=85):
     docs = {r.doc_id: r.text for r in df.select("doc_id", "text").collect() if r.doc_id is not None}
-    want = brute_near(docs.items())
-    for r in near_dedup.near_dedup(df).collect():
+    want = brute_near(docs.items(), percent)
+    for r in near_dedup.near_dedup(df, percent).collect():
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
@@ -67,11 +67,20 @@ def test_near_dedup_blocks(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 1500)
-    check_near(spark.createDataFrame(docs, "doc_id long, text string"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (85, 80):
+        check_near(df, percent)
+
+
+def test_bands_miss_few():
+    for percent in (85, 80, 70):
+        r = near_dedup.band_rows(percent)
+        assert near_dedup.HASHES % r == 0 and (1 - (percent / 100) ** r) ** (near_dedup.HASHES // r) <= 1e-6
+    assert near_dedup.band_rows(85) == 5
 
 
 def test_bayesian_bounds_are_careful():
-    steps = near_dedup.least_matches()
+    steps = near_dedup.least_matches(85)
     assert [k for k, _ in steps] == list(range(24, 121, 24))
     rng = np.random.default_rng(0)
     for k, least in steps:

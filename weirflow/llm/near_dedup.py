@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import connected_components, written
 
 WORDS = 5
-#: Links have 100 * common >= PERCENT * all shingles.
-PERCENT = 85
-BANDS, ROWS, BATCH = 24, 5, 24
-HASHES = BANDS * ROWS
-#: Chance that a similar pair is dropped on its signature.
-MISS = 1e-7
+#: Links have 100 * common >= percent * all shingles.
+PERCENT = 80
+HASHES, BATCH = 120, 24
+#: Chance that a similar pair is dropped on its signature, and that it shares no band.
+MISS, MISS_BANDS = 1e-7, 1e-6
 #: Classes of a bucket, and shingles of a cluster, in one block.
 BUCKET_BLOCK = 4096
 CLUSTER_BLOCK = 1 << 20
@@ -39,7 +38,7 @@ _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1 << 62, size=HASHES, dtype=np.uint64) * _U(2) + _U(1)
 _B = _RNG.integers(1 << 63, size=HASHES, dtype=np.uint64)
 _C = _RNG.integers(1 << 62, size=WORDS, dtype=np.uint64) * _U(2) + _U(1)
-_R = _RNG.integers(1 << 62, size=ROWS, dtype=np.uint64) * _U(2) + _U(1)
+_R = _RNG.integers(1 << 62, size=HASHES, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,6 +85,14 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return least
 
 
+def band_rows(percent: int = PERCENT) -> int:
+    """Hashes in a band: as many as leave a pair that is similar by ``percent`` some common band, but for MISS_BANDS."""
+    fits = [r for r in range(1, 9) if HASHES % r == 0 and (1 - (percent / 100) ** r) ** (HASHES // r) <= MISS_BANDS]
+    if not fits:
+        raise ValueError(f"{HASHES} hashes are too few for a similarity of {percent} percent")
+    return max(fits)
+
+
 @functools.cache
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
     """For each number of compared bytes the fewest matches at which a pair goes on.
@@ -127,9 +134,9 @@ class Joined:
         return [(int(ids[k]), int(ids[r])) for k in range(len(ids)) if (r := self.find(k)) != k]
 
 
-def surviving(sketch: np.ndarray, joined: Joined) -> None:
+def surviving(sketch: np.ndarray, joined: Joined, percent: int = PERCENT) -> None:
     """Join the rows whose signatures stay likely to be similar, comparing batch by batch."""
-    steps = least_matches()
+    steps = least_matches(percent)
     n = len(sketch)
     for low in range(0, n - 1, 32):
         rows = np.arange(low, min(low + 32, n - 1))
@@ -150,7 +157,7 @@ def surviving(sketch: np.ndarray, joined: Joined) -> None:
             joined.join(x, y)
 
 
-def confirmed(sets: list[np.ndarray], leader: int, joined: Joined) -> None:
+def confirmed(sets: list[np.ndarray], leader: int, joined: Joined, percent: int = PERCENT) -> None:
     """Join the rows whose full sets are similar enough; ``leader`` is compared first, then all that is not linked to it."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     ends = sizes.cumsum()
@@ -162,12 +169,12 @@ def confirmed(sets: list[np.ndarray], leader: int, joined: Joined) -> None:
     def links(x: int) -> np.ndarray:
         ids = which[ends[x] - sizes[x] : ends[x]]
         ids = ids[df[ids] > 1]
-        if 100 * len(ids) < PERCENT * sizes[x]:  # what it shares with anyone is too little
+        if 100 * len(ids) < percent * sizes[x]:  # what it shares with anyone is too little
             return np.zeros(0, np.int64)
         n = df[ids]
         at = np.repeat(begin[ids] - (n.cumsum() - n), n) + np.arange(n.sum())
         common = np.bincount(owner[at], minlength=len(sets))
-        near = np.flatnonzero(100 * common >= PERCENT * (sizes + sizes[x] - common))
+        near = np.flatnonzero(100 * common >= percent * (sizes + sizes[x] - common))
         return near[near != x]
 
     for y in links(leader).tolist():
@@ -218,8 +225,8 @@ def _blocked(df: DataFrame, key: str, blocks: str, node: str, everywhere=None) -
     return df.withColumn("_own", own).withColumn("_ij", F.explode(F.array_distinct(pairs))).withColumns({"i": F.col("_ij.i"), "j": F.col("_ij.j")}).drop("_own", "_ij").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Links are similar by ``percent`` or more.
 
     Null, empty and blank texts have no shingles and are linked with nothing; so are rows whose id is null, which are
     components of their own (component_id null, kept true). Rows that share an id are one document as far as links go.
@@ -227,6 +234,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n", "k1", "k2", "sketch", "bands"]
+    n_rows = band_rows(percent)
+    n_bands = HASHES // n_rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +249,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 if len(s):
                     sig = signature(s)
                     sketch.append((sig & _U(255)).astype(np.uint8).tobytes())
-                    bands.append(_mixed((sig.reshape(BANDS, ROWS) * _R).sum(1, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(_BASE)).view(np.int64))
+                    bands.append(_mixed((sig.reshape(n_bands, n_rows) * _R[:n_rows]).sum(1, dtype=_U) + np.arange(n_bands, dtype=_U) * _U(_BASE)).view(np.int64))
                 else:
                     sketch.append(None)
                     bands.append(None)
@@ -267,7 +276,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rep = g.column("rep").to_numpy()
             sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(rep), HASHES)
             joined = Joined(len(rep))
-            surviving(sketch, joined)
+            surviving(sketch, joined, percent)
             edges += joined.edges(rep)
             if len(edges) > 10_000:
                 yield _edge_batch(edges)
@@ -291,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rep = g.column("rep").to_numpy()
             leader = int(np.flatnonzero(rep == g.column("leader")[0].as_py())[0])
             joined = Joined(len(rep))
-            confirmed([shingles(t) for t in g.column("text").to_pylist()], leader, joined)
+            confirmed([shingles(t) for t in g.column("text").to_pylist()], leader, joined, percent)
             edges += joined.edges(rep)
             if len(edges) > 10_000:
                 yield _edge_batch(edges)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity, toxicity
+from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir))
+    return near_dedup.near_dedup(documents(spark, sf_dir), percent=85)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
