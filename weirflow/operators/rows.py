@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weirflow.functions import compile_expression
@@ -164,10 +164,11 @@ def aggregate(df: DataFrame, group_by: list[str], aggregations: list[tuple]) ->
 def sort(df: DataFrame, keys: list[tuple[str, str]], eliminate_duplicates: bool = False, limit: int | None = None) -> DataFrame:
     """Order by (column, asc or desc); of rows with equal keys one stays if asked, the first by all columns."""
     if eliminate_duplicates:
+        # A grouped minimum, so that a hot key is folded before the shuffle.
         names = [k for k, _ in keys]
-        rest = [F.col(c) for c in df.columns if c not in names]
-        first = Window.partitionBy(*names).orderBy(*(rest or [F.lit(0)]))
-        df = df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        rest = [c for c in df.columns if c not in names]
+        one = df.groupBy(*names).agg(F.min(F.struct(*rest)).alias("_top")) if rest else df.distinct()
+        df = one.select(*[F.col(f"_top.`{c}`").alias(c) if c in rest else F.col(c) for c in df.columns])
     df = df.orderBy(*[F.col(k).desc() if d.lower().startswith("desc") else F.col(k).asc() for k, d in keys])
     return df.limit(limit) if limit is not None else df
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from weirflow.functions import compile_expression
+from weirflow.operators.quality import profile
 from weirflow.operators.rows import RunContext
 from weirflow.plans.flow import fire, run_flow, topological
 from weirflow.plans.model import Constraint, Package, Task
@@ -136,6 +137,9 @@ class Runner:
             inner = Runner(registry, RunContext(dict(ctx.variables), ctx.now, child.name), self.packages)
             if "failed" in inner.run(child).values():
                 raise RuntimeError(f"package {name} failed")
+        elif task.type == "data_profiling":
+            table = task.properties["table"]
+            registry.tables[task.properties.get("output", f"{table}_profile")] = profile(registry.table(table))
         elif task.type == "file_system":
             file_system(task.properties.get("operation", ""), task.properties.get("source", ""), task.properties.get("target", ""))
         else:

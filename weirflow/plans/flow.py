@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,20 @@ from weirflow.sources import Registry
 Operator = Callable[[Component, dict[str, DataFrame], RunContext, Registry], dict[str, DataFrame]]
 OPERATORS: dict[str, Operator] = {}
 HOOKS: dict[str, list[Callable]] = {}
+SCRIPTS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_script(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """The function that a script component of this name stands for."""
+    SCRIPTS[name] = fn
+
+
+def discover(group: str = "weirflow.plugins") -> list[str]:
+    """Load the plugins that installed packages announce; each is called and registers what it has."""
+    found = entry_points(group=group)
+    for point in found:
+        point.load()()
+    return [point.name for point in found]
 
 
 def register_operator(kind: str, fn: Operator) -> None:
@@ -117,6 +132,24 @@ def _flat_source(c, inputs, ctx, registry):
     return {_name(c): sources.read_flat(registry.spark, path, StructType(c.columns) if c.columns else None)}
 
 
+@operator("excel_source")
+def _excel_source(c, inputs, ctx, registry):
+    from pyspark.sql.types import StructType
+
+    connection = registry.connection(c.connection)
+    text = c.properties.get("_file_path") or (connection.connection_string if connection else "")
+    named = re.search(r"Data Source=([^;]+)", text, re.I)
+    return {_name(c): sources.read_excel(registry.spark, named[1] if named else text, StructType(c.columns), c.properties.get("OpenRowset") or "Sheet1")}
+
+
+@operator("script")
+def _script(c, inputs, ctx, registry):
+    fn = SCRIPTS.get(c.name)
+    if fn is None:
+        raise ValueError(f"no function for script component {c.name}")
+    return {_name(c): rows.script_component(_one(inputs), fn)}
+
+
 @operator("raw_source")
 def _raw_source(c, inputs, ctx, registry):
     return {_name(c): sources.read_raw(registry.spark, c.properties["FileName"])}

@@ -140,6 +140,41 @@ def catalog_search(entries: DataFrame, query: str, tags: list[str] | None = None
     return out
 
 
+def policy_violations(entries: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(rule, severity, name) of the entries that break rules (rule, kind, pattern, severity).
+
+    Kinds: naming, where the whole name has to match; forbidden, where no text may; required_tag, where some tag has to begin so.
+    """
+    text = F.concat_ws(" ", "name", "description")
+    begins = lambda start: lambda tag: tag.startswith(start)
+    broken: list[Column] = []
+    for rule, kind, pattern, severity in rules:
+        if kind == "naming":
+            breaks = ~F.col("name").rlike(f"^(?:{pattern})$")
+        elif kind == "forbidden":
+            breaks = text.rlike(pattern)
+        elif kind == "required_tag":
+            breaks = ~F.exists("tags", begins(pattern))
+        else:
+            raise ValueError(f"unknown policy rule {kind}")
+        broken.append(F.when(breaks, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))))
+    found = entries.select("name", F.explode(F.array_compact(F.array(*broken))).alias("b"))
+    return found.select("b.rule", "b.severity", "name")
+
+
+# Hours by complexity, simplest first.
+EFFORT_HOURS = {"LOW": 0.5, "MEDIUM": 2.0, "HIGH": 8.0, "MANUAL": 16.0}
+
+
+def effort(tasks: DataFrame) -> DataFrame:
+    """(package_name, tasks, hours, complexity) from (package_name, complexity) of tasks; a package is as complex as its worst."""
+    names = F.array(*map(F.lit, EFFORT_HOURS))
+    rank = F.array_position(names, F.col("complexity")).cast("int")
+    hours = F.try_element_at(F.array(*map(F.lit, EFFORT_HOURS.values())), F.nullif(rank, F.lit(0)))
+    out = tasks.groupBy("package_name").agg(F.count(F.lit(1)).alias("tasks"), F.sum(hours).alias("hours"), F.max(rank).alias("_worst"))
+    return out.select("package_name", "tasks", "hours", F.try_element_at(names, F.nullif("_worst", F.lit(0))).alias("complexity"))
+
+
 def dependency_matrix(uses: DataFrame) -> DataFrame:
     """(left_name, right_name, shared): how many resources two packages have in common, from (package_name, resource)."""
     one = uses.select("package_name", "resource").distinct()

@@ -78,7 +78,7 @@ COMPONENTS = {
     "audit": "audit", "multicast": "multicast", "rowcount": "row_count", "oledbcommand": "oledb_command", "cdcsplitter": "cdc_split", "bdd": "balanced",
     "cache": "cache", "lookup": "lookup", "mergejoin": "merge_join", "merge": "merge", "unionall": "union_all", "sort": "sort", "aggregate": "aggregate",
     "pivot": "pivot", "unpivot": "unpivot", "percentagesampling": "percentage_sampling", "pctsampling": "percentage_sampling", "rowsampling": "row_sampling",
-    "fuzzylookup": "fuzzy_lookup", "fuzzygrouping": "fuzzy_grouping", "termlookup": "term_lookup", "termextraction": "term_extraction", "scd": "scd",
+    "scriptcomponent": "script", "scriptcomponenthost": "script", "fuzzylookup": "fuzzy_lookup", "fuzzygrouping": "fuzzy_grouping", "termlookup": "term_lookup", "termextraction": "term_extraction", "scd": "scd",
 }
 TASKS = {
     "pipeline": "data_flow", "executesqltask": "execute_sql", "executepackagetask": "execute_package", "expressiontask": "expression", "sequence": "sequence",

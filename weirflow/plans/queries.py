@@ -253,12 +253,12 @@ def lookup_cascading(spark, sf):
 
 
 def _joined(spark, sf, how):
-    left = t(spark, sf, "customer").filter("c_custkey % 3 <> 0")
-    right = t(spark, sf, "orders").filter("o_orderkey % 2 = 0")
-    return joins.merge_join(left, right, [("c_custkey", "o_custkey")], how, [("left", "c_custkey", "c_custkey"), ("right", "o_orderkey", "o_orderkey")])
+    """The orders' keys are shifted, so that both sides have rows that meet none."""
+    right = t(spark, sf, "orders").withColumn("key", F.col("o_custkey") + 10)
+    return joins.merge_join(t(spark, sf, "customer"), right, [("c_custkey", "key")], how, [("left", "c_custkey", "c_custkey"), ("right", "o_orderkey", "o_orderkey")])
 
 
-MERGE = "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) {how} JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON c_custkey = o_custkey"
+MERGE = "SELECT c_custkey, o_orderkey FROM customer {how} JOIN orders ON c_custkey = o_custkey + 10"
 
 
 @query(MERGE.format(how="INNER"))
@@ -277,7 +277,7 @@ def merge_join_full(spark, sf):
 
 
 FUZZY = """
-WITH a AS (SELECT c_custkey, reverse(c_name) AS name FROM customer WHERE c_custkey <= 300),
+WITH a AS (SELECT c_custkey, reverse(c_name) AS name FROM customer),
 b AS (SELECT DISTINCT reverse(s_name) AS name FROM supplier),
 s AS (SELECT c_custkey, b.name AS matched, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS sim
       FROM a JOIN b ON substr(a.name, 1, 1) = substr(b.name, 1, 1)),
@@ -287,7 +287,7 @@ SELECT c_custkey, matched, round(sim, 6) AS sim FROM r WHERE n = 1"""
 
 @query(FUZZY)
 def fuzzy_lookup_levenshtein(spark, sf):
-    a = t(spark, sf, "customer").filter("c_custkey <= 300").select("c_custkey", F.reverse("c_name").alias("name"))
+    a = t(spark, sf, "customer").select("c_custkey", F.reverse("c_name").alias("name"))
     b = t(spark, sf, "supplier").select(F.reverse("s_name").alias("s_name"))
     out = joins.fuzzy_lookup(a, b, "name", "s_name", "c_custkey", block=lambda c: F.left(c, F.lit(1)), min_similarity=0.4)
     return out.select("c_custkey", F.col("_match").alias("matched"), F.round("_similarity", 6).alias("sim"))
@@ -344,10 +344,11 @@ def agg_global(spark, sf):
     return rows.aggregate(t(spark, sf, "orders"), [], [("o_orderkey", "count_all", "n"), ("o_orderkey", "max", "last")])
 
 
-@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(sum(l_extendedprice)::DOUBLE, 1) AS price FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS price FROM lineitem GROUP BY ALL")
 def agg_multi_key(spark, sf):
-    out = rows.aggregate(t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [("l_orderkey", "count_all", "n"), ("l_extendedprice", "sum", "price")])
-    return out.select("l_returnflag", "l_linestatus", "l_linenumber", "n", d("price", 1))
+    exact = t(spark, sf, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice").cast("decimal(18,2)"))
+    out = rows.aggregate(exact, ["l_returnflag", "l_linestatus", "l_linenumber"], [("l_orderkey", "count_all", "n"), ("l_extendedprice", "sum", "price")])
+    return out.select("l_returnflag", "l_linestatus", "l_linenumber", "n", F.col("price").cast("double").alias("price"))
 
 
 # ---- order, union, reshape
@@ -439,16 +440,25 @@ def term_extraction(spark, sf):
 # ---- change tracking
 
 
+FAR = 1_000_000_000
+
+
+def _suppliers(spark, sf, key, segment: str):
+    """The suppliers as further members, under keys that no customer has."""
+    return t(spark, sf, "supplier").select(key.alias("c_custkey"), F.lit(segment).alias("c_mktsegment"), F.col("s_nationkey").alias("c_nationkey"))
+
+
 def _dimension(spark, sf):
-    return t(spark, sf, "customer").filter("c_custkey % 5 <> 0").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return t(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").unionByName(_suppliers(spark, sf, F.col("s_suppkey") + FAR, "GONE"))
 
 
 def _load(spark, sf):
     changed = F.when(F.col("c_custkey") % 7 == 0, "CHANGED").otherwise(F.col("c_mktsegment"))
-    return t(spark, sf, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", changed.alias("c_mktsegment"), "c_nationkey")
+    return t(spark, sf, "customer").select("c_custkey", changed.alias("c_mktsegment"), "c_nationkey").unionByName(_suppliers(spark, sf, -1 - F.col("s_suppkey"), "FRESH"))
 
 
-DIM = "d AS (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 5 <> 0), s AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0)"
+DIM = f"""d AS (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer UNION ALL SELECT s_suppkey + {FAR}, 'GONE', s_nationkey FROM supplier),
+s AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer UNION ALL SELECT -1 - s_suppkey, 'FRESH', s_nationkey FROM supplier)"""
 
 
 @query(f"WITH {DIM} SELECT c_custkey, coalesce(s.c_mktsegment, d.c_mktsegment) AS c_mktsegment, coalesce(s.c_nationkey, d.c_nationkey) AS c_nationkey FROM s FULL JOIN d USING (c_custkey)")
@@ -479,7 +489,7 @@ def cdc_split(spark, sf):
 
 
 CDC = """
-WITH t AS (SELECT DISTINCT user_id, 0.0::DOUBLE AS value, 'old' AS event_type FROM events WHERE user_id % 2 = 0 UNION ALL SELECT -1, 0.0::DOUBLE, 'old'),
+WITH t AS (SELECT DISTINCT user_id + 5 AS user_id, 0.0::DOUBLE AS value, 'old' AS event_type FROM events),
 c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 4 <> 3),
 l AS (SELECT user_id, round(value, 2) AS value, event_type, event_id % 4 AS op FROM c WHERE n = 1)
 SELECT coalesce(t.user_id, l.user_id) AS user_id, CASE WHEN l.op IS NOT NULL THEN l.value ELSE t.value END AS value,
@@ -489,8 +499,7 @@ FROM t FULL JOIN l ON t.user_id = l.user_id WHERE l.op IS DISTINCT FROM 2"""
 
 @query(CDC)
 def cdc_apply(spark, sf):
-    users = t(spark, sf, "events").filter("user_id % 2 = 0").select("user_id").distinct()
-    users = users.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id")))
+    users = t(spark, sf, "events").select((F.col("user_id") + 5).alias("user_id")).distinct()
     target = users.select("user_id", F.lit(0.0).alias("value"), F.lit("old").alias("event_type"))
     return dimensions.cdc_apply(target, _changes(spark, sf), ["user_id"], ["__$start_lsn"])
 
@@ -500,22 +509,21 @@ def incremental_watermark(spark, sf):
     return dimensions.incremental(t(spark, sf, "events"), "event_id", 5000)[0].select("event_id", "user_id")
 
 
-@query("SELECT max(event_id) AS watermark FROM events WHERE event_id > 5000")
+@query("SELECT coalesce(max(event_id), 5000) AS watermark FROM events WHERE event_id > 5000")
 def incremental_next_mark(spark, sf):
     return dimensions.incremental(t(spark, sf, "events"), "event_id", 5000)[1]
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@query("SELECT c_custkey, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def oledb_command_update(spark, sf):
     target = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    given = target.filter("c_custkey % 10 = 0").select(F.lit("NEW").alias("segment"), F.col("c_custkey").alias("id"))
-    return dimensions.oledb_command(target, given, "UPDATE dbo.customer SET c_mktsegment = ? WHERE c_custkey = ?", ["segment", "id"])
+    return dimensions.oledb_command(target, t(spark, sf, "orders"), "UPDATE dbo.customer SET c_mktsegment = ? WHERE c_custkey = ?", ["o_orderpriority", "o_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def oledb_command_delete(spark, sf):
     target = t(spark, sf, "customer").select("c_custkey")
-    return dimensions.oledb_command(target, target.filter("c_custkey % 10 = 0"), "DELETE FROM customer WHERE c_custkey = ?", ["c_custkey"])
+    return dimensions.oledb_command(target, t(spark, sf, "supplier"), "DELETE FROM customer WHERE c_custkey = ?", ["s_suppkey"])
 
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT -1, 'Unknown'")
@@ -731,9 +739,15 @@ def dq_regex(spark, sf):
     return quality.rule(t(spark, sf, "customer"), "regex", "c_name", pattern=".*[02468]$")
 
 
-@query(RULE.format(kind="referential", column="o_custkey", count="count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))", table="orders"))
+@query(RULE.format(kind="referential", column="o_custkey", count="count(*) FILTER (o_custkey NOT IN (SELECT c_custkey + 10 FROM customer))", table="orders"))
 def dq_referential(spark, sf):
-    return quality.rule(t(spark, sf, "orders"), "referential", "o_custkey", ref=t(spark, sf, "customer").filter("c_custkey % 2 = 0"), ref_column="c_custkey")
+    ref = t(spark, sf, "customer").select((F.col("c_custkey") + 10).alias("key"))
+    return quality.rule(t(spark, sf, "orders"), "referential", "o_custkey", ref=ref, ref_column="key")
+
+
+@query(RULE.format(kind="custom", column="o_totalprice", count="count(*) FILTER (NOT (o_totalprice > 1000 OR o_orderstatus = 'F'))", table="orders"))
+def dq_custom(spark, sf):
+    return quality.rule(t(spark, sf, "orders"), "custom", "o_totalprice", condition=(F.col("o_totalprice") > 1000) | (F.col("o_orderstatus") == "F"))
 
 
 @query("SELECT 37.0::DOUBLE AS score, 'CRITICAL' AS level")
@@ -750,17 +764,22 @@ def schema_drift(spark, sf):
 
 
 def _pair(spark, sf):
-    source = t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    target = source.filter("c_custkey % 11 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 13 == 0, "other").otherwise(F.col("c_name")))
-    return source, target
+    """Customers on both sides, some with other names; suppliers in the source alone, nations in the target alone."""
+    both = t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    renamed = F.when(F.col("c_custkey") % 13 == 0, "other").otherwise(F.col("c_name"))
+    missing = t(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("-").alias("c_mktsegment"))
+    extra = t(spark, sf, "nation").select((F.col("n_nationkey").cast("long") + FAR).alias("c_custkey"), F.col("n_name").alias("c_name"), F.lit("-").alias("c_mktsegment"))
+    return both.unionByName(missing), both.withColumn("c_name", renamed).unionByName(extra)
 
 
-@query("SELECT count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 13 <> 0) AS matched, count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 13 = 0) AS mismatched, count(*) FILTER (c_custkey % 11 = 0) AS missing, 0::BIGINT AS extra, round(count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 13 <> 0) / count(*), 4) AS match_rate, false AS passed FROM customer")
+@query("""SELECT matched, mismatched, missing, extra, round(matched / (matched + mismatched + missing), 4) AS match_rate, false AS passed
+FROM (SELECT count(*) FILTER (c_custkey % 13 <> 0) AS matched, count(*) FILTER (c_custkey % 13 = 0) AS mismatched FROM customer),
+(SELECT count(*) AS missing FROM supplier), (SELECT count(*) AS extra FROM nation)""")
 def record_compare(spark, sf):
     return quality.compare_records(*_pair(spark, sf), ["c_custkey"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'missing' ELSE 'mismatched' END AS kind FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 13 = 0")
+@query(f"SELECT c_custkey, 'mismatched' AS kind FROM customer WHERE c_custkey % 13 = 0 UNION ALL SELECT -1 - s_suppkey, 'missing' FROM supplier UNION ALL SELECT n_nationkey::BIGINT + {FAR}, 'extra' FROM nation")
 def record_mismatches(spark, sf):
     return quality.mismatches(*_pair(spark, sf), ["c_custkey"])
 
@@ -778,7 +797,9 @@ def golden_compare(spark, sf):
     return quality.compare_records(df, quality.load_golden(spark, path, "nation")[0], ["n_nationkey"])
 
 
-@query("SELECT count(*) AS source_rows, count(*) FILTER (c_custkey % 11 <> 0) AS target_rows, count(*) FILTER (c_custkey % 11 <> 0 AND c_custkey % 13 = 0) AS different_values, false AS rows_ok, true AS columns_ok FROM customer")
+@query("""SELECT n + missing AS source_rows, n + extra AS target_rows, different_values, missing = extra AS rows_ok, true AS columns_ok
+FROM (SELECT count(*) AS n, count(*) FILTER (c_custkey % 13 = 0) AS different_values FROM customer),
+(SELECT count(*) AS missing FROM supplier), (SELECT count(*) AS extra FROM nation)""")
 def data_consistency(spark, sf):
     return quality.consistency(*_pair(spark, sf), ["c_custkey"])
 
@@ -839,6 +860,18 @@ def shared_flows(spark, sf):
     return metadata.shared_flows(_results(spark, [("a", "Load Customers"), ("b", "load_customers"), ("b", "Other")], "package_name string, component string"))
 
 
+@query("SELECT * FROM (VALUES ('prefix', 'warning', 'orders'), ('no secrets', 'error', 'load_x'), ('owner', 'error', 'orders')) AS v(rule, severity, name)")
+def policy_check(spark, sf):
+    entries = _results(spark, [("orders", "table", "Sales orders", ["sales"]), ("load_x", "package", "uses password=1", ["owner:a"])], "name string, kind string, description string, tags array<string>")
+    rules = [("prefix", "naming", "load_.*", "warning"), ("no secrets", "forbidden", "password\\s*=", "error"), ("owner", "required_tag", "owner:", "error")]
+    return metadata.policy_violations(entries, rules)
+
+
+@query("SELECT * FROM (VALUES ('a', 3::BIGINT, 18.5::DOUBLE, 'MANUAL'), ('b', 1::BIGINT, 8.0::DOUBLE, 'HIGH')) AS v(package_name, tasks, hours, complexity)")
+def effort_estimate(spark, sf):
+    return metadata.effort(_results(spark, [("a", "LOW"), ("a", "MEDIUM"), ("a", "MANUAL"), ("b", "HIGH")], "package_name string, complexity string"))
+
+
 @query("SELECT * FROM (VALUES (0, 'a'), (0, 'b'), (1, 'c'), (2, 'd')) AS v(level, task)")
 def parallel_levels(spark, sf):
     out = [(k, n) for k, names in enumerate(levels(["a", "b", "c", "d"], [("a", "c"), ("b", "c"), ("c", "d")])) for n in names]

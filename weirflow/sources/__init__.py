@@ -73,9 +73,9 @@ class Registry:
         return self.spark.read.parquet(found) if isinstance(found, str) else found
 
     def publish(self) -> None:
-        """Give every registered table a view, for SQL."""
+        """Give every registered table a view, for SQL; the schema dbo has no name of its own there."""
         for name in self.tables:
-            self.table(name).createOrReplaceTempView(clean_name(name).replace(".", "_"))
+            self.table(name).createOrReplaceTempView(clean_name(name).removeprefix("dbo.").replace(".", "_"))
 
     def sql(self, text: str, args: list | None = None) -> DataFrame:
         self.publish()
