@@ -2,17 +2,21 @@
 
 A classifier trained on the labelled table gives every document a posterior over domains, the combinations of the binary
 label columns. Projected-gradient least squares then finds a rate for each document, zero or more, at which the
-expected tokens of each domain match its target. Everything is DataFrame operations; the driver holds one number a domain.
+expected tokens of each domain match its target. Everything is DataFrame operations; the driver holds a matrix of domains.
 
 The gradient is taken in the norm that weighs a document by its tokens, so a rate depends on what a document is, not on
-how long it is; momentum speeds the steps up. Rates are projected to between zero and MAX_RATE.
+how long it is. Errors are measured by the inverse of the domains' curvature, that of the documents whose rate is not
+zero as long as this halves the loss, else that of all with momentum. Rates are projected to zero or more and have no
+upper bound: a scarce domain's documents are repeated as often as its target needs.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +29,16 @@ SAMPLE_DOCS = 10_000
 FULL_WORDS = 50
 #: Words' worth of the overall frequencies in those of a class.
 SMOOTHING = 2000.0
-#: No document is repeated more often.
-MAX_RATE = 8.0
-ROUNDS = 60
-#: Tokens that a domain may be off its target, as a share of all tokens.
-TOLERANCE = 1e-3
+#: No bound: how often a document is repeated follows from the targets alone.
+MAX_RATE = math.inf
+#: Rounds after which what is left is reported.
+ROUNDS = 200
+#: Tokens that a domain may be off, as a share of its own target (without one: of the least target).
+TOLERANCE = 0.01
+#: The loss is as small as it can be when it is proved to be over its minimum by no more than this share.
+LEAST = 0.02
+#: Rounds with momentum after a step of the free documents' curvature that did not halve the loss.
+PLAIN_ROUNDS = 8
 WRITE_EVERY = 4
 #: Target weights by (quality, toxic), an example of production values.
 TARGETS = {(1, 0): 0.80, (1, 1): 0.02, (0, 0): 0.16, (0, 1): 0.02}
@@ -95,8 +104,9 @@ def posteriors(docs: DataFrame, models: list[tuple[list[float], float]], text_co
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate. One of that name is replaced.
 
-    Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. A domain that no
-    document can belong to is missed by as much. Null and empty texts count one token and have the prior's posterior.
+    Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. Where no rates
+    meet them, the rates of the least loss are given, and a RuntimeWarning names each domain that is off and by how much.
+    Null and empty texts count one token and have the prior's posterior.
     Ids may be null or repeat. Without labels all posteriors are even; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -116,30 +126,77 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
     scored, _ = written(base.withColumns(joint).drop("_b", *[f"_q{k}" for k in range(len(models))]), "mix-scored")
     ps = [F.col(f"_p{k}") for k in range(len(domains))]
 
-    state = start(scored.select("_n", *ps))
-    total = state.agg(F.sum("_n")).first()[0] or 1.0
-    whole = sum(targets.values()) or 1.0
-    goal = [targets.get(d, 0.0) / whole * total for d in domains]
-    # An error counts by the tokens its domain has, which makes the largest curvature one at most: the step is one.
-    mass = state.agg(*[F.sum(F.col("_n") * p).alias(f"m{k}") for k, p in enumerate(ps)]).first()
-    mass = [max(mass[f"m{k}"] or 0.0, 1e-6) for k in range(len(ps))]
-    momentum, path, history = 1.0, None, []
-    for t in range(rounds):
-        sums = state.agg(*[F.sum(F.col("_n") * p * F.col("_y")).alias(f"s{k}") for k, p in enumerate(ps)]).first()
-        errors = [(sums[f"s{k}"] or 0.0) - g for k, g in enumerate(goal)]
-        if max(map(abs, errors)) < TOLERANCE * total:
+    history = solve(start(scored.select("_n", *ps)), ps, [targets.get(d, 0.0) for d in domains], domains, rounds)
+    # Each document goes through the same steps as its copy in the loop did.
+    return scored.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), replayed(ps, history).alias("rate")).alias("mix"))
+
+
+def inverse(curvature: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The pseudo-inverse of the domains' curvature, each domain scaled by its tokens so that scarce ones count too."""
+    scale = 1 / np.sqrt(mass)
+    values, vectors = np.linalg.eigh(curvature * scale[:, None] * scale)
+    return (vectors * np.where(values > 1e-9, 1 / np.maximum(values, 1e-9), 0)) @ vectors.T * scale[:, None] * scale
+
+
+def solve(state: DataFrame, ps: list[Column], weights: list[float], domains: list[tuple], rounds: int) -> list[tuple[list[float], float]]:
+    """The steps, each a pull by domain and a momentum, that take rates of one to those that meet the weights."""
+    spark, count = state.sparkSession, len(ps)
+    cells = [(i, j) for i in range(count) for j in range(i, count)]
+    sums = [F.sum(F.col("_n") * p * F.col("_y")).alias(f"s{k}") for k, p in enumerate(ps)]
+    free = [F.sum(F.when(F.col("_y") > 0, F.col("_n") * ps[i] * ps[j])).alias(f"h{i}_{j}") for i, j in cells]
+    history: list[tuple[list[float], float]] = []
+    momentum, path, wait, lowest, last, pull = 1.0, None, 0, 0.0, None, np.zeros(count)
+    for t in range(rounds + 1):
+        row = state.agg(F.sum("_n").alias("n"), F.min(dot(ps, pull)).alias("down"), *sums, *free).first()
+        if not row["n"]:
+            return []
+        got = np.array([row[f"s{k}"] for k in range(count)])
+        curvature = np.zeros((count, count))
+        for i, j in cells:
+            curvature[i, j] = curvature[j, i] = row[f"h{i}_{j}"] or 0.0
+        if not t:
+            total, mass = row["n"], np.maximum(got, 1e-6)
+            goal = np.array(weights) / (sum(weights) or 1.0) * total
+            may = TOLERANCE * np.where(goal > 0, goal, goal[goal > 0].min(initial=total))
+            metric = inverse(curvature, mass)
+        else:
+            # By convexity no rates have a loss under this: the last one, less the gradient's product with the rates and
+            # with any that do better, whose tokens are at most the bound.
+            bound = total + math.sqrt(2 * last * total)
+            lowest = max(lowest, last - pull @ before - max(0.0, -row["down"]) * bound)
+        error = got - goal
+        loss, pull, before = float(error @ metric @ error) / 2, metric @ error, got
+        if (abs(error) <= may).all():
+            break
+        least = loss <= 1e-15 * total or loss - lowest <= LEAST * loss
+        if least or t == rounds:
+            off = ", ".join(f"{d}: {g / total:.3g} for {w / total:.3g}" for d, g, w, e, m in zip(domains, got, goal, error, may, strict=True) if abs(e) > m)
+            warnings.warn(f"mixing: {'no rates meet all targets' if least else f'targets not met in {t} rounds'}; domains off, as shares of all tokens: {off}", RuntimeWarning, stacklevel=3)
             break
-        after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        history.append(([e / m for e, m in zip(errors, mass, strict=True)], (momentum - 1) / after))
-        momentum = after
+        if wait == 0 and last is not None and fast and loss > last / 2:
+            wait, momentum = PLAIN_ROUNDS, 1.0
+        elif last is not None and loss > last:
+            momentum = 1.0
+        fast, last = wait == 0, loss
+        if fast:
+            step, carry, momentum = inverse(curvature, mass) @ error, 0.0, 1.0
+        else:
+            after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+            step, carry, momentum, wait = pull, (momentum - 1) / after, after, wait - 1
+        history.append((step.tolist(), carry))
         state = stepped(state, ps, *history[-1])
         if t % WRITE_EVERY == WRITE_EVERY - 1:
             state, newer = written(state, "mix-rates")
             if path:
                 drop_path(spark, path)
             path = newer
-    # Each document goes through the same steps as its copy in the loop did.
-    return scored.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), replayed(ps, history).alias("rate")).alias("mix"))
+    if path:
+        drop_path(spark, path)
+    return history
+
+
+def dot(ps: list[Column], pull) -> Column:
+    return sum((p * F.lit(float(g)) for p, g in zip(ps, pull, strict=True)), F.lit(0.0))
 
 
 def replayed(ps: list[Column], history: list[tuple[list[float], float]]) -> Column:
@@ -149,10 +206,10 @@ def replayed(ps: list[Column], history: list[tuple[list[float], float]]) -> Colu
     steps = F.array(*[F.struct(*[F.lit(g).alias(f"g{k}") for k, g in enumerate(pull)], F.lit(m).alias("m")) for pull, m in history])
 
     def step(at: Column, h: Column) -> Column:
-        r = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), at["y"] - sum((p * h[f"g{k}"] for k, p in enumerate(ps)), F.lit(0.0))))
-        return F.struct(r.alias("r"), (r + h["m"] * (r - at["r"])).alias("y"))
+        r = F.greatest(F.lit(0.0), at["y"] - sum((p * h[f"g{k}"] for k, p in enumerate(ps)), F.lit(0.0)))
+        return F.struct(r.alias("r"), F.greatest(F.lit(0.0), r + h["m"] * (r - at["r"])).alias("y"))
 
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["y"]
 
 
 def start(df: DataFrame) -> DataFrame:
@@ -160,12 +217,9 @@ def start(df: DataFrame) -> DataFrame:
 
 
 def stepped(df: DataFrame, ps: list[Column], pull: list[float], momentum: float) -> DataFrame:
-    """One projected step against the domains' errors, and the point that momentum carries it to."""
-    down = F.lit(0.0)
-    for p, g in zip(ps, pull, strict=True):
-        down = down + p * F.lit(g)
-    moved = df.withColumn("_m", F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), F.col("_y") - down)))
-    return moved.withColumn("_y", F.col("_m") + F.lit(momentum) * (F.col("_m") - F.col("_r"))).withColumn("_r", F.col("_m")).drop("_m")
+    """One projected step against the domains' errors, and the point, projected too, that momentum carries it to."""
+    moved = df.withColumn("_m", F.greatest(F.lit(0.0), F.col("_y") - dot(ps, pull)))
+    return moved.withColumn("_y", F.greatest(F.lit(0.0), F.col("_m") + F.lit(momentum) * (F.col("_m") - F.col("_r")))).withColumn("_r", F.col("_m")).drop("_m")
 
 
 def realise(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
