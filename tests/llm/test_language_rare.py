@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.llm import language_id
+from weirflow.llm.queries import op1_language_id
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "text string, lang string, host string, suffix string"
 LETTERS = "bcdfghjklmnpqrstvwxz"
 
@@ -32,3 +34,13 @@ def test_suffixes_beyond_the_limit_share_a_likelihood(spark, monkeypatch):
     rows = [(words(0), "aa", None, "com")] * 100 + [(words(1), "bb", None, f"s{k % 50}") for k in range(100)] + [("yy", None, None, "s7"), ("yy", None, None, "com")]
     out = language_id.identify(spark.createDataFrame(rows, SCHEMA), host_col=None, suffix_col="suffix").filter(F.col("text") == "yy").select("suffix", "language.code").collect()
     assert {r.suffix: r.code for r in out} == {"s7": "bb", "com": "aa"}
+
+
+def test_query_covers_documents_and_pages(spark):
+    out = op1_language_id(spark, SF).cache()
+    for kind, key in (("document", "doc_id"), ("page", "page_id")):
+        rows = out.filter(F.col("kind") == kind)
+        table = spark.read.parquet(f"{SF}/{kind}s.parquet")
+        assert rows.count() == table.count() and rows.join(table, key, "left_anti").count() == 0
+        named = rows.filter("declared <> ''").select("declared", "code").collect()
+        assert named and sum(r.code == r.declared.lower()[:2] for r in named) > 0.9 * len(named)

@@ -13,9 +13,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' declared language stands for their markup's, their source for their host; they have no address."""
-    found = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return found.select("doc_id", F.col("lang").alias("declared"), "language.*")
+    """Documents and pages, told apart by ``kind``, as one corpus; a row has the id of its own table.
+
+    The documents' declared language stands for their markup's, their source for their host; they have no address.
+    """
+    none = F.lit(None)
+    docs = documents(spark, sf_dir).select(F.lit("document").alias("kind"), "doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("suffix"))
+    pages = language_id.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = pages.select(F.lit("page").alias("kind"), none.cast("long").alias("doc_id"), "page_id", "text", "declared", "host", "suffix")
+    found = language_id.identify(docs.unionByName(pages), "text", "declared", "host", "suffix")
+    return found.select("kind", "doc_id", "page_id", "declared", "language.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
