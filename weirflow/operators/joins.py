@@ -84,18 +84,16 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def term_lookup(df: DataFrame, terms: DataFrame, column: str, term_column: str, key: str, max_words: int = 1) -> DataFrame:
-    """(key, term, frequency): how often each term of up to ``max_words`` words stands in a row's text, case apart.
+def term_lookup(df: DataFrame, terms: DataFrame, column: str, term_column: str, key: str) -> DataFrame:
+    """(key, term, frequency): how often each term, a word or a phrase, stands in a row's text, case apart.
 
-    Words of the texts are joined to the terms, so no pair of text and term is tried that shares no word.
+    Runs of as many words as some term has are joined to the terms, so no pair of text and term is tried that shares none.
     """
     known = terms.select(F.col(term_column).alias("term"), F.array_join(text_words(F.col(term_column)), " ").alias("_gram")).filter("_gram <> ''").distinct()
-    grams = None
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("_gram", " "))).distinct().collect()) or [1]
     words = df.select(F.col(key), text_words(F.col(column)).alias("_w"))
-    for n in range(1, max_words + 1):
-        some = F.when(F.size("_w") >= n, _grams(n))
-        part = words.select(key, F.explode(some).alias("_gram")).groupBy(key, "_gram").agg(F.count(F.lit(1)).alias("frequency"))
-        grams = part if grams is None else grams.unionByName(part)
+    some = F.concat(*[F.when(F.size("_w") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in lengths])
+    grams = words.select(key, F.explode(some).alias("_gram")).groupBy(key, "_gram").agg(F.count(F.lit(1)).alias("frequency"))
     return grams.join(known, "_gram").select(key, "term", "frequency")
 
 
