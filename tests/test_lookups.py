@@ -1,4 +1,8 @@
-from weirflow.operators import joins
+import random
+
+import pytest
+
+from weirflow.operators import joins, rows
 
 
 def test_term_lookup_finds_phrases(spark):
@@ -7,3 +11,30 @@ def test_term_lookup_finds_phrases(spark):
     out = joins.term_lookup(texts, terms, "text", "term", "id")
     assert sorted(map(tuple, out.collect())) == [(1, "Data", 3), (1, "data base", 2), (2, "Data", 1), (3, "New York City", 1), (3, "new york", 2)]
     assert joins.term_lookup(texts, terms.limit(0), "text", "term", "id").count() == 0
+
+
+def similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 0.0])
+def test_fuzzy_lookup_misses_nothing(spark, least):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abc\u00e9\U0001f600d") for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    left, right = [*names[:60], "Katherine", "same"], [*names[60:], "Catherine", ""]
+    df = spark.createDataFrame([(k % 7, x) for k, x in enumerate([*left, "same", None])], "id long, name string")
+    got = joins.fuzzy_lookup(df, spark.createDataFrame([(x,) for x in [*right, None]], "ref string"), "name", "ref", min_similarity=least, top=500)
+    want = sorted((x, y, round(s, 9)) for x in [*left, "same"] for y in set(right) if (s := similarity(x, y)) >= least)
+    assert sorted((r["name"], r["_match"], round(r["_similarity"], 9)) for r in got.collect()) == want
+
+
+def test_row_sampling_keeps_rows_that_share_a_key(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "c")], "k long, v string")
+    out = rows.row_sampling(df, "k", 2)
+    both = [tuple(r) for part in out.values() for r in part.collect()]
+    assert out["selected"].count() == 2 and sorted(both, key=repr) == sorted(map(tuple, df.collect()), key=repr)

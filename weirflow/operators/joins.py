@@ -56,17 +56,43 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def fuzzy_lookup(df: DataFrame, ref: DataFrame, column: str, ref_column: str, key: str, block=F.soundex, ref_block=None, min_similarity: float = 0.5, top: int = 1) -> DataFrame:
+def rarest_marks(value: Column, min_similarity: float) -> Column:
+    """Marks of a value of which two values share one if they are as similar as ``min_similarity``, which is over zero.
+
+    Marks are characters with the number of their occurrence. Values that d edits part share all but d of the longer
+    one's marks; so many that among the first ones of both, in a common order, is one that both have.
+    """
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    nth = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("nth"), F.xxhash64(c).alias("h"), c.alias("c")))
+    size = F.length(value)
+    first = F.greatest(size - F.ceil(size * F.lit(min_similarity) - F.lit(1e-9)) + 1, F.lit(0)).cast("int")
+    return F.when(size == 0, F.array(F.struct(F.lit(0).alias("nth"), F.lit(0).cast("long").alias("h"), F.lit("").alias("c")))).otherwise(F.slice(F.array_sort(nth), 1, first))
+
+
+def fuzzy_lookup(df: DataFrame, ref: DataFrame, column: str, ref_column: str, block=None, ref_block=None, min_similarity: float = 0.5, top: int = 1) -> DataFrame:
     """The most similar reference values of each row: ``_match``, ``_similarity``.
 
-    Only values of one block are compared; ``block`` makes a block's name from a value. Null values match nothing; ties
-    go to the smaller value.
+    Every value is held against every reference value that can be similar enough, by length and by ``rarest_marks``.
+    Where ``block`` makes a block's name from a value, only values of one block are compared. Equal values are looked up
+    once and all their rows stay. Null values match nothing; ties go to the smaller value.
     """
-    a = df.withColumn("_block", block(F.col(column)))
-    b = ref.select(F.col(ref_column).alias("_match"), (ref_block or block)(F.col(ref_column)).alias("_block")).filter("_match IS NOT NULL").distinct()
-    scored = a.join(b, "_block").withColumn("_similarity", similarity(F.col(column), F.col("_match"))).filter(F.col("_similarity") >= min_similarity)
-    best = Window.partitionBy(key).orderBy(F.desc("_similarity"), "_match")
-    return scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top).drop("_n", "_block")
+    a = df.select(F.col(column).alias("_value")).filter("_value IS NOT NULL").distinct()
+    b = ref.select(F.col(ref_column).alias("_match")).filter("_match IS NOT NULL").distinct()
+    if block:
+        pairs = a.withColumn("_block", block(F.col("_value"))).join(b.withColumn("_block", (ref_block or block)(F.col("_match"))), "_block")
+    elif min_similarity <= 0:
+        pairs = a.crossJoin(b)
+    else:
+        a = a.withColumn("_a", rarest_marks(F.col("_value"), min_similarity)).withColumn("_mark", F.explode("_a"))
+        b = b.withColumn("_b", rarest_marks(F.col("_match"), min_similarity)).withColumn("_mark", F.explode("_b"))
+        # A pair meets at each mark that both have, and is taken at the first.
+        pairs = a.join(b, "_mark").filter(F.element_at(F.array_intersect("_a", "_b"), 1) == F.col("_mark"))
+        sizes = [F.length("_value"), F.length("_match")]
+        pairs = pairs.filter(F.least(*sizes) >= F.greatest(*sizes) * F.lit(min_similarity) - F.lit(1e-9))
+    scored = pairs.select("_value", "_match", similarity(F.col("_value"), F.col("_match")).alias("_similarity")).filter(F.col("_similarity") >= min_similarity)
+    best = Window.partitionBy("_value").orderBy(F.desc("_similarity"), "_match")
+    found = scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top).drop("_n")
+    return df.join(found, F.col(column) == F.col("_value")).drop("_value")
 
 
 def fuzzy_grouping(df: DataFrame, column: str, block=F.soundex) -> DataFrame:

@@ -219,7 +219,7 @@ def percentage_sampling(df: DataFrame, percent: float = 10, seed: int = 42, key:
 
 
 def row_sampling(df: DataFrame, key: str, rows: int = 1000) -> dict[str, DataFrame]:
-    """A fixed number of rows, those with the least hashes of a unique key, and the rest."""
+    """A fixed number of rows, those with the least hashes of a key, and the rest. Rows may share a key or repeat."""
     order = F.md5(F.col(key).cast("string").cast("binary"))
-    selected = df.withColumn("_h", order).orderBy("_h", key).limit(rows).drop("_h")
-    return {"selected": selected, "unselected": df.join(selected.select(key), key, "left_anti")}
+    selected = df.withColumn("_h", order).orderBy("_h", key, *df.columns).limit(rows).drop("_h")
+    return {"selected": selected, "unselected": df.exceptAll(selected)}

@@ -355,7 +355,7 @@ def _fuzzy_lookup(c, inputs, ctx, registry):
     column = next(x["name"] for i in c.inputs for x in i["columns"] if x["properties"].get("JoinToReferenceColumn"))
     ref_column = next(x["properties"]["JoinToReferenceColumn"] for i in c.inputs for x in i["columns"] if x["properties"].get("JoinToReferenceColumn"))
     df = _one(inputs)
-    return {_name(c): joins.fuzzy_lookup(df, ref, column, ref_column, df.columns[0], min_similarity=float(c.properties.get("MinSimilarity", 0.5)))}
+    return {_name(c): joins.fuzzy_lookup(df, ref, column, ref_column, min_similarity=float(c.properties.get("MinSimilarity", 0.5)))}
 
 
 @operator("fuzzy_grouping")

@@ -289,7 +289,7 @@ SELECT c_custkey, matched, round(sim, 6) AS sim FROM r WHERE n = 1"""
 def fuzzy_lookup_levenshtein(spark, sf):
     a = t(spark, sf, "customer").select("c_custkey", F.reverse("c_name").alias("name"))
     b = t(spark, sf, "supplier").select(F.reverse("s_name").alias("s_name"))
-    out = joins.fuzzy_lookup(a, b, "name", "s_name", "c_custkey", block=lambda c: F.left(c, F.lit(1)), min_similarity=0.4)
+    out = joins.fuzzy_lookup(a, b, "name", "s_name", block=lambda c: F.left(c, F.lit(1)), min_similarity=0.4)
     return out.select("c_custkey", F.col("_match").alias("matched"), F.round("_similarity", 6).alias("sim"))
 
 
