@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import written
-from weirflow.llm.tokens import encode_texts, vocabulary_path
+from weirflow.llm.tokens import added_tokens, encode_added, vocabulary_path
 
 SEQ_LEN = 1024
 END_ID = 2
@@ -28,6 +28,7 @@ END_ID = 2
 def token_pieces(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and their task and rank in it by length."""
     path = path or vocabulary_path()
+    added = added_tokens(path)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +37,7 @@ def token_pieces(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID,
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 rows: list[tuple] = []
-                for doc, ids in zip(b.column(0).to_pylist(), encode_texts(b.column(1).to_pylist(), path), strict=True):
+                for doc, ids in zip(b.column(0).to_pylist(), encode_added(b.column(1).to_pylist(), path, added), strict=True):
                     raw = np.append(ids, end_id).astype("<u4")
                     begin, stop = 0, len(raw) % seq_len or seq_len
                     k = 0

@@ -2,13 +2,16 @@
 
 A batch is cut into words by array operations, equal words are encoded once, and the ids are gathered back; a
 worker keeps the words it has met, up to a bound after which it starts anew. The ids are those that the tokenizers
-library gives for byte_bpe_50k.json without special tokens; texts may hold the special tokens' strings as plain text.
+library gives for byte_bpe_50k.json without special tokens: encode_texts takes the added tokens' strings as plain text,
+encode_added as their ids, as the library does by default.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import re
 
 import numpy as np
@@ -197,3 +200,25 @@ def encode_texts(texts: list[str | None], path: str):
             parts, owner, size, at = [], [], 0, 0
     if parts:
         yield from flush()
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that the vocabulary's JSON file adds, with their ids; none where there is no such file."""
+    whole = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
+def encode_added(texts: list[str | None], path: str, added: dict[str, int]):
+    """Yield the id array of each text, each added token's string as its one id, the text between them on its own."""
+    if not added:
+        yield from encode_texts(texts, path)
+        return
+    find = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [find.split(t) if t else [""] for t in texts]  # every second one is an added token
+    ids = encode_texts([p for every in parts for p in every[::2]], path)
+    for every in parts:
+        held = [next(ids) if k % 2 == 0 else np.array([added[p]], np.uint32) for k, p in enumerate(every)]
+        yield held[0] if len(held) == 1 else np.concatenate(held)
