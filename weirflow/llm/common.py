@@ -54,6 +54,7 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc", max
 
     Alternating large-star and small-star rounds: each is a grouped minimum with map-side partials and a join
     that adaptive execution can split where one node is hot. The edges of a round are written to the shared folder.
+    It is an error if the last of ``max_rounds`` rounds still changes something.
     """
     spark = edges.sparkSession
     both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
@@ -88,5 +89,7 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc", max
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
