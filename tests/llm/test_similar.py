@@ -111,13 +111,16 @@ def brute_suffix(rows, width):
 
 def check_suffix(df, **kw):
     rows = [(r.text or "").encode() for r in df.select("text").collect()]
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df, **kw).collect())
+    out = suffix_dedup.suffix_dedup(df, **kw).collect()
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
     assert got == brute_suffix(rows, kw.get("width", 400))
+    if also := kw.get("also"):
+        assert sorted((r.n_bytes, r.n_repeated) for r in out) == sorted(x[:2] for x in brute_suffix(rows, also))
     return got
 
 
 def test_suffix_dedup_on_documents(spark):
-    assert sum(r[1] for r in check_suffix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))) > 0
+    assert sum(r[1] for r in check_suffix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), also=256)) > 0
 
 
 def test_suffix_dedup_edges(edge, nothing):
@@ -125,17 +128,29 @@ def test_suffix_dedup_edges(edge, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
-def test_suffix_dedup_over_many_buckets(spark):
+def test_suffix_dedup_over_many_buckets(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    word = lambda n: "".join(rng.choice(list("ab"), n))
+    word = lambda n: "".join(rng.choice(list("ab\0"), n))
     passage, other = word(70), word(60)
     docs = [(k, word(rng.integers(0, 90)) + (passage if k % 2 else other) * (1 + k % 3) + word(rng.integers(0, 60))) for k in range(60)]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
-    try:
-        check_suffix(spark.createDataFrame(docs, "doc_id long, text string"), width=40, gram=12)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 20)
+    check_suffix(df, width=40, gram=12)
+    check_suffix(df, width=40, gram=6, also=16)
+    check_suffix(df, width=40, gram=1, also=2)
+
+
+def test_suffix_dedup_of_texts_longer_than_a_chunk(spark):
+    """A passage lies across the place where a long text's windows are cut into chunks, another in both of two long texts."""
+    rng = np.random.default_rng(6)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    chunk, passage, short = suffix_dedup.CHUNK, letters(900), letters(300)
+    long = letters(chunk - 450) + passage + letters(chunk) + short
+    texts = [long, letters(700) + passage + letters(50), letters(chunk - 100) + short + letters(chunk // 4), letters(500)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(df, also=256).collect()}
+    assert [(got[k].n_removed, got[k].n_spans, got[k].n_repeated) for k in range(4)] == [(900, 1, 1200), (900, 1, 900), (0, 0, 300), (0, 0, 0)]
+    assert got[1].kept_sha256 == hashlib.sha256(texts[1].replace(passage, b"")).hexdigest()
 
 
 def test_multikey_order():

@@ -2,15 +2,18 @@
 
 Every string of ``width`` bytes (a window) has an anchor: the place of its least hashed ``gram`` bytes. Equal windows
 have equal anchors at equal offsets, so only the suffixes at anchors need sorting, about one in ``width - gram`` / 2.
+Where strings of a second, shorter length are asked for too, the shorter windows have the anchors, and serve both.
 
 * Anchors whose gram occurs once are dropped by a grouped count: none of their windows can repeat.
-* The others' suffixes are dealt out by sampled splitters over their leading bytes, sorted in each bucket by multikey
-  quicksort, and so are the bytes before the anchors, backwards. Neighbours' common prefixes then say which suffixes
-  agree up to any length, in both directions, and so which windows of a bucket are equal, byte for byte.
+* The others' suffixes are dealt out by sampled splitters over their leading bytes: the first eight, then a hash of the
+  gram, so that a splitter is a few numbers. As many buckets are made as the counted suffixes need.
+* Each bucket sorts its suffixes, and the bytes before the anchors backwards, by a multikey sort on words of eight
+  bytes. Neighbours' common prefixes then say which suffixes agree up to any length, in both directions, and so which
+  windows of a bucket are equal, byte for byte. Equal suffixes of a bucket are sorted once.
 * A run of suffixes that a splitter may have cut is compared across the boundary by its windows' digests.
 
-Splitters also cut runs of equal suffixes (a hash of the document breaks ties), so a bucket's size is bounded
-however many copies a passage has.
+Splitters also cut runs of equal grams (a hash of the document breaks ties), so a bucket's size is bounded however
+many copies a passage has.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from weirflow.llm.common import drop_path, utf8, written
 from weirflow.llm.near_dedup import _mixed, _powers
 
 WIDTH = 400
-GRAM = 128
+GRAM = 96
+#: Suffixes in one bucket.
+BUCKET_ROWS = 16_000
 #: Bytes of a text whose windows are anchored at once.
 CHUNK = 1 << 19
 _U = np.uint64
@@ -65,9 +70,10 @@ def anchors(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of rows of bytes by multikey quicksort on words of eight bytes.
+    """Order of rows of bytes by a multikey sort on words of eight bytes.
 
-    All parts that are still undecided are split by their next word at once; rows that stand alone take no more part.
+    All parts that are still undecided are split by their next word at once (into as many parts as it has values, where
+    multikey quicksort makes three); rows that stand alone take no more part.
     """
     n, width = rows.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
@@ -104,9 +110,12 @@ def common_prefixes(rows: np.ndarray, lengths: np.ndarray, order: np.ndarray) ->
 
 
 def bytes_matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values as rows of bytes, zeros after their ends, and their lengths; filled in blocks, so the index arrays stay small."""
+    """The values as rows of bytes and their lengths; filled in blocks, so the index arrays stay small.
+
+    After their ends rows have 255, which no UTF-8 text has, so a row is the prefix of no other.
+    """
     lengths = np.fromiter(map(len, values), np.int64, len(values))
-    out = np.zeros((len(values), width), np.uint8)
+    out = np.full((len(values), width), 255, np.uint8)
     for low in range(0, len(values), 1024):
         part, n = values[low : low + 1024], lengths[low : low + 1024]
         rows = np.repeat(np.arange(low, low + len(part)), n)
@@ -122,47 +131,53 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, stop - 1
 
 
-def repeated_in_bucket(right: list[bytes], left: list[bytes], twice: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows of a bucket's suffixes repeat in it.
+def repeated_in_bucket(right: list[bytes], left: list[bytes], low: np.ndarray, twice: np.ndarray, lengths: tuple[int, ...], span: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, which windows of a bucket's distinct suffixes repeat in it, and which are the first of their kind.
 
-    ``right`` has the bytes from each anchor on, ``left`` those before it, backwards. Columns of the result are offsets
-    of the window's start before the anchor: whether it repeats, whether it is the first of its kind here, and
-    whether the row's gram may go on in a neighbouring bucket.
+    ``right`` has the bytes from each anchor on, ``left`` those before it, backwards; ``low`` is the least offset of a
+    window's start before the anchor, the bytes of ``left`` are the greatest. Suffixes that are there ``twice`` repeat
+    as they are. Columns of the results are offsets.
     """
-    span = width - gram + 1
-    a, la = bytes_matrix(right, width)
-    b, lb = bytes_matrix(left, span - 1)
+    a, la = bytes_matrix(right, max(lengths))
+    b, lb = bytes_matrix(left, max(1, span - 1))
     n = len(right)
     by_a, by_b = multikey_order(a), multikey_order(b)
     ca, cb = common_prefixes(a, la, by_a), common_prefixes(b, lb, by_b)
-    low, high = width - la, lb  # offsets from the anchor that the row has windows for
-    repeated, leads = np.zeros((n, span), bool), np.zeros((n, span), bool)
+    out = [(np.zeros((n, span), bool), np.zeros((n, span), bool)) for _ in lengths]
     run_a, run_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for d in range(int(low.min()), int(high.max()) + 1):
-        rows = np.flatnonzero((low <= d) & (d <= high))
-        if not len(rows):
-            continue
-        run_a[by_a[1:]] = (ca < width - d).cumsum()
+    for d in range(int(low.min()), int(lb.max()) + 1):
+        has = (low <= d) & (d <= lb)
         run_b[by_b[1:]] = (cb < d).cumsum()
-        key = run_a[rows] * n + run_b[rows]
-        _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        many = count > 1
-        many |= np.bincount(which, twice[rows], len(count)) > 0
-        repeated[rows, d] = many[which]
-        leads[rows[first], d] = True
-    grams = a[:, :gram]
-    edge = (grams == grams[by_a[0]]).all(1) | (grams == grams[by_a[-1]]).all(1)
-    return repeated, leads, edge
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
+        for length, (repeated, leads) in zip(lengths, out, strict=True):
+            rows = np.flatnonzero(has & (la >= length - d))
+            if not len(rows):
+                continue
+            run_a[by_a[1:]] = (ca < length - d).cumsum()
+            key = run_a[rows] * n + run_b[rows]
+            _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            many = count > 1
+            many |= np.bincount(which, twice[rows], len(count)) > 0
+            repeated[rows, d] = many[which]
+            leads[rows[first], d] = True
+    return out
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_kept: bool = False, also: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay).
 
+    With ``also``, a length under ``width``, a column n_repeated is added: the bytes covered by strings of that length
+    that start anywhere else too. They are counted only, not removed.
+
     Texts are their UTF-8 bytes, null counting as empty; one shorter than ``width`` loses nothing. Matches lie within
     documents and are judged on the input. Rows that repeat a text, whatever their ids, repeat each other's strings. Ids
     may be null. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    lengths = (width,) if also is None else (width, also)
+    least = min(lengths)
+    span = least - gram + 1
+    if not 0 < span <= 1023 or least > width:
+        raise ValueError(f"lengths of {lengths} bytes don't go with a gram of {gram}")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(utf8(F.col(text_col))).alias("k2")]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, utf8(F.col(text_col)).alias("raw"))
 
@@ -170,7 +185,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                found = [anchors(np.frombuffer(raw, np.uint8), width, gram) for raw in b.column("raw").to_pylist()]
+                found = [anchors(np.frombuffer(raw, np.uint8), least, gram) for raw in b.column("raw").to_pylist()]
                 n = [len(f[0]) for f in found]
                 h, p, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(4))
                 keys = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("k1", "k2")]
@@ -183,6 +198,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mine, mine_path = written(mine, "suffix-mine")
     drop_path(spark, path)
     drop_path(spark, twice_path)
+    suffix_count = mine.agg(F.sum(F.size("ats"))).first()[0] or 0
     held = source.join(mine.hint("merge"), ["k1", "k2"], "left").select(
         "doc_id",
         "k1",
@@ -195,9 +211,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held, _ = written(held, "suffix-texts")
     drop_path(spark, mine_path)
 
-    out_names = ["k1", "k2", "right", "left", "at", "twice"]
+    # ``size`` is the length of the bytes around an anchor, from its first window's start.
+    out_names = ["k1", "k2", "right", "left", "at", "size", "twice"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
         for whole in batches:
             for low in range(0, whole.num_rows, 50):
                 cols: list[list] = [[] for _ in out_names]
@@ -206,92 +224,126 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     met: dict[tuple, int] = {}
                     for at in ats:
                         lo, d, more = at >> 20, at >> 10 & 1023, at & 1023
-                        same = (raw[lo : lo + more + width], d)
+                        part = raw[lo : lo + more + width]
                         # A text's own repeats go on as one suffix, marked; each of their windows is known to repeat.
-                        if (k := met.get(same)) is not None:
-                            cols[5][k] = True
+                        if (k := met.get((part, d))) is not None:
+                            cols[6][k] = True
                             cols[2].append(None)
                             cols[3].append(None)
                         else:
-                            met[same] = len(cols[0])
-                            p = lo + d
-                            cols[2].append(raw[p : lo + more + width])
-                            cols[3].append(raw[lo:p][::-1])
+                            met[(part, d)] = len(cols[0])
+                            cols[2].append(part[d:])
+                            cols[3].append(part[:d][::-1])
                         cols[0].append(k1)
                         cols[1].append(k2)
                         cols[4].append(at)
-                        cols[5].append(k is not None)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+                        cols[5].append(len(part))
+                        cols[6].append(k is not None)
+                    if len(cols[0]) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], out_names)
+                        cols, met = [[] for _ in out_names], {}
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], out_names)
 
     with_anchors = held.filter("ats IS NOT NULL").select("k1", "k2", "raw", "ats")
-    made = with_anchors.mapInArrow(suffixes, "k1 long, k2 long, right binary, left binary, at long, twice boolean")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = made.repartitionByRange(parts, "right", "left", F.xxhash64("k1", "k2", "at"))
+    made = with_anchors.mapInArrow(suffixes, "k1 long, k2 long, right binary, left binary, at long, size int, twice boolean")
+    word = F.conv(F.hex(F.substring("right", 1, 7)), 16, 10).cast("long")
+    tie = F.xxhash64("k1", "k2", "at")
+    dealt = made.withColumns({"lead": word, "spread": F.xxhash64(F.substring("right", 1, gram))})
+    buckets = dealt.repartitionByRange(max(1, -(-suffix_count // BUCKET_ROWS)), "lead", "spread", tie)
+
+    found_names = ["k1", "k2", "length", "start", "stop", "digest", "n"]
+    found_kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
 
-    found_names = ["k1", "k2", "start", "stop", "digest", "n"]
-    found_kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+    def batch(*cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, found_kinds, strict=True)], found_names)
+
+    def spans(k1: np.ndarray, k2: np.ndarray, length: int, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+        return batch(k1, k2, np.full(len(k1), length, np.int32), starts, stops, [None] * len(k1), np.zeros(len(k1), np.int32))
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = []
+        distinct: dict[tuple[bytes, bytes, int], int] = {}
+        own: list[list] = [[] for _ in range(4)]  # k1, k2, place and the number of the distinct suffix
+        leads, twice = [], []
         for b in batches:
             gone = b.filter(b.column("right").is_null())
             if gone.num_rows:
-                yield spans(gone)
-            own.append(b.filter(b.column("right").is_valid()))
-        rows = pa.Table.from_batches(own) if own else None
-        if rows is None or not rows.num_rows:
+                k1, k2, at, size = (gone.column(c).to_numpy() for c in ("k1", "k2", "at", "size"))
+                lo = at >> 20
+                for length in lengths:
+                    stop = lo + np.minimum(size, (at & 1023) + length)
+                    ok = size >= length
+                    yield spans(k1[ok], k2[ok], length, lo[ok], stop[ok])
+            b = b.filter(b.column("right").is_valid())
+            which = np.zeros(b.num_rows, np.int64)
+            at = b.column("at").to_numpy()
+            least_offset = (at >> 10 & 1023) - (at & 1023)
+            columns = zip(*(b.column(c).to_pylist() for c in ("right", "left", "lead", "spread", "twice")), least_offset.tolist(), strict=True)
+            for k, (right, left, lead, spread, marked, low) in enumerate(columns):
+                n = distinct.setdefault((right, left, low), len(twice))
+                if n == len(twice):
+                    twice.append(marked)
+                    leads.append((lead, spread))
+                else:
+                    twice[n] = True
+                which[k] = n
+            for c, x in zip(own, (b.column("k1").to_numpy(), b.column("k2").to_numpy(), (at >> 20) + (at >> 10 & 1023), which), strict=True):
+                c.append(x)
+        if not twice:
             return
-        at, twice = rows.column("at").to_numpy(), rows.column("twice").to_numpy(zero_copy_only=False)
-        k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
-        right, left = rows.column("right").to_pylist(), rows.column("left").to_pylist()
-        del own, rows, b, gone
-        repeated, leads, edge = repeated_in_bucket(right, left, twice, width, gram)
-        place = (at >> 20) + (at >> 10 & 1023)
-        row, far, near = runs(repeated[:, ::-1])
-        top = repeated.shape[1] - 1
-        starts, stops = place[row] - (top - far), place[row] - (top - near) + width
-        yield batch(k1[row], k2[row], starts, stops, [None] * len(row), np.zeros(len(row), np.int32))
-        # One window of each kind, where its gram may go on in the next bucket.
-        cut = np.flatnonzero(edge)
-        for low in range(0, len(cut), 200):
-            rows_now = cut[low : low + 200]
-            r, d = np.nonzero(leads[rows_now])
-            r = rows_now[r]
-            digests = [hashlib.blake2b(left[x][:y][::-1] + right[x][: width - y], digest_size=16).digest() for x, y in zip(r.tolist(), d.tolist(), strict=True)]
-            start = place[r] - d
-            yield batch(k1[r], k2[r], start, start + width, digests, np.where(repeated[r, d], 2, 1).astype(np.int32))
-
-    def batch(*cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, found_kinds, strict=True)], found_names)
-
-    def spans(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = b.column("at").to_numpy()
-        lo = at >> 20
-        return batch(b.column("k1").to_numpy(), b.column("k2").to_numpy(), lo, lo + (at & 1023) + width, [None] * len(at), np.zeros(len(at), np.int32))
-
-    found, _ = written(buckets.mapInArrow(sort_bucket, "k1 long, k2 long, start long, stop long, digest binary, n int"), "suffix-found")
+        k1, k2, place, which = (np.concatenate(c) for c in own)
+        right, left = [x[0] for x in distinct], [x[1] for x in distinct]
+        low = np.fromiter((x[2] for x in distinct), np.int64, len(distinct))
+        first, last = min(leads), max(leads)
+        edge = np.fromiter((x in (first, last) for x in leads), bool, len(leads))
+        del distinct, own, leads
+        one = np.zeros(len(right), np.int64)
+        one[which[::-1]] = np.arange(len(which))[::-1]  # a row of each distinct suffix
+        order = np.argsort(which, kind="stable")
+        begin = np.searchsorted(which[order], np.arange(len(right) + 1))
+        for length, (repeated, heads) in zip(lengths, repeated_in_bucket(right, left, low, np.array(twice, bool), lengths, span), strict=True):
+            row, far, near = runs(repeated[:, ::-1])
+            # Each row that has the suffix loses the same windows.
+            n = (begin[1:] - begin[:-1])[row]
+            at = order[np.repeat(begin[row] - (n.cumsum() - n), n) + np.arange(n.sum())]
+            starts = place[at] - np.repeat(span - 1 - far, n)
+            yield spans(k1[at], k2[at], length, starts, starts + np.repeat(near - far, n) + length)
+            # One window of each kind, where its gram may go on in the next bucket.
+            cut = np.flatnonzero(edge)
+            for at in range(0, len(cut), 200):
+                now = cut[at : at + 200]
+                r, d = np.nonzero(heads[now])
+                r = now[r]
+                digests = [hashlib.blake2b(left[x][:y][::-1] + right[x][: length - y], digest_size=16).digest() for x, y in zip(r.tolist(), d.tolist(), strict=True)]
+                start = place[one[r]] - d
+                yield batch(k1[one[r]], k2[one[r]], np.full(len(r), length, np.int32), start, start + length, digests, np.where(repeated[r, d], 2, 1).astype(np.int32))
+
+    found, _ = written(buckets.mapInArrow(sort_bucket, "k1 long, k2 long, length int, start long, stop long, digest binary, n int"), "suffix-found")
     across = found.filter("digest IS NOT NULL")
-    shared, _ = written(across.groupBy("digest").agg(F.sum("n").alias("all")).filter("all > 1").select("digest"), "suffix-shared")
-    more = across.filter("n = 1").join(shared.hint("merge"), "digest").select("k1", "k2", "start", "stop")
-    gone = found.filter("digest IS NULL").select("k1", "k2", "start", "stop").unionByName(more)
-    gone = gone.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    shared, _ = written(across.groupBy("digest", "length").agg(F.sum("n").alias("all")).filter("all > 1").select("digest", "length"), "suffix-shared")
+    columns = ["k1", "k2", "length", "start", "stop"]
+    more = across.filter("n = 1").join(shared.hint("merge"), ["digest", "length"]).select(*columns)
+    gone = found.filter("digest IS NULL").select(*columns).unionByName(more)
+    gone = gone.groupBy("k1", "k2").agg(F.collect_list(F.struct("length", "start", "stop")).alias("gone"))
     last = held.select("doc_id", "k1", "k2", "n_bytes", "sha", "raw").join(gone.hint("merge"), ["k1", "k2"], "left").drop("k1", "k2")
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * (also is not None) + ", kept binary" * with_kept
     names = [c.split()[0] for c in kind.split(", ")]
 
+    def union(cuts: list[dict], length: int) -> list[list[int]]:
+        out: list[list[int]] = []
+        for x, y in sorted((c["start"], c["stop"]) for c in cuts if c["length"] == length):
+            if out and x <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], y)
+            else:
+                out.append([x, y])
+        return out
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 b = whole.slice(low, 500)
-                cols: list[list] = [[] for _ in range(4)]
-                for n, sha, raw, cuts in zip(*(b.column(c).to_pylist() for c in ("n_bytes", "sha", "raw", "gone")), strict=True):
-                    removed, kept, at = [], [], 0
-                    for x, y in sorted((c["start"], c["stop"]) for c in cuts or ()):
-                        if removed and x <= removed[-1][1]:
-                            removed[-1][1] = max(removed[-1][1], y)
-                        else:
-                            removed.append([x, y])
+                cols: list[list] = [[] for _ in range(5)]
+                for sha, raw, cuts in zip(*(b.column(c).to_pylist() for c in ("sha", "raw", "gone")), strict=True):
+                    removed, kept, at = union(cuts or [], width), [], 0
                     for x, y in removed:
                         kept.append(raw[at:x])
                         at = y
@@ -299,10 +351,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cols[0].append(sum(y - x for x, y in removed))
                     cols[1].append(len(removed))
                     cols[2].append(hashlib.sha256(left).hexdigest() if removed else sha.hex())
-                    cols[3].append(left)
+                    cols[3].append(sum(y - x for x, y in union(cuts or [], least)))
+                    cols[4].append(left)
                 arrays = [b.column("doc_id"), b.column("n_bytes"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
+                if also is not None:
+                    arrays.append(pa.array(cols[3], pa.int64()))
                 if with_kept:
-                    arrays.append(pa.array(cols[3], pa.binary()))
+                    arrays.append(pa.array(cols[4], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return last.mapInArrow(remove, kind)
