@@ -109,11 +109,43 @@ def test_media_round_trip(edge, nothing):
     assert media.text_media(nothing).count() == 0
 
 
+def brute_fingerprints(samples):
+    """By a plain transform of each frame, all pairs of its bands' peaks with the strongest of this and the next two frames."""
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
+    x = np.pad(x, (0, max(0, 576 - len(x))))
+    frames = []
+    for at in range(0, len(x) - 575, 288):
+        power = np.abs(np.fft.rfft(x[at : at + 576] * np.hanning(576))) ** 2
+        best = [a + int(power[a:b].argmax()) for a, b in ((1, 9), (9, 33), (33, 97), (97, 289))]
+        frames.append((best, max(best, key=lambda k: power[k])))
+    out = []
+    for t, (best, _) in enumerate(frames):
+        for dt in range(3):
+            if t + dt < len(frames):
+                out += [(t, a << 11 | frames[t + dt][1] << 2 | dt) for a in best if dt or a != frames[t][1]]
+    return sorted(out)
+
+
 def test_media_columns(spark):
-    data = spark.createDataFrame([(1, bytearray(BASE.encode())), (2, None)], "id long, data binary")
-    out = media.wav_fingerprints(media.encode_wav(data, "data")).orderBy("id").collect()
-    assert media.wav_samples(bytes(out[0].media)) == BASE.encode()
+    data = spark.createDataFrame([(1, bytearray(BASE.encode() * 20)), (2, None), (3, bytearray())], "id long, data binary")
+    made = media.encode_wav(data, "data")
+    out = media.wav_fingerprints(made).orderBy("id").collect()
+    assert media.wav_samples(bytes(out[0].media)) == BASE.encode() * 20
+    assert [tuple(f) for f in out[0].fingerprints] == brute_fingerprints(BASE.encode() * 20)
     assert out[1].media is None and out[1].fingerprints is None
+    assert media.wav_samples(bytes(out[2].media)) == b"" and len(out[2].fingerprints) == 3
+    again = media.wav_fingerprints(made.selectExpr("*", "'old' AS fingerprints", "id AS t", "id AS hash")).orderBy("id")
+    assert again.columns == ["id", "data", "media", "t", "hash", "fingerprints"]
+    assert [r.fingerprints for r in again.collect()] == [r.fingerprints for r in out]
+    assert media.wav_fingerprints(made.limit(0)).count() == 0
+
+
+def test_media_of_many_frames():
+    """More frames than a block of transforms takes at once give what a plain transform gives."""
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 256, 288 * (media.BLOCK + 40) + 576).astype(np.uint8).tobytes()
+    t, h = media.pair_fingerprints(samples)
+    assert list(zip(t.tolist(), h.tolist(), strict=True)) == brute_fingerprints(samples)
 
 
 def test_peaks_find_tones():

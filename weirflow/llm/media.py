@@ -82,25 +82,36 @@ def pair_fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_wav(df: DataFrame, data_col: str, media_col: str = "media", rate: int = RATE) -> DataFrame:
-    """``df`` with a binary column of WAV files whose 8-bit samples are the bytes of ``data_col`` (null: null)."""
+    """``df`` with a binary column of WAV files whose 8-bit samples are the bytes of ``data_col`` (null: null, empty: no samples).
+
+    An old column named ``media_col`` is replaced. Rows are taken one by one; an empty table stays empty.
+    """
 
     @F.pandas_udf("binary")
     def encode(s):
         return s.map(lambda b: None if b is None else wav_bytes(bytes(b), rate))
 
-    return df.withColumn(media_col, encode(F.col(data_col)))
+    return df.withColumn(media_col, encode(F.col(f"`{data_col}`")))
 
 
 def wav_fingerprints(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """``df`` with ``fingerprints``, an array of (t, hash) in order of time, from a column of WAV files (null: null)."""
-    schema = T.StructType(df.schema.fields).add("fingerprints", T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("hash", T.IntegerType())])))
+    """``df`` with ``fingerprints``, an array of (t, hash) in order of time, from a column of WAV files (null: null).
+
+    An old column of that name is replaced. Equal files get equal arrays, files shorter than a frame are padded with
+    silence; an empty table stays empty. What is no WAV file is an error.
+    """
+    pairs = T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("hash", T.IntegerType())]))
+    source = df.drop("fingerprints")
+    schema = T.StructType([*source.schema.fields, T.StructField("fingerprints", pairs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [None if m is None else pair_fingerprints(wav_samples(m)) for m in b.column(media_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, time_coded(found)], [*b.schema.names, "fingerprints"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [None if m is None else pair_fingerprints(wav_samples(m)) for m in b.column(media_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, time_coded(found)], [*b.schema.names, "fingerprints"])
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def time_coded(found: list) -> pa.Array:
