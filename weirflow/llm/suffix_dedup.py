@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,36 +329,47 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * (also is not None) + ", kept binary" * with_kept
     names = [c.split()[0] for c in kind.split(", ")]
 
-    def union(cuts: list[dict], length: int) -> list[list[int]]:
-        out: list[list[int]] = []
-        for x, y in sorted((c["start"], c["stop"]) for c in cuts if c["length"] == length):
-            if out and x <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], y)
-            else:
-                out.append([x, y])
-        return out
+    def union(rows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, starts and stops of the maximal runs that each row's spans cover, in order."""
+        order = np.lexsort((starts, rows))
+        base = rows[order] << 40  # beyond any place in the rows before
+        start, reach = base + starts[order], np.maximum.accumulate(base + stops[order])
+        new = np.flatnonzero(np.append(True, start[1:] > reach[:-1])[: len(start)])
+        end = reach[np.append(new[1:], len(start))[: len(new)] - 1]
+        return rows[order][new], starts[order][new], end - base[new]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 b = whole.slice(low, 500)
-                cols: list[list] = [[] for _ in range(5)]
-                for sha, raw, cuts in zip(*(b.column(c).to_pylist() for c in ("sha", "raw", "gone")), strict=True):
-                    removed, kept, at = union(cuts or [], width), [], 0
-                    for x, y in removed:
-                        kept.append(raw[at:x])
-                        at = y
-                    left = b"".join([*kept, raw[at:]]) if raw is not None else None
-                    cols[0].append(sum(y - x for x, y in removed))
-                    cols[1].append(len(removed))
-                    cols[2].append(hashlib.sha256(left).hexdigest() if removed else sha.hex())
-                    cols[3].append(sum(y - x for x, y in union(cuts or [], least)))
-                    cols[4].append(left)
-                arrays = [b.column("doc_id"), b.column("n_bytes"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
+                cuts = b.column("gone")
+                rows = pa.compute.list_parent_indices(cuts).to_numpy().astype(np.int64)
+                of, start, stop = (pa.compute.struct_field(cuts.flatten(), c).to_numpy() for c in ("length", "start", "stop"))
+                spans_of = {}
+                for length in lengths:
+                    own = of == length
+                    spans_of[length] = union(rows[own], start[own], stop[own])
+                row, start, stop = spans_of[width]
+                removed = np.bincount(row, stop - start, b.num_rows).astype(np.int64)
+                first = np.searchsorted(row, np.arange(b.num_rows + 1))
+                digests, left = [], []
+                for k, (sha, raw) in enumerate(zip(b.column("sha").to_pylist(), b.column("raw").to_pylist(), strict=True)):
+                    kept = raw
+                    if removed[k]:
+                        parts, at = [], 0
+                        for x, y in zip(start[first[k] : first[k + 1]].tolist(), stop[first[k] : first[k + 1]].tolist(), strict=True):
+                            parts.append(raw[at:x])
+                            at = y
+                        kept = b"".join([*parts, raw[at:]])
+                        sha = hashlib.sha256(kept).digest()
+                    digests.append(sha.hex())
+                    left.append(kept)
+                arrays = [b.column("doc_id"), b.column("n_bytes"), pa.array(removed), pa.array(first[1:] - first[:-1]), pa.array(digests, pa.string())]
                 if also is not None:
-                    arrays.append(pa.array(cols[3], pa.int64()))
+                    row, start, stop = spans_of[also]
+                    arrays.append(pa.array(np.bincount(row, stop - start, b.num_rows).astype(np.int64)))
                 if with_kept:
-                    arrays.append(pa.array(cols[4], pa.binary()))
+                    arrays.append(pa.array(left, pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return last.mapInArrow(remove, kind)
