@@ -55,21 +55,36 @@ def test_near_dedup_edges(edge, nothing):
     assert near_dedup.near_dedup(nothing).count() == 0
 
 
+def variants(rng, n, words, most):
+    """Texts that each differ from one of so many words in up to ``most`` places."""
+    out = []
+    for _ in range(n):
+        own = list(words)
+        for at in rng.choice(len(words), rng.integers(0, most), replace=False):
+            own[at] = f"x{rng.integers(1000)}"
+        out.append(" ".join(own))
+    return out
+
+
 def test_near_dedup_blocks(spark, monkeypatch):
-    """Buckets and clusters that need many blocks give the same components."""
+    """Buckets and clusters that need many blocks give the same components, near their leader or far from it."""
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(120)]
-    docs = []
-    for i in range(60):
-        words = list(base)
-        for at in rng.choice(120, rng.integers(0, 5), replace=False):
-            words[at] = f"x{rng.integers(1000)}"
-        docs.append((i, " ".join(words)))
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 1500)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    for percent in (85, 80):
-        check_near(df, percent)
+    for most, n in ((5, 60), (14, 120)):
+        docs = spark.createDataFrame(list(enumerate(variants(rng, n, base, most))), "doc_id long, text string")
+        for percent in (85, 80):
+            check_near(docs, percent)
+
+
+def test_hot_group_is_dealt_once(spark):
+    """A group of many blocks is dealt row by row, its leader to each block; the rest goes to as few as hold it."""
+    rows = spark.range(1000).selectExpr("7L AS bucket", "id AS rep", "3L AS leader", "1000L AS size", "20 AS blocks")
+    assert near_dedup.dealt(rows, "bucket", "rep", "leader", "blocks").count() == 999 + 20
+    still = spark.range(900, 930).selectExpr("7L AS group", "id AS a")
+    counts = {r.rest: r["count"] for r in near_dedup.dealt_rest(rows, still, "bucket", "rep", "blocks").groupBy("rest").count().collect()}
+    assert counts == {True: 30 * 20, False: 1000}
 
 
 def test_bands_miss_few():

@@ -60,19 +60,24 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc", max
     both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     current, path = written(both.distinct(), f"{name}-edges")
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        """Hang the larger (small star: the smaller) neighbours of each node, and itself, on its smallest neighbour."""
+    def star(e: DataFrame, small: bool) -> tuple[DataFrame, str]:
+        """Hang the larger (small star: the smaller) neighbours of each node, and itself, on its smallest neighbour.
+
+        The minima are written, so that both sides of the join are plain shuffles, of which a hot node's can be split.
+        """
         if small:
             near = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         else:
             near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = near.join(least, "u")
+        least, path = written(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+        hung = near.join(least.hint("merge"), "u")
         if small:
             out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         else:
             out = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.filter("u <> v").distinct()
+        out, out_path = written(out.filter("u <> v").distinct(), f"{name}-edges")
+        drop_path(spark, path)
+        return out, out_path
 
     def mark(e: DataFrame) -> tuple:
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -82,7 +87,9 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc", max
     for _ in range(max_rounds):
         if not before[0]:
             break
-        step, step_path = written(star(star(current, False), True), f"{name}-edges")
+        half, half_path = star(current, False)
+        step, step_path = star(half, True)
+        drop_path(spark, half_path)
         after = mark(step)
         drop_path(spark, path)
         current, path = step, step_path

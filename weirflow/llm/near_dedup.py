@@ -5,9 +5,9 @@ cut into bands; classes that share a band are candidates of each other. Candidat
 batch, and a pair is dropped as soon as the posterior chance that it is similar enough falls under the miss probability.
 What survives joins classes to clusters; inside each, links are confirmed on the full sets.
 
-A class in the middle of a cluster, its leader, is compared with all others first. Those linked to it are one component
-and need no comparison with each other; only the rest is compared with everyone. Buckets and clusters of any size are
-cut into blocks, and pairs of blocks are tasks. Nothing is capped, and no list of pairs is made.
+Buckets and clusters of any size are cut into blocks. In each block of a large one its leader, which goes to all of
+them, is compared with all others; those linked to it are one component and need no comparison with each other. Only
+the rest, block by block, is compared with everyone. Nothing is capped, and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,31 +135,42 @@ class Joined:
         return [(int(ids[k]), int(ids[r])) for k in range(len(ids)) if (r := self.find(k)) != k]
 
 
-def surviving(sketch: np.ndarray, joined: Joined, percent: int = PERCENT) -> None:
-    """Join the rows whose signatures stay likely to be similar, comparing batch by batch."""
-    steps = least_matches(percent)
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which signatures of ``x`` stay likely to be similar to their row of ``y`` (or to its only row), batch by batch."""
+    y = np.broadcast_to(y, x.shape)
+    on, match = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for k, least in least_matches(percent):
+        match = match + (x[on, k - BATCH : k] == y[on, k - BATCH : k]).sum(1)
+        on, match = on[match >= least], match[match >= least]
+    out = np.zeros(len(x), bool)
+    out[on] = True
+    return out
+
+
+def surviving(sketch: np.ndarray, joined: Joined, percent: int = PERCENT, first: int | None = None) -> None:
+    """Join the rows whose signatures stay likely to be similar; with ``first``, so many rows with those after them only."""
+    least = least_matches(percent)[0][1]
     n = len(sketch)
-    for low in range(0, n - 1, 32):
-        rows = np.arange(low, min(low + 32, n - 1))
-        first = (sketch[rows, None, :BATCH] == sketch[None, low + 1 :, :BATCH]).sum(2, dtype=np.uint8)
-        a, b = np.nonzero(first >= steps[0][1])
-        a, b = rows[a], b + low + 1
+    for low in range(0, n - 1 if first is None else first, 32):
+        start = low + 1 if first is None else first
+        rows = np.arange(low, min(low + 32, n - 1 if first is None else first))
+        same = (sketch[rows, None, :BATCH] == sketch[None, start:, :BATCH]).sum(2, dtype=np.uint8)
+        a, b = np.nonzero(same >= least)
+        a, b = rows[a], b + start
         a, b = a[b > a], b[b > a]
         if len(a):
             root = np.fromiter(map(joined.find, range(n)), np.int64, n)
             a, b = a[root[a] != root[b]], b[root[a] != root[b]]
-        match = None
-        for k, least in steps[1:]:
-            new = (sketch[a, k - BATCH : k] == sketch[b, k - BATCH : k]).sum(1)
-            match = new + ((sketch[a, :BATCH] == sketch[b, :BATCH]).sum(1) if match is None else match)
-            on = match >= least
-            a, b, match = a[on], b[on], match[on]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        on = alike(sketch[a], sketch[b], percent)
+        for x, y in zip(a[on].tolist(), b[on].tolist(), strict=True):
             joined.join(x, y)
 
 
-def confirmed(sets: list[np.ndarray], leader: int, joined: Joined, percent: int = PERCENT) -> None:
-    """Join the rows whose full sets are similar enough; ``leader`` is compared first, then all that is not linked to it."""
+def confirmed(sets: list[np.ndarray], rows: list[int], joined: Joined, percent: int = PERCENT, leader: int | None = None) -> None:
+    """Join ``rows`` with all rows whose full sets are similar enough.
+
+    Those joined to ``leader``, itself apart, are passed over: what they alone are linked to is among the other rows.
+    """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     ends = sizes.cumsum()
     _, which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -177,10 +189,8 @@ def confirmed(sets: list[np.ndarray], leader: int, joined: Joined, percent: int
         near = np.flatnonzero(100 * common >= percent * (sizes + sizes[x] - common))
         return near[near != x]
 
-    for y in links(leader).tolist():
-        joined.join(leader, y)
-    for x in range(len(sets)):
-        if joined.find(x) != joined.find(leader):
+    for x in rows:
+        if leader is None or x == leader or joined.find(x) != joined.find(leader):
             for y in links(x).tolist():
                 joined.join(x, y)
 
@@ -208,21 +218,49 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-EDGE = ["a", "b"]
+FOUND = ["a", "b", "group"]
+FOUND_KIND = "a long, b long, group long"
+
+
+def gathered(found: Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of the edges, and of the (group, member) that are not linked to their leader, whose ``b`` is null."""
+    rows: list[tuple] = []
+    for edges, still in found:
+        rows += [(x, y, None) for x, y in edges]
+        rows += [(x, None, group) for group, x in still]
+        if len(rows) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], FOUND)
+            rows = []
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], FOUND)
+
+
+def dealt(df: DataFrame, group: str, node: str, leader: str, blocks: str) -> DataFrame:
+    """Rows of each group dealt to ``blocks`` blocks, one each; the group's leader to all of them."""
+    every = F.sequence(F.lit(0), F.col(blocks) - 1)
+    own = F.array(F.pmod(F.xxhash64(node, F.lit(3)), F.col(blocks)).cast("int"))
+    out = df.withColumn("i", F.explode(F.when(F.col(node) == F.col(leader), every).otherwise(own)))
+    return out.repartition(group, "i").sortWithinPartitions(group, "i", node)
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], EDGE)
+def dealt_rest(df: DataFrame, still: DataFrame, group: str, node: str, blocks: str) -> DataFrame:
+    """Of groups with members in ``still`` (group, a), these (``rest``) and all members dealt to pairs of their blocks."""
+    sizes = still.groupBy("group").agg(F.count("*").alias("n_rest"))
+    keep = [c for c in df.columns if c != "leader"]
+    whole = df.join(sizes.hint("merge"), F.col(group) == F.col("group")).drop("group")
+    whole, _ = written(whole.withColumn("rest_blocks", F.ceil(F.col("n_rest") * F.col(blocks) / F.col("size")).cast("int")), "near-open")
+    rest = whole.join(still.hint("merge"), (F.col(group) == F.col("group")) & (F.col(node) == F.col("a")), "left_semi")
+    own = lambda n: F.pmod(F.xxhash64(node, F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rest.select(*keep, F.lit(True).alias("rest"), own("rest_blocks").alias("i"), every(blocks).alias("j"))
+    rows = rest.unionByName(whole.select(*keep, F.lit(False).alias("rest"), every("rest_blocks").alias("i"), own(blocks).alias("j")))
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", F.desc("rest"), node)
 
 
-def _blocked(df: DataFrame, key: str, blocks: str, node: str, everywhere=None) -> DataFrame:
-    """Rows of each key dealt to ``blocks`` blocks, once for each pair of blocks that a task compares."""
-    own = F.pmod(F.xxhash64(node, F.lit(3)), F.col(blocks)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda k: F.struct(F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j")))
-    if everywhere is not None:
-        every = F.flatten(F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.transform(F.sequence(i, F.col(blocks) - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        pairs = F.when(everywhere, every).otherwise(pairs)
-    return df.withColumn("_own", own).withColumn("_ij", F.explode(F.array_distinct(pairs))).withColumns({"i": F.col("_ij.i"), "j": F.col("_ij.j")}).drop("_own", "_ij").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
+def linked_pairs(found: DataFrame, rest) -> DataFrame:
+    """The edges among ``found`` and those that ``rest``, called with the members not linked to their leader, finds."""
+    found, _ = written(found, "near-found")
+    edges, still = found.filter("b IS NOT NULL"), found.filter("b IS NULL").select("group", "a")
+    return edges if not still.limit(1).count() else edges.unionByName(rest(still))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,49 +304,65 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("mark")).filter("size > 1")
     buckets, _ = written(buckets.groupBy("size", "low", "mark").agg(F.min("bucket").alias("bucket")), "near-buckets")
-    members = banded.join(buckets.select("bucket", "size").hint("merge"), "bucket")
+    members = banded.join(buckets.select("bucket", "size", F.col("low").alias("leader")).hint("merge"), "bucket")
     members = members.join(classes.select("rep", "sketch").hint("merge"), "rep")
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
+    members = members.select("bucket", "rep", "leader", "size", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"), "sketch")
+
+    def sketches(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return g.column("rep").to_numpy(), np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(g), HASHES)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g in by_group(batches, ["bucket", "i"]):
+            rep, sketch = sketches(g)
+            if g.column("blocks")[0].as_py() == 1:
+                joined = Joined(len(rep))
+                surviving(sketch, joined, percent)
+                yield joined.edges(rep), []
+            else:
+                leader, bucket = g.column("leader")[0].as_py(), g.column("bucket")[0].as_py()
+                near = alike(sketch, sketch[rep == leader], percent)
+                yield [(x, leader) for x in rep[near].tolist()], [(bucket, x) for x in rep[~near].tolist()]
+
+    def sieve_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for g in by_group(batches, ["bucket", "i", "j"]):
-            rep = g.column("rep").to_numpy()
-            sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(rep), HASHES)
+            rep, sketch = sketches(g)
             joined = Joined(len(rep))
-            surviving(sketch, joined, percent)
-            edges += joined.edges(rep)
-            if len(edges) > 10_000:
-                yield _edge_batch(edges)
-                edges = []
-        yield _edge_batch(edges)
-
-    sieved = _blocked(members.withColumn("blocks", blocks), "bucket", "blocks", "rep").select("bucket", "i", "j", "rep", "sketch")
-    clusters = connected_components(sieved.mapInArrow(sieve, "a long, b long"), "a", "b", "near-likely")
+            surviving(sketch, joined, percent, int(pa.compute.sum(g.column("rest")).as_py()))
+            yield joined.edges(rep), []
+
+    rows = dealt(members, "bucket", "rep", "leader", "blocks").mapInArrow(lambda b: gathered(sieve(b)), FOUND_KIND)
+    sieved = linked_pairs(rows, lambda still: dealt_rest(members.filter("blocks > 1"), still, "bucket", "rep", "blocks").mapInArrow(lambda b: gathered(sieve_rest(b)), FOUND_KIND))
+    clusters = connected_components(sieved, "a", "b", "near-likely")
     clusters, _ = written(clusters, "near-clusters")
 
     # Clusters and their leaders: the class with most copies, of those the first.
     inside = classes.select("rep", "n", "copies").join(clusters.select(F.col("node").alias("rep"), "component").hint("merge"), "rep")
-    heads = inside.groupBy("component").agg(F.sum("n").alias("weight"), F.max(F.struct("copies", (-F.col("rep")).alias("r"))).alias("h"))
-    heads, _ = written(heads.select("component", (-F.col("h.r")).alias("leader"), F.ceil(F.col("weight") / CLUSTER_BLOCK).cast("int").alias("blocks")), "near-heads")
-    nodes, _ = written(inside.join(heads.hint("merge"), "component").select("rep", "component", "leader", "blocks"), "near-nodes")
-    full = source.join(nodes.hint("merge"), F.col("doc_id") == F.col("rep"))
+    heads = inside.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max(F.struct("copies", (-F.col("rep")).alias("r"))).alias("h"))
+    heads, _ = written(heads.select("component", "size", (-F.col("h.r")).alias("leader"), F.ceil(F.col("weight") / CLUSTER_BLOCK).cast("int").alias("blocks")), "near-heads")
+    nodes, _ = written(inside.join(heads.hint("merge"), "component").select("rep", "component", "size", "leader", "blocks"), "near-nodes")
+    full = source.join(nodes.hint("merge"), F.col("doc_id") == F.col("rep")).select("component", "rep", "size", "leader", "blocks", "text")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
-        for g in by_group(batches, ["component", "i", "j"]):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g in by_group(batches, ["component", "i"]):
             rep = g.column("rep").to_numpy()
             leader = int(np.flatnonzero(rep == g.column("leader")[0].as_py())[0])
+            whole = g.column("blocks")[0].as_py() == 1
             joined = Joined(len(rep))
-            confirmed([shingles(t) for t in g.column("text").to_pylist()], leader, joined, percent)
-            edges += joined.edges(rep)
-            if len(edges) > 10_000:
-                yield _edge_batch(edges)
-                edges = []
-        yield _edge_batch(edges)
-
-    dealt = _blocked(full, "component", "blocks", "rep", F.col("rep") == F.col("leader")).select("component", "i", "j", "rep", "leader", "text")
-    linked = connected_components(dealt.mapInArrow(verify, "a long, b long"), "a", "b", "near-links")
+            confirmed([shingles(t) for t in g.column("text").to_pylist()], [leader, *(x for x in range(len(rep)) if x != leader)] if whole else [leader], joined, percent, leader)
+            component = g.column("component")[0].as_py()
+            yield joined.edges(rep), [] if whole else [(component, x) for k, x in enumerate(rep.tolist()) if joined.find(k) != joined.find(leader)]
+
+    def verify_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g in by_group(batches, ["component", "i", "j"]):
+            rep = g.column("rep").to_numpy()
+            joined = Joined(len(rep))
+            n_rest = int(pa.compute.sum(g.column("rest")).as_py())
+            confirmed([shingles(t) for t in g.column("text").to_pylist()], list(range(n_rest)), joined, percent)
+            yield joined.edges(rep), []
+
+    rows = dealt(full, "component", "rep", "leader", "blocks").mapInArrow(lambda b: gathered(verify(b)), FOUND_KIND)
+    confirmed_pairs = linked_pairs(rows, lambda still: dealt_rest(full.filter("blocks > 1"), still, "component", "rep", "blocks").mapInArrow(lambda b: gathered(verify_rest(b)), FOUND_KIND))
+    linked = connected_components(confirmed_pairs, "a", "b", "near-links")
 
     named = classes.select("k1", "k2", "rep").join(linked.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     named, _ = written(named.select("k1", "k2", F.coalesce("component", "rep").alias("component")), "near-named")
