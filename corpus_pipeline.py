@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's
-documents; all but the last return the columns of documents. Empty tables go through; nulls and repeated rows are
-treated as the operators say.
+documents; all but the last return the columns of documents. Empty tables go through; nulls, repeated rows, ties and long
+texts are treated as the operators say, and columns of the documents may have any names.
 """
 
 from __future__ import annotations
@@ -20,18 +20,19 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts, however long, one document stays: that with the largest id; of rows that repeat it, one."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own", sha256_hex(F.col("text")))
-    both = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    one = Window.partitionBy("doc_id", "_own").orderBy("_own")  # rows that repeat an id and its text
-    return both.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), sha256_hex(F.col("text")).alias("_own"))
+    both = rows.join(kept.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    one = Window.partitionBy("_doc.doc_id", "_own").orderBy("_own")  # rows that repeat an id and its text
+    return both.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select("_doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays; rows that repeat its id stay with it."""
     kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return rows.join(kept.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")), "left_semi").select("_doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

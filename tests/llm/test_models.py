@@ -1,6 +1,10 @@
+import warnings
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import BASE
 from weirflow.llm import language_id, media, mixing, toxicity
@@ -48,15 +52,41 @@ def test_language_id_edges(edge, nothing):
     assert language_id.identify(nothing).count() == 0
 
 
-def test_mixing_meets_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    rows = mixing.mix(docs, labels).select("mix.*").toPandas()
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixing_meets_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "source")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    rows = mixing.mix(docs, labels).select("doc_id", "mix.*").toPandas()
     p, n, rate = np.stack(rows["p"].to_numpy()), rows["tokens"].to_numpy(), rows["rate"].to_numpy()
-    assert np.allclose(p.sum(1), 1) and rate.min() >= 0 and rate.max() <= mixing.MAX_RATE
+    assert np.allclose(p.sum(1), 1) and rate.min() >= 0
     got = (p * (n * rate)[:, None]).sum(0) / n.sum()
     want = np.array([mixing.TARGETS[d] for d in ((0, 0), (0, 1), (1, 0), (1, 1))])
     assert np.abs(got - want).max() < 0.01
+    truth = labels.selectExpr("doc_id", "2 * quality + toxic AS domain").toPandas().drop_duplicates("doc_id").merge(rows, on="doc_id")
+    right = (np.stack(truth["p"].to_numpy()).argmax(1) == truth["domain"]).mean()
+    assert right > truth["domain"].value_counts(normalize=True).max()
+
+
+def test_mixing_posterior_by_hand(spark):
+    """The posterior over the four domains is that of a naive Bayes model computed plainly."""
+    docs = [(1, "sun sun moon", 1, 0), (2, "moon rain", 1, 0), (3, "mud rain mud", 0, 0), (4, "filth sun", 1, 1), (5, "filth mud", 0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int, toxic int")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        got = {r.doc_id: r.mix.p for r in mixing.mix(df, df).collect()}
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in ("sun", "moon", "rain", "mud", "filth")], "w string").select("w", mixing.buckets(F.col("w"))[0].alias("b")).collect()}
+    assert len(set(bucket.values())) == 5
+    count = {d: Counter() for d in range(4)}
+    for _, text, q, t in docs:
+        count[2 * q + t].update(text.split())
+    every = sum(count.values(), Counter())
+    for i, text, *_ in docs:
+        logs = []
+        for d in range(4):
+            n = sum(2 * q + t == d for _, _, q, t in docs)
+            logs.append(np.log(n + 1) + sum(np.log((count[d][w] + mixing.SMOOTHING * every[w] / every.total()) / (count[d].total() + mixing.SMOOTHING)) for w in text.split()))
+        want = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(got[i], want / want.sum(), atol=1e-4)
 
 
 def test_mixing_edges(spark, edge, nothing):

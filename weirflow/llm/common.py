@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves a session of one machine; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weirflow/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weirflow/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -33,11 +41,27 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Paths of tables written in this process and not deleted yet.
+_WRITTEN: set[str] = set()
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that operators of this process have written and their results may still read; how many.
+
+    To be called when the results have been stored.
+    """
+    paths = list(_WRITTEN)
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more, in whatever store it lies."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.discard(path)
 
 
 def utf8(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Soft-membership mixing: rates of documents whose expected domain totals match target weights.
 
-A classifier trained on the labelled table gives every document a posterior over domains, the combinations of the binary
-label columns. Projected-gradient least squares then finds a rate for each document, zero or more, at which the
+A classifier trained on the labelled table gives every document one posterior over all domains, the combinations of the
+binary label columns. Projected-gradient least squares then finds a rate for each document, zero or more, at which the
 expected tokens of each domain match its target. Everything is DataFrame operations; the driver holds a matrix of domains.
 
 The gradient is taken in the norm that weighs a document by its tokens, so a rate depends on what a document is, not on
@@ -59,31 +59,26 @@ def tokens(text: Column) -> Column:
     return (F.char_length(t) - F.char_length(F.translate(t, " \n", "")) + 1).cast("double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, sample_docs: int) -> list[tuple[list[float], float]]:
-    """For each label column a weight for each bucket and a prior log-odds, by multinomial naive Bayes on the sample."""
+def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], domains: list[tuple], id_col: str, text_col: str, sample_docs: int) -> list[tuple[list[float], float]]:
+    """For each domain but the first its log-odds against the first, by bucket and before any word: multinomial naive Bayes."""
     ys = [f"y_{k}" for k in range(len(label_cols))]
     known = labels.groupBy(F.col(id_col).alias("label_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"y_{k}") for k, c in enumerate(label_cols)])
+    known = known.filter(" AND ".join(f"{y} IN (0, 1)" for y in ys))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)  # ids and labels only
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("label_id")).select(*ys, buckets(F.col("_text")).alias("b"))
+    domain = sum((F.col(y) * (1 << k) for k, y in enumerate(reversed(ys))), F.lit(0))  # its place in the order of product((0, 1), ...)
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("label_id")).select(domain.alias("d"), buckets(F.col("_text")).alias("b"))
     sample, path = written(rows, "mix-sample")
-    n_docs = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
-    cells = sample.select(*ys, F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys])
-    found = cells.collect()  # at most BUCKETS rows
-    every = float(sum(r["n"] for r in found))
-    out = []
-    for y in ys:
-        n1 = float(sum(r[y] or 0 for r in found))
-        n0 = every - n1
-        weights = [0.0] * BUCKETS
-        for r in found:
-            a1 = float(r[y] or 0)
-            pooled = SMOOTHING * r["n"] / every
-            weights[r["b"] - 1] = math.log((a1 + pooled) / (n1 + SMOOTHING)) - math.log((r["n"] - a1 + pooled) / (n0 + SMOOTHING))
-        d1 = float(n_docs[y] or 0)
-        out.append((weights, math.log((d1 + 1) / (n_docs["n"] - d1 + 1))))
+    of_docs, cells = np.ones(len(domains)), np.zeros((len(domains), BUCKETS))
+    for r in sample.groupBy("d").count().collect():  # a row a domain
+        of_docs[r["d"]] += r["count"]
+    for r in sample.select("d", F.explode("b").alias("b")).groupBy("d", "b").count().collect():  # at most BUCKETS rows a domain
+        cells[r["d"], r["b"] - 1] = r["count"]
     drop_path(docs.sparkSession, path)
-    return out
+    every = max(cells.sum(), 1.0)
+    logs = np.log((cells + SMOOTHING * np.maximum(cells.sum(0), 0.5) / every) / (cells.sum(1, keepdims=True) + SMOOTHING))
+    prior = np.log(of_docs)
+    return [((logs[k] - logs[0]).tolist(), float(prior[k] - prior[0])) for k in range(1, len(domains))]
 
 
 def evidence(weights: list[float]) -> Column:
@@ -91,14 +86,18 @@ def evidence(weights: list[float]) -> Column:
     return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b.cast("int")))
 
 
-def posteriors(docs: DataFrame, models: list[tuple[list[float], float]], text_col: str) -> list[Column]:
-    """Columns over ``_b`` (buckets): the posterior of each domain, in the order of product((0, 1), ...)."""
-    size = F.greatest(F.size("_b"), F.lit(1))
-    scale = F.least(F.lit(1.0), F.lit(float(FULL_WORDS)) / size)
-    p = []
-    for weights, prior in models:
-        p.append(1 / (1 + F.exp(-(F.lit(prior) + evidence(weights) * scale))))
-    return p
+def odds(models: list[tuple[list[float], float]]) -> list[Column]:
+    """Columns over ``_b`` (buckets): the log-odds of each domain but the first against the first."""
+    scale = F.least(F.lit(1.0), F.lit(float(FULL_WORDS)) / F.greatest(F.size("_b"), F.lit(1)))
+    return [F.lit(prior) + evidence(weights) * scale for weights, prior in models]
+
+
+def posterior(logits: list[Column]) -> list[Column]:
+    """Each domain's share, the first's logit being zero; logits are held against the largest, so nothing overflows."""
+    every = [F.lit(0.0), *logits]
+    top = F.greatest(*every)
+    total = sum((F.exp(x - top) for x in every), F.lit(0.0))
+    return [F.exp(x - top) / total for x in every]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
@@ -107,23 +106,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
     Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. Where no rates
     meet them, the rates of the least loss are given, and a RuntimeWarning names each domain that is off and by how much.
     Null and empty texts count one token and have the prior's posterior.
-    Ids may be null or repeat. Without labels all posteriors are even; an empty table gives an empty result.
+    Ids may be null or repeat; of labels that repeat an id the largest count, and one that lacks a label or has it neither
+    0 nor 1 is left out. Without labels all posteriors are even; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     targets = targets or TARGETS
     domains = list(product((0, 1), repeat=len(label_cols)))
-    models = fit(docs, labels, list(label_cols), id_col, text_col, sample_docs)
+    models = fit(docs, labels, list(label_cols), domains, id_col, text_col, sample_docs)
     keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
     base = docs.select(keep.alias("_doc"), buckets(F.col(text_col)).alias("_b"), tokens(F.col(text_col)).alias("_n"))
-    logits = posteriors(base, models, text_col)
-    base = base.withColumns({f"_q{k}": q for k, q in enumerate(logits)})
-    joint = {}
-    for k, d in enumerate(domains):
-        p = F.lit(1.0)
-        for j, v in enumerate(d):
-            p = p * (F.col(f"_q{j}") if v else 1 - F.col(f"_q{j}"))
-        joint[f"_p{k}"] = p
-    scored, _ = written(base.withColumns(joint).drop("_b", *[f"_q{k}" for k in range(len(models))]), "mix-scored")
+    base = base.select("_doc", "_n", *[x.alias(f"_q{k}") for k, x in enumerate(odds(models), 1)])
+    shares = posterior([F.col(f"_q{k}") for k in range(1, len(domains))])
+    scored, _ = written(base.select("_doc", "_n", *[p.alias(f"_p{k}") for k, p in enumerate(shares)]), "mix-scored")
     ps = [F.col(f"_p{k}") for k in range(len(domains))]
 
     history = solve(start(scored.select("_n", *ps)), ps, [targets.get(d, 0.0) for d in domains], domains, rounds)
@@ -229,4 +223,6 @@ def realise(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     chance = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.col("mix.rate") + chance).cast("int")
-    return mixed.withColumn("_times", times).filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "mix")
+    own = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c != "mix"])
+    rows = mixed.select(own.alias("_doc"), times.alias("_times")).filter("_times > 0")
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
