@@ -10,6 +10,7 @@ is trained; the classifier then scores every whole text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import utf8, written
+from weirflow.llm.common import drop_path, written
 
 # Words that abuse people, by kind and language.
 STUPIDITY = "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile imbeciles cretin dimwit halfwit fool fools retard retarded clown clowns".split()
@@ -55,23 +56,53 @@ MIN_LOG_ODDS = 1.7
 MAX_STEMS = 4000
 
 
-def terms(text: str | None) -> tuple[set[str], set[str]]:
-    """The text's distinct lower-cased words; these and their stems, which end in a star."""
+def terms(text: str | None) -> set[str]:
+    """The text's distinct lower-cased words and their stems, which end in a star."""
     words = set(WORD.findall((text or "").lower()))
-    return words, words | {w[:k] + "*" for k in STEM_CHARS for w in words if len(w) >= k}
+    return words | {w[:k] + "*" for k in STEM_CHARS for w in words if len(w) >= k}
 
 
-def votes(text: str | None, words: set[str], learned: frozenset[str]) -> int:
-    """The voters that call the text toxic, as bits."""
+class Words:
+    """What each word brings: whether a learned stem is in it, and which of the model's terms it has; kept for the words met last."""
+
+    KEPT = 1 << 17
+
+    def __init__(self, learned: frozenset[str], known: dict[str, float] | None = None):
+        self.learned, self.known, self.held = learned, known or {}, {}
+
+    def __getitem__(self, word: str) -> tuple[bool, tuple[str, ...]]:
+        got = self.held.get(word)
+        if got is None:
+            if len(self.held) >= self.KEPT:
+                self.held.clear()
+            stems = [word[:k] + "*" for k in STEM_CHARS if len(word) >= k]
+            got = self.held[word] = (any(s in self.learned for s in stems), tuple(t for t in (word, *stems) if t in self.known))
+        return got
+
+
+def votes(text: str | None, words: set[str], stems: int) -> int:
+    """The voters that call the text toxic, as bits; ``stems`` of its words have a learned stem."""
     bits = bool(SHOUT.search(text or "")) << 9
     if hit := words & _ABUSIVE:
         lists = [bool(hit & s) for s in _SETS]
         bits |= sum(1 << k for k, x in enumerate(lists) if x)
         bits |= (len(hit) >= 2) << 6 | (len(hit) >= 3) << 7 | bool(ADDRESSED.search(text)) << 8 | 1 << 10
-    n = sum(any(w[:k] + "*" in learned for k in STEM_CHARS) for w in words) if learned else 0
+    n = stems
     return bits | (n >= 1) << 11 | (n >= 2) << 12 | (n >= 4) << 13 | (n >= 8) << 14 | (n >= 2 and n >= 0.03 * len(words)) << 15
 
 
+def looked_at(text: str | None, about: Words) -> tuple[int, set[str]]:
+    """A text's votes, and those of the model's terms that it has."""
+    words = set(WORD.findall((text or "").lower()))
+    stems, found = 0, set()
+    for w in words:
+        hit, own = about[w]
+        stems += hit
+        if own:
+            found.update(own)
+    return votes(text, words, stems), found
+
+
 class LabelModel:
     """P(toxic), P(vote | class, vote of the parent) and the labels' accuracy: a tree-augmented naive Bayes model.
 
@@ -141,28 +172,40 @@ def _bits(patterns: np.ndarray) -> np.ndarray:
     return ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(np.int64)
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, l2: np.ndarray, steps: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft targets; features are 0 or 1, at (rows, cols)."""
+def fit_linear(cols: np.ndarray, ends: np.ndarray, width: int, target: np.ndarray, l2: np.ndarray, steps: int = 500, block: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft targets; row k has features ``cols[ends[k]:ends[k + 1]]``, each once.
+
+    Adam, one step a block of rows with about so many features, in turn; steps shrink to a tenth. Rows are in no order that
+    tells of their targets.
+    """
+    n = len(target)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) + 1, block)).clip(0, n), [0, n]))
+    blocks = [(low, high, np.repeat(np.arange(high - low, dtype=np.int32), np.diff(ends[low : high + 1]))) for low, high in zip(cuts, cuts[1:], strict=False)]
     w, b = np.zeros(width), float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6)))
     vw, vb, sw, sb = np.zeros(width), 0.0, np.zeros(width), 0.0
-    for t in range(1, steps + 1):  # Adam, full batch
-        z = np.bincount(rows, w[cols], n) + b
-        g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        gw, gb = np.bincount(cols, g[rows], width) / n + l2 * w, g.mean()
+    for t in range(1, steps + 1):
+        low, high, row = blocks[t % len(blocks)]
+        part = cols[ends[low] : ends[high]]
+        z = np.bincount(row, w[part], high - low) + b
+        g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target[low:high]
+        gw, gb = np.bincount(part, g[row], width) / (high - low) + l2 * w, g.mean()
         vw, sw = 0.9 * vw + 0.1 * gw, 0.999 * sw + 0.001 * gw**2
         vb, sb = 0.9 * vb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
         a, c = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.1 * (vw / a) / (np.sqrt(sw / c) + 1e-8)
-        b -= 0.1 * (vb / a) / (np.sqrt(sb / c) + 1e-8)
+        rate = 0.1 * (1 - 0.9 * t / steps)
+        w -= rate * (vw / a) / (np.sqrt(sw / c) + 1e-8)
+        b -= rate * (vb / a) / (np.sqrt(sb / c) + 1e-8)
     return w, b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD, max_words: int = MAX_WORDS, max_stems: int = MAX_STEMS) -> DataFrame:
     """Score every document: doc_id, held_out, score, predicted, votes (the voters that spoke up, as bits).
 
-    Training uses rows that are not held out: crc32 of the id as text, mod 3, other than 1. A null or empty text has no
-    words and no votes and gets the classifier's bias. A null id is held out. Without labels the label model starts
-    from the votes alone; an empty table gives an empty result. Repeated rows get equal scores.
+    Training uses rows that are not held out: crc32 of the id as text, mod 3, other than 1. The classifier is fitted to at
+    most ``sample_docs`` labelled documents and the ``max_words`` terms that most of them have; stems that vote are the
+    ``max_stems`` that most toxic ones have. A null or empty text has no words and no votes and gets the classifier's
+    bias. A null id is held out. Without labels the label model starts from the votes alone; an empty table gives an
+    empty result. Repeated rows get equal scores.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
@@ -172,68 +215,75 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # The sample: labelled training documents in the order of a hash, at most sample_docs of them.
     held_label = F.crc32(F.col("label_id").cast("string").cast("binary")) % 3 == 1
     ids = known.filter(~held_label).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)  # ids and labels only
-    chosen = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    sample, _ = written(texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"), "toxicity-sample")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sorted(terms(t)[1]) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(got, pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                got = [sorted(terms(t)) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.string()))], ["toxic", "terms"])
 
-    sample, _ = written(chosen.mapInArrow(features, "doc_id long, toxic int, terms array<string>"), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    by_term = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    by_term = sample.select("toxic", "text").mapInArrow(split, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
+    by_term, terms_path = written(by_term.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= MIN_WORD_DOCS), "toxicity-terms")
     odds = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (totals["n"] - totals["t"] + 1))
     stems = by_term.filter(F.col("term").endswith("*") & (F.col("t") >= MIN_STEM_DOCS) & (odds >= MIN_LOG_ODDS))
-    learned = frozenset(r["term"] for r in stems.orderBy(F.desc("t"), "term").limit(MAX_STEMS).collect())
+    learned = frozenset(r["term"] for r in stems.orderBy(F.desc("t"), "term").limit(max_stems).collect())
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about = Words(learned)
         for b in batches:
-            bits = pa.array([votes(t, terms(t)[0], learned) for t in b.column("text").to_pylist()], pa.int32())
+            bits = pa.array([looked_at(t, about)[0] for t in b.column("text").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), bits], ["doc_id", "bits"])
 
-    voted, _ = written(texts.filter("NOT held_out").mapInArrow(vote, "doc_id long, bits int"), "votes")
-    marked = voted.join(known, F.col("doc_id") == F.col("label_id"), "left")
+    marked = texts.filter("NOT held_out").mapInArrow(vote, "doc_id long, bits int").join(known, F.col("doc_id") == F.col("label_id"), "left")
     label = F.coalesce("toxic", F.lit(-1)).alias("label")
-    patterns = marked.groupBy("bits", label).agg(F.count("*").alias("n")).orderBy("bits", "label").toPandas()  # at most 3 * 2 ** len(VOTERS) rows
+    patterns = marked.groupBy("bits", label).agg(F.count("*").alias("n")).toPandas().sort_values(["bits", "label"])  # at most 3 * 2 ** len(VOTERS) rows
     model = LabelModel(*(patterns[c].to_numpy(int) for c in ("bits", "label", "n"))) if len(patterns) else None
     vocabulary: dict[str, float] = {}
     bias, voter_weights = -3.0, np.zeros(len(VOTERS))
     if model is not None:
-        words = [r["term"] for r in by_term.filter(F.col("n") >= MIN_WORD_DOCS).orderBy(F.desc("n"), "term").limit(MAX_WORDS).collect()]
+        words = [r["term"] for r in by_term.orderBy(F.desc("n"), "term").limit(max_words).collect()]
         place = {w: k + len(VOTERS) for k, w in enumerate(words)}
-        sent_place = spark.sparkContext.broadcast(place)
+        sent_place = spark.sparkContext.broadcast(place)  # at most max_words terms
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known_terms = sent_place.value
-            for b in batches:
-                got = [[known_terms[w] for w in t if w in known_terms] for t in b.column("terms").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("bits"), b.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["bits", "toxic", "at"])
-
-        seen = sample.join(voted.distinct(), "doc_id").mapInArrow(number, "bits int, toxic int, at array<int>").orderBy("bits", "toxic", "at").toPandas()  # sample_docs rows
+            where = sent_place.value
+            about = Words(learned, where)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    b = whole.slice(at, 500)
+                    got = [looked_at(t, about) for t in b.column("text").to_pylist()]
+                    bits = pa.array([x for x, _ in got], pa.int32())
+                    columns = [np.sort(np.array([*(j for j in range(len(VOTERS)) if x >> j & 1), *(where[t] for t in own)], np.int32)) for x, own in got]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), bits, b.column("toxic"), pa.array([c.tobytes() for c in columns], pa.binary())], ["doc_id", "bits", "toxic", "at"])
+
+        seen = sample.mapInArrow(number, "doc_id long, bits int, toxic int, at binary").toPandas()  # sample_docs rows
+        seen = seen.sort_values(["doc_id", "at"])
         if len(seen):
             target = model.posterior_of(seen["bits"].to_numpy(int), seen["toxic"].to_numpy(int))
-            bits = _bits(seen["bits"].to_numpy(int))
-            of_votes = np.nonzero(bits)
-            n_terms = seen["at"].map(len).to_numpy()
-            rows = np.concatenate([of_votes[0], np.repeat(np.arange(len(seen)), n_terms)]).astype(np.int32)
-            cols = np.concatenate([of_votes[1], *seen["at"].to_list()]).astype(np.int32)
-            width = len(VOTERS) + len(words)
+            ends = np.append(0, seen["at"].map(len).to_numpy(np.int64).cumsum() // 4)
+            cols = np.frombuffer(b"".join(seen["at"]), np.int32)
+            del seen
             l2 = np.concatenate([np.full(len(VOTERS), 1e-6), np.full(len(words), 1e-3)])
-            w, bias = fit_linear(rows, cols, len(target), width, target, l2)
+            w, bias = fit_linear(cols, ends, len(VOTERS) + len(words), target, l2)
             voter_weights = w[: len(VOTERS)]
             vocabulary = {x: float(w[k]) for x, k in place.items() if abs(w[k]) > 1e-3}
-    sent = spark.sparkContext.broadcast((vocabulary, bias, voter_weights))  # at most MAX_WORDS weights
+        sent_place.destroy()
+    drop_path(spark, terms_path)
+    sent = spark.sparkContext.broadcast((vocabulary, bias, voter_weights))  # at most max_words weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, b0, by_vote = sent.value
-        known_words = frozenset(weights)
+        about = Words(learned, weights)
         for b in batches:
             z, bits = [], []
             for text in b.column("text").to_pylist():
-                words, every = terms(text)
-                got = votes(text, words, learned)
+                got, own = looked_at(text, about)
                 bits.append(got)
-                z.append(b0 + sum(by_vote[j] for j in range(len(VOTERS)) if got >> j & 1) + sum(weights[w] for w in sorted(every & known_words)))
+                # The exact sum, which doesn't depend on the order of a set.
+                z.append(math.fsum([b0, *(by_vote[j] for j in range(len(VOTERS)) if got >> j & 1), *(weights[t] for t in own)]))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(bits, pa.int32())], ["doc_id", "held_out", "score", "predicted", "votes"])
 
