@@ -90,12 +90,34 @@ def test_two_replace_the_smallest():
 
 
 def test_token_counts(spark, tokenizer, edge, nothing):
-    docs = edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(docs).collect()}
-    assert got == {r.doc_id: len(ids_of(tokenizer, r.text)) for r in docs.select("doc_id", "text").collect()}
+    """Null ids and ids that repeat have a row for each of theirs."""
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in token_counts.document_token_counts(edge).collect())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, len(ids_of(tokenizer, r.text))) for r in edge.select("doc_id", "text").collect())
     assert token_counts.document_token_counts(nothing).count() == 0
 
 
+def test_flat_files(spark, tmp_path):
+    """Files of nothing but ids, documents across their blocks, one that has not ended, an empty file, one that is cut off."""
+    rng = np.random.default_rng(9)
+    want = []
+    for name in ("a.bin", "b.bin", "empty.bin"):
+        lengths = [] if name == "empty.bin" else rng.integers(0, 90, 60).tolist()
+        flat = np.concatenate([np.zeros(0, int), *(np.append(np.ones(n, int), 7) for n in lengths)]).astype("<u4")
+        if name == "b.bin":
+            flat = np.append(flat, [1, 1, 1]).astype("<u4")
+            want.append((name, len(lengths), 3, False))
+        want += [(name, k, n, True) for k, n in enumerate(lengths)]
+        flat.tofile(tmp_path / name)
+    blocks = token_counts.read_token_files(spark, str(tmp_path), "<u4", 64)
+    names = {r.file: r.path.rpartition("/")[2] for r in blocks.select("file", "path").distinct().collect()}
+    assert sorted(names.values()) == ["a.bin", "b.bin"] and blocks.count() > 60
+    got = token_counts.count_tokens(blocks, 7, "<u4", 5).collect()
+    assert sorted((names[r.file], r.ordinal, r.n_tokens, r.ended) for r in got) == sorted(want)
+    (tmp_path / "c.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="has 3 bytes"):
+        token_counts.read_token_files(spark, str(tmp_path), "<u4", 64).count()
+
+
 def test_separator_scan_over_blocks(spark):
     rng = np.random.default_rng(6)
     rows, want = [], []

@@ -1,7 +1,8 @@
 """Token counts from flat token files without an index, by a scan for end-of-document ids.
 
-A file is a run of fixed-width ids in which an end id follows each document. It lies in blocks, rows of a table
-(file, block, data), so any store that Spark writes to can hold it and blocks of one file are read by many tasks.
+A file is a run of fixed-width ids in which an end id follows each document. It is taken in blocks, rows of a table
+(file, block, data): ``read_token_files`` cuts flat files into them, ``write_token_files`` makes such a table, which any
+store that Spark writes to can hold and of which many tasks read one file's blocks.
 Each block is searched on its own; a prefix scan over the blocks' summaries then tells how many documents ended before a
 block and how many ids of an open one it carries on.
 """
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import new_path, written
@@ -69,6 +70,27 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_OF_DOCUMENT,
     return docs.sparkSession.read.schema(kind).parquet(path)
 
 
+def read_token_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Flat token files, nothing but ids one after another, as blocks: path, file (a hash of it), block, data.
+
+    A file is read by one task and cut there, so files are of a size that a task can hold (2 GB at most); a file whose size
+    is no multiple of an id's is an error. An empty file has no blocks.
+    """
+    width = np.dtype(dtype).itemsize
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data = memoryview(content.as_buffer())
+                if len(data) % width:
+                    raise ValueError(f"{name} has {len(data)} bytes, ids have {width}")
+                for at in range(0, max(1, len(data)), block_tokens * width):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // (block_tokens * width)], pa.int64()), pa.array([bytes(data[at : at + block_tokens * width])], pa.binary())], ["path", "block", "data"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(cut, "path string, block long, data binary").select("path", F.xxhash64("path").alias("file"), "block", "data")
+
+
 def scan_blocks(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, dtype: str = DTYPE) -> DataFrame:
     """What each block shows: ids in it, ends in it, the place of the last, and the lengths between them.
 
@@ -126,7 +148,11 @@ def count_tokens(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, dtype: str =
 
 
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Write the documents' token files, scan them, and give each count its document: doc_id, file, ordinal, n_tokens."""
+    """Write the documents' token files, scan them, and give each count its document: doc_id, file, ordinal, n_tokens.
+
+    One row for each row of ``docs``, whose ids may be null or repeat; null and empty texts have no tokens. An empty table
+    gives an empty result; other columns are ignored.
+    """
     table = write_token_files(docs, new_path(docs.sparkSession, "tokens"), vocabulary=vocabulary, id_col=id_col, text_col=text_col)
     counts = count_tokens(table.filter("data IS NOT NULL"))
     listed = table.filter("ids IS NOT NULL").select("file", "block", F.posexplode("ids").alias("k", "doc_id"))
