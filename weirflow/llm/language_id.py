@@ -41,9 +41,26 @@ _FOLD[:128] = 32
 _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 
 
+def letters(raw: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes with blanks for what are no letters: ASCII's other signs, and the blocks of punctuation, symbols and pictures.
+
+    These are, by lead and second byte: C2 80-BF but for three letters, E2 80-AF, E3 80, EF B8-BB and F0 9F.
+    """
+    out = _FOLD[raw]
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE2) | (raw == 0xE3) | (raw == 0xEF) | (raw == 0xF0))
+    if len(lead):
+        kind, second = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)]
+        sign = (kind == 0xC2) & (second != 0xAA) & (second != 0xB5) & (second != 0xBA)
+        sign |= (kind == 0xE2) & (second < 0xB0) | (kind == 0xE3) & (second == 0x80) | (kind == 0xEF) & (second >= 0xB8) & (second < 0xBC) | (kind == 0xF0) & (second == 0x9F)
+        size = np.where(kind == 0xC2, 2, np.where(kind == 0xF0, 4, 3))
+        for k in range(4):
+            out[lead[sign & (size > k)] + k] = 32
+    return out
+
+
 def trigrams(text: str | None) -> np.ndarray:
     """Hash buckets of the trigrams of the text's lower-cased letters (other signs are blanks; ASCII case only)."""
-    raw = _FOLD[np.frombuffer(b" " + (text or "").encode() + b" ", np.uint8)].astype(np.int64)
+    raw = letters(np.frombuffer(b" " + (text or "").encode() + b" ", np.uint8)).astype(np.int64)
     if len(raw) < 3:
         return np.zeros(0, np.int64)
     three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
@@ -57,7 +74,10 @@ def primary(tag: Column) -> Column:
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with text, declared, host and suffix, from a page's address and markup."""
+    """``pages`` with text, declared, host and suffix, from a page's address and markup; old columns of these names are replaced.
+
+    A null page is an empty text that declares nothing (an empty string), a null or odd address has neither host nor suffix.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     bare = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>|<[^>]*>", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
