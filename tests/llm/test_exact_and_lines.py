@@ -75,6 +75,21 @@ def test_line_dedup_is_reversible(spark):
     assert lines_of(less, make(first + second[:2])) == brute_lines(first + second[:2], 5, 40)
 
 
+def test_line_dedup_with_many_shards(spark, monkeypatch):
+    """Filters that are too many to send meet the refs of their shard, of which one line holds most; so after a deletion."""
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 4)
+    monkeypatch.setattr(line_dedup, "PASS_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 16)
+    lines = [f"line number {k} is one of thirty that some documents share" for k in range(30)]
+    docs = [(k, "\n".join([lines[0], lines[k % 30], f"own words of {k}", lines[k * 7 % 30]])) for k in range(200)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    state = line_dedup.insert(line_dedup.empty_state(spark), make(docs))
+    assert state.shards > 8
+    assert lines_of(state, make(docs)) == brute_lines(docs, 5, 40)
+    fewer = line_dedup.delete(state, make(docs[:100]).select("doc_id"))
+    assert lines_of(fewer, make(docs[100:])) == brute_lines(docs[100:], 5, 40)
+
+
 def test_line_dedup_edges(edge, nothing):
     out = line_dedup.line_dedup(edge, min_docs=2, min_chars=10).collect()
     assert len(out) == edge.count()

@@ -5,8 +5,8 @@ number of documents and the largest document of each line, and ``filters`` one c
 that at least ``min_docs`` documents hold. Inserting documents adds to the exact tables and puts the lines that become
 repeated into their filters; deleting documents takes them out again, so the state is as if they had never been there.
 
-Documents are cleaned by probing the filters with their own lines, which needs no shuffle; what the filters let
-through is confirmed by the exact counts. Lines are keyed by two 64-bit hashes of their normalised form.
+Documents are cleaned by probing the filters with their own lines, which needs no shuffle as long as the filters are small;
+what the filters let through is confirmed by the exact counts. Lines are keyed by two 64-bit hashes of their normalised form.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from weirflow.llm.common import written
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Repeated lines in one shard's filter; and bytes of the filters that one probing pass sends to every task.
+#: Repeated lines in one shard's filter; bytes of all filters that are still sent to every task; refs of a shard in one task.
 SHARD_LINES = 1 << 16
 PASS_BYTES = 32 << 20
+PROBE_ROWS = 1 << 20
 SLOTS = 4
 MAX_KICKS = 500
 SECOND_SEED = 7
@@ -207,16 +208,18 @@ def delete(state: LineState, ids: DataFrame, id_col: str = "doc_id") -> LineStat
 
 
 def _probe(state: LineState, refs: DataFrame) -> DataFrame:
-    """The refs whose line's filter may hold it, in as many passes as the filters' size asks for."""
-    sizes = state.filters.select("shard", F.octet_length("filter").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    step = max(1, PASS_BYTES // max(1, largest))
-    out = None
-    for low in range(0, state.shards, step):
-        here = {r["shard"]: bytes(r["filter"]) for r in state.filters.filter(F.col("shard").between(low, low + step - 1)).collect()}
-        sent = refs.sparkSession.sparkContext.broadcast(here)  # at most PASS_BYTES
-
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent, shards=state.shards) -> Iterator[pa.RecordBatch]:
+    """The refs whose line's filter may hold it.
+
+    Filters of PASS_BYTES in all go to every task. Larger ones meet the refs of their shard: a shard's refs are dealt to as
+    many tasks as their number asks for, each gets the filter first and then streams the refs past it.
+    """
+    sizes = state.filters.agg(F.sum(F.octet_length("filter"))).first()[0]
+    if not sizes:
+        return refs.limit(0)
+    if sizes <= PASS_BYTES:
+        sent = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in state.filters.collect()})
+
+        def probe(batches: Iterator[pa.RecordBatch], shards=state.shards) -> Iterator[pa.RecordBatch]:
             filters = {s: CuckooFilter.loads(b) for s, b in sent.value.items()}
             for b in batches:
                 shard, k2 = b.column("k1").to_numpy() % shards, b.column("k2").to_numpy()
@@ -227,10 +230,31 @@ def _probe(state: LineState, refs: DataFrame) -> DataFrame:
                         hit[own] = f.contains(k2[own])
                 yield b.filter(pa.array(hit))
 
-        part = refs if step >= state.shards else refs.filter(_shard(state.shards).between(low, low + step - 1))
-        found = part.mapInArrow(probe, refs.schema)
-        out = found if out is None else out.unionByName(found)
-    return refs if out is None else out
+        return refs.mapInArrow(probe, refs.schema)
+
+    sharded = refs.withColumn("shard", _shard(state.shards))
+    parts = sharded.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("parts"))
+    parts, _ = written(parts, "line-parts")
+    rows = sharded.join(parts.hint("merge"), "shard").select("shard", F.pmod(F.xxhash64("doc_id", "k2"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("binary").alias("filter"), "doc_id", "k1", "k2")
+    first = state.filters.join(parts.hint("merge"), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter", *[F.lit(None).cast(t).alias(c) for c, t in refs.dtypes])
+    dealt = first.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None  # a group without a filter has no repeated line
+        for b in batches:
+            shard, part, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "part", "k2"))
+            cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if at != (shard[low], part[low]):
+                    held, at = None, (shard[low], part[low])
+                if b.column("filter")[low].is_valid:
+                    held = CuckooFilter.loads(b.column("filter")[low].as_py())
+                    low += 1
+                if held is not None and high > low:
+                    own = b.slice(low, high - low).select(["doc_id", "k1", "k2"])
+                    yield own.filter(pa.array(held.contains(own.column("k2").to_numpy())))
+
+    return dealt.mapInArrow(stream, refs.schema)
 
 
 def dropped_lines(state: LineState) -> DataFrame:
