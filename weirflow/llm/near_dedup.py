@@ -31,8 +31,8 @@ HASHES, BATCH = 120, 24
 #: Chance that a similar pair is dropped on its signature, and that it shares no band.
 MISS, MISS_BANDS = 1e-7, 1e-6
 #: Classes of a bucket, and shingles of a cluster, in one block.
-BUCKET_BLOCK = 4096
-CLUSTER_BLOCK = 1 << 20
+BUCKET_BLOCK = 512
+CLUSTER_BLOCK = 1 << 18
 
 _U = np.uint64
 _RNG = np.random.default_rng(20)
