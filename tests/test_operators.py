@@ -123,3 +123,27 @@ def test_faulty_expressions(one):
             compile_expression(text, one.schema)
     assert [d.severity for d in validate("NOSUCH(1)")] == ["warning"] and [d.severity for d in validate("(1")] == ["error"] and [d.severity for d in validate(" ")] == ["warning"]
     assert validate("UPPER(a) + (DT_WSTR,3)b") == []
+
+
+def test_scd2_with_null_keys(spark):
+    """A null key is a key like others: loads that bring nothing new change nothing."""
+    import datetime as dt
+
+    now = dt.datetime(2024, 1, 2)
+    target = spark.createDataFrame([(1, "a", None, None, True), (None, "b", None, None, True), (1, "old", None, now, False)], "k int, v string, EffectiveDate timestamp, ExpirationDate timestamp, IsCurrent boolean")
+    same = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    assert sorted(map(str, dimensions.scd2(same, target, ["k"], ["v"], now).collect())) == sorted(map(str, target.collect()))
+    other = dimensions.scd2(spark.createDataFrame([(None, "c"), (2, None)], "k int, v string"), target, ["k"], ["v"], now)
+    assert sorted((str(r.k), str(r.v), r.IsCurrent) for r in other.collect()) == [("1", "a", True), ("1", "old", False), ("2", "None", True), ("None", "b", False), ("None", "c", True)]
+
+
+def test_seeded_sampling_parts_the_rows(spark):
+    df = spark.range(2000).repartition(7)
+    out = rows.percentage_sampling(df, 30, 1)
+    a, b = ({r.id for r in out[k].collect()} for k in ("selected", "unselected"))
+    assert not a & b and len(a | b) == 2000 and 450 < len(a) < 750
+
+
+def test_first_by_key_counts_nulls_first(spark):
+    ref = spark.createDataFrame([(1, 5), (1, None), (2, 7), (2, 6), (3, None)], "k int, v int")
+    assert sorted(map(tuple, joins.first_by_key(ref, ["k"]).collect())) == [(1, None), (2, 6), (3, None)]

@@ -17,7 +17,11 @@ def _on(a: str, b: str, keys: list[str]) -> Column:
 
 
 def change_hash(df: DataFrame, columns: list[str], name: str = "change_hash") -> DataFrame:
-    """SHA-256 of the columns' texts, joined by ~; nulls count as empty."""
+    """SHA-256 of the columns' texts, joined by ~; nulls count as empty.
+
+    So a value that holds a ~ can hash as another row's two values do, and null as an empty text; targets that keep the hash
+    expect it like that. Where this matters compare the columns (``scd2``), not the hash.
+    """
     return df.withColumn(name, F.sha2(F.concat_ws("~", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256))
 
 
@@ -31,25 +35,29 @@ def scd1(source: DataFrame, target: DataFrame, keys: list[str], columns: list[st
 def scd2(source: DataFrame, target: DataFrame, keys: list[str], tracked: list[str], now: dt.datetime, effective: str = "EffectiveDate", expiration: str = "ExpirationDate", current: str = "IsCurrent") -> DataFrame:
     """The target's history after a load: rows as they are, versions that end now, and versions that begin now.
 
-    A current row ends when a tracked column of its source row differs, nulls being equal to nulls. Source keys are unique.
+    A current row ends when a tracked column of its source row differs, nulls being equal to nulls, in keys too. Source keys
+    are unique. Rows that are no longer current pass by; the others meet the source in one join, which gives the row that
+    was, the version that begins, or both.
     """
-    live = target.filter(F.col(current)).select(*keys, *[F.col(c).alias(f"_old_{c}") for c in tracked], F.lit(True).alias("_known"))
-    fresh = source.select(*keys, *tracked).join(live, keys, "left")
+    old = target.select(*keys, *tracked, effective, expiration, current)
+    live = F.coalesce(F.col(current), F.lit(False))
+    mine = old.filter(live).select(F.struct(*old.columns).alias("t"))
+    theirs = source.select(F.struct(*keys, *tracked).alias("s"))
+    meet: Column = F.lit(True)
     differs: Column = F.lit(False)
+    for k in keys:
+        meet = meet & F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}"))
     for c in tracked:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-    state = fresh.withColumn("_new", F.col("_known").isNull() | differs)
-    changed = state.filter(F.col("_new") & F.col("_known").isNotNull()).select(*keys, F.lit(True).alias("_ends"))
-    ends = F.col(current) & F.col("_ends").isNotNull()
-    history = target.join(changed, keys, "left").select(
-        *keys,
-        *tracked,
-        effective,
-        F.when(ends, F.lit(now)).otherwise(F.col(expiration)).alias(expiration),
-        (F.col(current) & ~ends).alias(current),
-    )
-    begun = state.filter("_new").select(*keys, *tracked, F.lit(now).alias(effective), F.lit(None).cast(target.schema[expiration].dataType).alias(expiration), F.lit(True).alias(current))
-    return history.unionByName(begun)
+        differs = differs | ~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    both = mine.join(theirs, meet, "full")
+    has, comes = F.col("t").isNotNull(), F.col("s").isNotNull()
+    ends = has & comes & differs
+    kinds = {f.name: f.dataType for f in old.schema}
+    row = lambda values: F.struct(*[values[c].cast(kinds[c]).alias(c) for c in old.columns])
+    was = {c: F.col(f"t.{c}") for c in old.columns} | {expiration: F.when(ends, F.lit(now)).otherwise(F.col(f"t.{expiration}")), current: ~ends}
+    begins = {c: F.col(f"s.{c}") for c in [*keys, *tracked]} | {effective: F.lit(now), expiration: F.lit(None), current: F.lit(True)}
+    versions = F.array_compact(F.array(F.when(has, row(was)), F.when(comes & (~has | ends), row(begins))))
+    return old.filter(~live).unionByName(both.select(F.explode(versions).alias("v")).select("v.*"))
 
 
 def latest_change(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

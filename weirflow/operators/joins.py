@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_by_key(ref: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row a key, the first by the given columns (all others by default)."""
     by = order or [c for c in ref.columns if c not in keys]
+    if len(by) == 1 and isinstance(ref.schema[by[0]].dataType, (T.NumericType, T.DatetimeType, T.BooleanType)) and not isinstance(ref.schema[by[0]].dataType, (T.FloatType, T.DoubleType)):
+        # A hash aggregate; nulls come first here, as in a struct.
+        least = F.when(F.count(F.lit(1)) == F.count(by[0]), F.min(by[0])).alias(by[0])
+        return ref.groupBy(*keys).agg(least).select(*keys, by[0])
     top = F.min(F.struct(*[F.col(c) for c in by])).alias("_top") if by else F.lit(0).alias("_top")
     one = ref.groupBy(*keys).agg(top)
     return one.select(*keys, *[F.col(f"_top.{c}") for c in by])
@@ -129,6 +134,8 @@ def _grams(n: int) -> Column:
 
 def term_extraction(df: DataFrame, column: str, min_frequency: int = 2, min_length: int = 2) -> DataFrame:
     """(term, frequency, documents) of the words of all texts."""
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), text_words(F.col(column)).alias("_w"))
-    counts = numbered.select("_row", F.explode("_w").alias("term")).filter(F.length("term") >= min_length).groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents")).filter(F.col("frequency") >= min_frequency)
+    words = df.select(F.filter(text_words(F.col(column)), lambda w: F.length(w) >= min_length).alias("_w"))
+    # Every word, and once more each that a text has: one pass with partial sums, so only terms are shuffled.
+    every = words.select(F.explode(F.concat(F.transform("_w", lambda w: F.struct(w.alias("term"), F.lit(0).alias("of"))), F.transform(F.array_distinct("_w"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("of"))))).alias("x"))
+    counts = every.select("x.term", "x.of").groupBy("term").agg(F.sum(1 - F.col("of")).alias("frequency"), F.sum("of").alias("documents"))
+    return counts.filter(F.col("frequency") >= min_frequency)

@@ -174,3 +174,22 @@ def consistency(source: DataFrame, target: DataFrame, keys: list[str], row_toler
     out = a.join(b, keys, "full").agg(F.count("_in_a").alias("source_rows"), F.count("_in_b").alias("target_rows"), F.coalesce(F.sum(F.when(both, differing)), F.lit(0)).alias("different_values"))
     same = set(source.columns) == set(target.columns)
     return out.withColumns({"rows_ok": F.abs(F.col("source_rows") - F.col("target_rows")) <= row_tolerance * F.col("source_rows"), "columns_ok": F.lit(same)})
+
+
+def compare_traces(expected: DataFrame, actual: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(kind, name, difference, expected, actual) of two runs' traces, rows of (kind, name, value).
+
+    Kinds: ``task``, which a run has executed or not (missing, extra); ``rows``, how many a table has, which may be off by
+    ``tolerance`` of those expected, none expected being no claim; ``status``, which has to be the same (changed).
+    """
+    a = expected.select("kind", "name", F.col("value").alias("expected"), F.lit(True).alias("_a"))
+    b = actual.select("kind", "name", F.col("value").alias("actual"), F.lit(True).alias("_b"))
+    both = a.join(b, ["kind", "name"], "full")
+    want, got = F.col("expected").cast("double"), F.coalesce(F.col("actual").cast("double"), F.lit(0.0))
+    difference = (
+        F.when((F.col("kind") == "task") & F.col("_b").isNull(), "missing")
+        .when((F.col("kind") == "task") & F.col("_a").isNull(), "extra")
+        .when((F.col("kind") == "rows") & (want != 0) & (F.abs(got - want) / want > tolerance), "count")
+        .when((F.col("kind") == "status") & ~F.col("expected").eqNullSafe(F.col("actual")), "changed")
+    )
+    return both.withColumn("difference", difference).filter("difference IS NOT NULL").select("kind", "name", "difference", "expected", "actual")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import glob
 import re
-import shutil
 from collections.abc import Callable
-from pathlib import Path
+from xml.etree import ElementTree
 
 from weirflow.functions import compile_expression
 from weirflow.operators.quality import profile
 from weirflow.operators.rows import RunContext
 from weirflow.plans.flow import fire, run_flow, topological
 from weirflow.plans.model import Constraint, Package, Task
-from weirflow.sources import Registry
+from weirflow.sources import Registry, file_operation, list_files
 
 TASK_HANDLERS: dict[str, Callable[[Task, RunContext, Registry], None]] = {}
 
@@ -40,13 +38,18 @@ class Runner:
         self.log: list[tuple[str, str]] = []
 
     def run(self, package: Package) -> dict[str, str]:
-        """Run a package; the state of each task: succeeded, failed or skipped. An OnError handler runs after a failure."""
+        """Run a package; the state of each task: succeeded, failed or skipped.
+
+        OnPreExecute handlers run before the tasks, OnTaskFailed and OnError after a failure, OnPostExecute in the end.
+        """
         fire("pre_run", package)
         for c in package.connections:
             self.registry.add(c)
         self.ctx.variables = package.variables | self.ctx.variables
+        if "OnPreExecute" in package.handlers:
+            self.tasks(package.handlers["OnPreExecute"], [])
         states = self.tasks(package.tasks, package.constraints)
-        for event, wanted in (("OnError", "failed"), ("OnPostExecute", None)):
+        for event, wanted in (("OnTaskFailed", "failed"), ("OnError", "failed"), ("OnPostExecute", None)):
             if event in package.handlers and (wanted is None or wanted in states.values()):
                 self.tasks(package.handlers[event], [])
         fire("post_run", package)
@@ -93,11 +96,33 @@ class Runner:
             raise RuntimeError(f"failed inside {task.name}: {', '.join(failed)}")
 
     def execute(self, task: Task) -> None:
+        """Run a task; one that requires a transaction leaves no registered table changed if it fails.
+
+        Writes make new versions of tables, so names are put back. Rows that a database has taken over JDBC stay there.
+        """
+        if task.properties.get("TransactionOption") not in ("2", "Required") or self.ctx.transaction:
+            self.perform(task)
+            return
+        before, self.ctx.transaction = dict(self.registry.tables), True
+        try:
+            self.perform(task)
+        except Exception:
+            self.registry.tables.clear()
+            self.registry.tables.update(before)
+            raise
+        finally:
+            self.ctx.transaction = False
+
+    def perform(self, task: Task) -> None:
         ctx, registry = self.ctx, self.registry
         if task.type in TASK_HANDLERS:
             TASK_HANDLERS[task.type](task, ctx, registry)
         elif task.type == "data_flow":
-            run_flow(task, ctx, registry)
+            try:
+                run_flow(task, ctx, registry)
+            except Exception:
+                ctx.counts.clear()
+                raise
             for name, seen in ctx.counts.items():
                 ctx.variables[name] = seen.get["n"]
             ctx.counts.clear()
@@ -134,14 +159,19 @@ class Runner:
             child = next((p for k, p in self.packages.items() if plain_name(k) == name), None)
             if child is None:
                 raise ValueError(f"unknown package {name}")
-            inner = Runner(registry, RunContext(dict(ctx.variables), ctx.now, child.name), self.packages)
+            # Bound parameters and the project's own; without any bindings the child sees all that its parent has.
+            given = dict(ctx.variables)
+            if task.bindings:
+                given = {k: v for k, v in ctx.variables.items() if k.startswith("$Project::")}
+                given |= {k if "::" in k else f"$Package::{k}": ctx.variables[v if "::" in v else f"User::{v}"] for k, v in task.bindings.items()}
+            inner = Runner(registry, RunContext(given, ctx.now, child.name, transaction=ctx.transaction), self.packages)
             if "failed" in inner.run(child).values():
                 raise RuntimeError(f"package {name} failed")
         elif task.type == "data_profiling":
             table = task.properties["table"]
             registry.tables[task.properties.get("output", f"{table}_profile")] = profile(registry.table(table))
         elif task.type == "file_system":
-            file_system(task.properties.get("operation", ""), task.properties.get("source", ""), task.properties.get("target", ""))
+            file_operation(registry.spark, task.properties.get("operation", ""), task.properties.get("source", ""), task.properties.get("target", ""))
         else:
             raise NotImplementedError(f"no handler for task {task.name} ({task.type})")
 
@@ -149,33 +179,11 @@ class Runner:
         p = task.properties
         kind = p.get("enumerator", "item")
         if kind == "file":
-            return sorted(glob.glob(str(Path(p["folder"]) / p.get("files", "*"))))
+            return list_files(self.registry.spark, p["folder"], p.get("files", "*"))
+        if kind == "nodelist":
+            return [n.text or "" for n in ElementTree.fromstring(p["source"]).findall(p.get("xpath", "*"))]
         if kind == "ado":
             return (tuple(r) for r in self.ctx.variables[p["source"]].toLocalIterator())
         if kind == "variable":
             return list(self.ctx.variables[p["source"]])
         return [x.strip() for x in p.get("items", "").split(",") if x.strip()]
-
-
-def file_system(operation: str, source: str, target: str = "") -> None:
-    """Copy, move, rename or delete files and folders, or make a folder."""
-    s, t = Path(source), Path(target)
-    if operation in ("copy", "copy_file"):
-        shutil.copy2(s, t)
-    elif operation in ("move", "move_file", "rename", "move_directory"):
-        shutil.move(s, t)
-    elif operation in ("delete", "delete_file"):
-        s.unlink()
-    elif operation == "create_directory":
-        s.mkdir(parents=True, exist_ok=True)
-    elif operation == "copy_directory":
-        shutil.copytree(s, t, dirs_exist_ok=True)
-    elif operation == "delete_directory":
-        shutil.rmtree(s)
-    elif operation == "delete_content":
-        for x in s.iterdir():
-            shutil.rmtree(x) if x.is_dir() else x.unlink()
-    elif operation == "set_attributes":
-        s.chmod(int(target or "644", 8))
-    else:
-        raise ValueError(f"unknown file operation {operation}")

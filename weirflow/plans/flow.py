@@ -84,27 +84,52 @@ def levels(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     return [[n for n in nodes if depth[n] == k] for k in range(max(depth.values(), default=-1) + 1)]
 
 
+#: Components that write what reaches them.
+SINKS = ("destination", "flat_destination", "raw_destination")
+
+
 def run_flow(task: Task, ctx: RunContext, registry: Registry) -> dict[str, DataFrame]:
-    """Compile a data flow and run its sinks; the outputs of the recordset destinations by name."""
+    """Compile a data flow and run its sinks; the outputs of the recordset destinations by name.
+
+    What several paths lead on from is computed once: its rows are kept until the flow has ended. Row counts that no sink
+    stands behind are run on their own.
+    """
     fire("pre_flow", task)
     by_ref = {c.ref: c for c in task.components}
     find = lambda ref: ref if ref in by_ref else next((c.ref for c in task.components if ref.endswith(c.name)), ref)
     paths = [(find(p.source), p.output, find(p.target), p.input) for p in task.paths]
     made: dict[str, dict[str, DataFrame]] = {}
     kept: dict[str, DataFrame] = {}
-    for ref in topological(list(by_ref), [(a, b) for a, _, b, _ in paths]):
-        c = by_ref[ref]
-        inputs = {}
-        for a, output, b, name in paths:
-            if b == ref:
-                outputs = made[a]
-                inputs[name or f"input{len(inputs)}"] = outputs.get(output) if output in outputs else next(iter(outputs.values()))
-        fn = OPERATORS.get(c.type)
-        if fn is None:
-            raise ValueError(f"no operator for component {c.name} ({c.type})")
-        made[ref] = fn(c, inputs, ctx, registry)
-        if c.type == "recordset":
-            kept[c.name] = next(iter(inputs.values()))
+    held: list[DataFrame] = []
+    counted: set[str] = set()
+    try:
+        for ref in topological(list(by_ref), [(a, b) for a, _, b, _ in paths]):
+            c = by_ref[ref]
+            inputs = {}
+            for a, output, b, name in paths:
+                if b == ref:
+                    outputs = made[a]
+                    inputs[name or f"input{len(inputs)}"] = outputs.get(output) if output in outputs else next(iter(outputs.values()))
+            if sum(a == ref for a, *_ in paths) > 1 and inputs:
+                inputs = {k: df if df.is_cached else df.persist() for k, df in inputs.items()}
+                held += inputs.values()
+            fn = OPERATORS.get(c.type)
+            if fn is None:
+                raise ValueError(f"no operator for component {c.name} ({c.type})")
+            made[ref] = fn(c, inputs, ctx, registry)
+            if not inputs and sum(a == ref for a, *_ in paths) > 1:
+                made[ref] = {k: df.persist() for k, df in made[ref].items()}
+                held += made[ref].values()
+            if c.type == "row_count" or counted & {a for a, _, b, _ in paths if b == ref}:
+                counted.add(ref)
+                if c.type not in SINKS and not any(a == ref for a, *_ in paths):
+                    for df in made[ref].values():
+                        df.write.format("noop").mode("overwrite").save()
+            if c.type == "recordset":
+                kept[c.name] = next(iter(inputs.values()))
+    finally:
+        for df in held:
+            df.unpersist()
     fire("post_flow", task)
     return kept
 
@@ -174,22 +199,23 @@ def _destination(c, inputs, ctx, registry):
     if connection and connection.url:
         sources.write_database(df, connection, table)
     else:
-        path = f"{registry.warehouse}/{sources.clean_name(table)}"
+        # Inside a transaction each write has a folder of its own, so that names alone tell what counts.
+        path = registry.new_folder(table) if ctx.transaction else f"{registry.folder}/{sources.clean_name(table)}"
         sources.write_table(df, path)
-        registry.tables[sources.clean_name(table)] = path
+        registry.attach(table, path)
     return {}
 
 
 @operator("flat_destination")
 def _flat_destination(c, inputs, ctx, registry):
     connection = registry.connection(c.connection)
-    sources.write_flat(_one(inputs), c.properties.get("_file_path") or (connection.connection_string if connection else f"{registry.warehouse}/{c.name}"))
+    sources.write_flat(_one(inputs), c.properties.get("_file_path") or (connection.connection_string if connection else f"{registry.folder}/{c.name}"))
     return {}
 
 
 @operator("raw_destination")
 def _raw_destination(c, inputs, ctx, registry):
-    sources.write_table(_one(inputs), c.properties.get("FileName") or f"{registry.warehouse}/{c.name}", "overwrite")
+    sources.write_table(_one(inputs), c.properties.get("FileName") or f"{registry.folder}/{c.name}", "overwrite")
     return {}
 
 
@@ -381,10 +407,7 @@ def _command(c, inputs, ctx, registry):
     sql, df = c.properties["SqlCommand"], _one(inputs)
     table = sources.clean_name(re.search(r"(?:UPDATE|FROM|DELETE)\s+([\w.\[\]]+)", sql, re.I)[1])
     parameters = [x["name"] for i in c.inputs for x in i["columns"]]
-    changed = dimensions.oledb_command(registry.table(table), df, sql, parameters)
-    path = f"{registry.warehouse}/{table}-{abs(hash((c.ref, ctx.execution_id))):x}"
-    sources.write_table(changed, path, "overwrite")  # a new folder, then the pointer moves: the old one is still being read
-    registry.tables[table] = path
+    registry.put(table, dimensions.oledb_command(registry.table(table), df, sql, parameters))
     return {_name(c): df}
 
 

@@ -11,12 +11,18 @@ from weirflow.functions.parser import ExpressionError, parse, referenced
 from weirflow.plans.model import Component, Package, Task
 from weirflow.sources import clean_name
 
-# Patterns of column names and the tag of what they hold; the first that is found counts.
+# Patterns of column names, case apart, and the tag of what they hold; the first that is found counts.
 TAGS = [
-    ("PII", "ssn|social_?sec|tax_?id|passport|national_?id"), ("PII", "e_?mail"), ("PII", "phone|mobile|fax"), ("PII", "birth|dob"),
-    ("PHI", "diagnos|patient|medical|health"), ("FINANCIAL", "card_?(no|num)|iban|account_?(no|num)|routing"), ("FINANCIAL", "salary|acctbal|credit|income"),
-    ("PII", "address|street|zip|postal"), ("PII", "(first|last|full|middle)_?name|surname|^c_name$|^name$"),
-]
+    ("PII", "(ssn|social.?security)"),
+    ("PII", "(email|e.?mail)"),
+    ("PII", "(phone|mobile|cell)"),
+    ("FINANCIAL", "(credit.?card|card.?number|ccn)"),
+    ("FINANCIAL", "(salary|income|compensation|wage)"),
+    ("PHI", "(diagnosis|medical|health|patient)"),
+    ("RESTRICTED", "(password|secret|token|api.?key)"),
+    ("PII", "(address|street|zip.?code|postal)"),
+    ("PII", "(birth.?date|dob|date.?of.?birth)"),
+]
 
 
 def classify(columns: DataFrame, name: str = "column_name") -> DataFrame:
@@ -68,11 +74,13 @@ def table_lineage(spark: SparkSession, packages: list[Package]) -> DataFrame:
 def column_lineage(spark: SparkSession, packages: list[Package]) -> DataFrame:
     """(source_table, source_column, target_table, target_column, transformation) through each data flow.
 
-    A derived column comes from all columns that its expression refers to.
+    A derived column comes from all columns that its expression refers to. What a package binds to another's parameters
+    goes from @package to @task.
     """
     edges = set()
     for p in packages:
         for t in all_tasks(p.tasks):
+            edges |= {(f"@{p.name}", variable, f"@{t.name}", parameter, "passthrough") for parameter, variable in t.bindings.items()}
             by_ref = {c.ref: c for c in t.components}
             state: dict[str, dict[str, set]] = {}
             from weirflow.plans.flow import topological

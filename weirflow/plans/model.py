@@ -48,6 +48,7 @@ class Task:
     paths: list[Path_] = field(default_factory=list)
     children: list[Task] = field(default_factory=list)
     constraints: list[Constraint] | None = None
+    bindings: dict[str, str] = field(default_factory=dict)  # a called package's parameter to a variable here
 
 
 @dataclass
@@ -132,8 +133,7 @@ def load_package(source: str | Path) -> Package:
         kind = _local(group.tag)
         if kind == "ConnectionManagers":
             for c in _all(group, "ConnectionManager"):
-                inner = next((x for x in c.iter() if _get(x, "ConnectionString")), None)
-                out.connections.append(Connection(_get(c, "ObjectName"), _get(c, "DTSID"), "", _get(inner, "ConnectionString") if inner is not None else "", _get(c, "CreationName")))
+                out.connections.append(_connection(c))
         elif kind in ("Variables", "PackageParameters"):
             out.variables |= _variables(group, "$Package" if kind == "PackageParameters" else None)
         elif kind == "Executables":
@@ -147,6 +147,33 @@ def load_package(source: str | Path) -> Package:
     return out
 
 
+def load_project(folder: str | Path) -> dict[str, Package]:
+    """All packages under a folder by file name, each with the project's connections and parameters, where it has none of that name.
+
+    Parameters of Project.params are variables of the namespace $Project; connections are the .conmgr files.
+    """
+    folder = Path(folder)
+    parameters: dict[str, object] = {}
+    if (file := folder / "Project.params").exists():
+        for p in _all(ElementTree.fromstring(file.read_text(encoding="utf-8-sig")), "Parameter"):
+            own = {_get(x, "Name"): x.text or "" for group in _all(p, "Properties") for x in _all(group, "Property")}
+            parameters[f"$Project::{_get(p, 'Name')}"] = _typed(own.get("DesignDefaultValue", own.get("Value", "")), own.get("DataType", "String"))
+    shared = [_connection(ElementTree.fromstring(f.read_text(encoding="utf-8-sig"))) for f in sorted(folder.rglob("*.conmgr"))]
+    out = {}
+    for file in sorted(folder.rglob("*.dtsx")):
+        package = load_package(file)
+        known = {x for c in package.connections for x in (c.id, c.name)}
+        package.connections += [c for c in shared if c.id not in known and c.name not in known]
+        package.variables = parameters | package.variables
+        out[file.name] = package
+    return out
+
+
+def _connection(c) -> Connection:
+    inner = next((x for x in c.iter() if _get(x, "ConnectionString")), None)
+    return Connection(_get(c, "ObjectName"), _get(c, "DTSID"), "", _get(inner, "ConnectionString") if inner is not None else "", _get(c, "CreationName"))
+
+
 def _variables(group, namespace: str | None) -> dict[str, object]:
     out = {}
     for v in group:
@@ -185,7 +212,10 @@ def _task(e) -> Task:
                 elif name == "ExpressionTask":
                     out.expression = _get(y, "Expression")
                 elif name == "PackageName":
-                    out.properties["package"] = y.text or ""
+                    out.properties["package"] = (y.text or "").strip()
+                elif name == "ParameterAssignment":
+                    own = {_local(z.tag): (z.text or "").strip() for z in y}
+                    out.bindings[own.get("ParameterName", "")] = own.get("BindedVariableOrParameterName", "")
                 elif name == "components":
                     out.components = [_component(c) for c in _all(y, "component")]
                 elif name == "paths":

@@ -41,7 +41,11 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weirflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="weirflow-")
     return f"{base.rstrip('/')}/weirflow/q-{uuid.uuid4().hex}"
 
 
@@ -177,9 +181,10 @@ def character_map(spark, sf):
     return rows.character_map(t(spark, sf, "customer"), [("c_name", "Lowercase", "low"), ("c_mktsegment", "Uppercase", "up")]).select("c_custkey", "low", "up")
 
 
-@query()
+@query("SELECT r_regionkey, 'run-1' AS \"ExecutionInstanceGUID\", 'package' AS \"PackageName\", '2024-03-15 10:30:00' AS \"ExecutionStartTime\" FROM region")
 def audit_columns(spark, sf):
-    return rows.audit(t(spark, sf, "region").select("r_regionkey"), None, RunContext(now=NOW, execution_id="run-1"))
+    out = rows.audit(t(spark, sf, "region").select("r_regionkey"), None, RunContext(now=NOW, execution_id="run-1"))
+    return out.withColumn("ExecutionStartTime", F.date_format("ExecutionStartTime", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT 'a' AS side, count(*) AS n FROM nation UNION ALL SELECT 'b', count(*) FROM nation")
@@ -837,10 +842,13 @@ def column_impact(spark, sf):
     return _results(spark, metadata.column_impact(metadata.column_lineage(spark, sample_packages()), "dbo.orders", "price"), "table_name string, column_name string")
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', NULL), ('c_name', 'PII'), ('c_address', 'PII'), ('c_phone', 'PII'), ('c_acctbal', 'FINANCIAL'), ('c_mktsegment', NULL), ('patient_id', 'PHI')) AS v(column_name, tag)")
+@query("""
+SELECT column_name, CASE WHEN regexp_matches(column_name, '(phone|mobile|cell)') THEN 'PII' WHEN regexp_matches(column_name, '(address|street|zip.?code|postal)') THEN 'PII'
+       WHEN regexp_matches(column_name, '(credit.?card|card.?number|ccn|salary|income|compensation|wage)') THEN 'FINANCIAL' END AS tag
+FROM (SELECT column_name FROM (DESCRIBE customer) UNION ALL SELECT column_name FROM (DESCRIBE supplier) UNION ALL SELECT column_name FROM (DESCRIBE conversations))""")
 def pii_classify(spark, sf):
-    names = ["c_custkey", "c_name", "c_address", "c_phone", "c_acctbal", "c_mktsegment", "patient_id"]
-    return metadata.classify(_results(spark, [(n,) for n in names], "column_name string"))
+    names = [(c,) for table in ("customer", "supplier", "conversations") for c in t(spark, sf, table).columns]
+    return metadata.classify(_results(spark, names, "column_name string"))
 
 
 @query("SELECT 'orders' AS name, 'table' AS kind")
@@ -902,6 +910,101 @@ def stream_append(spark, sf):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-@query("SELECT * FROM (VALUES ('kafka', 'bootstrap.servers=x', 0.9::DOUBLE), ('cdc', 'Apply CDC', 0.95::DOUBLE)) AS v(kind, found, confidence)")
+@query("SELECT * FROM (VALUES ('service_bus', 'Endpoint=sb://x.servicebus.windows.net', 0.9::DOUBLE), ('kafka', 'kafka:9092', 0.85::DOUBLE), ('event_hub', 'EventHub=x', 0.85::DOUBLE), ('cdc', 'Apply CDC', 0.95::DOUBLE)) AS v(kind, found, confidence)")
 def stream_source_detect(spark, sf):
-    return _results(spark, detect_sources(["bootstrap.servers=x", "Data Source=db"], ["Apply CDC", "Load"]), "kind string, found string, confidence double")
+    found = detect_sources(["Endpoint=sb://x.servicebus.windows.net", "kafka:9092", "EventHub=x", "Data Source=db"], ["Apply CDC", "Load"])
+    return _results(spark, found, "kind string, found string, confidence double")
+
+
+# ---- writes of pass-through SQL, transactions, traces
+
+
+def _sql(spark, sf, *statements, **tables):
+    r = Registry(spark, tables={n: df for n, df in tables.items()}, warehouse=scratch(spark))
+    for s in statements:
+        r.sql(s)
+    return r
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region")
+def sql_insert_select(spark, sf):
+    nations = t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return _sql(spark, sf, "INSERT INTO [dbo].[nations] (n_name, n_nationkey) SELECT r_name, r_regionkey + 100 FROM region", nations=nations, region=t(spark, sf, "region")).table("nations")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'OWES' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal::DOUBLE END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0")
+def sql_update_delete(spark, sf):
+    df = t(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return _sql(spark, sf, "UPDATE dbo.customers SET c_mktsegment = 'OWES', c_acctbal = 0 WHERE c_acctbal < 0", "DELETE FROM customers WHERE c_custkey % 7 = 0", customers=df).table("customers")
+
+
+@query("SELECT count(*) AS n, 'empty' AS kind FROM nation WHERE false UNION ALL SELECT count(*), 'filled' FROM nation")
+def sql_truncate_insert(spark, sf):
+    r = _sql(spark, sf, "TRUNCATE TABLE dbo.target", target=t(spark, sf, "nation"), nation=t(spark, sf, "nation"))
+    empty = r.table("target").agg(F.count("*").alias("n"), F.lit("empty").alias("kind"))
+    r.sql("INSERT INTO dbo.target SELECT * FROM nation")
+    return empty.unionByName(r.table("target").agg(F.count("*").alias("n"), F.lit("filled").alias("kind")))
+
+
+@query("""
+SELECT coalesce(t.c_custkey, s.c_custkey) AS c_custkey, CASE WHEN s.c_custkey IS NOT NULL THEN s.c_mktsegment ELSE t.c_mktsegment END AS c_mktsegment
+FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) t FULL JOIN (SELECT c_custkey, 'new' AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) s ON s.c_custkey = t.c_custkey
+WHERE NOT (t.c_custkey IS NOT NULL AND s.c_custkey IS NOT NULL AND t.c_custkey % 10 = 0)""")
+def sql_merge(spark, sf):
+    df = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    merge = """MERGE INTO dbo.target AS t USING (SELECT c_custkey, 'new' AS c_mktsegment FROM changes WHERE c_custkey % 2 = 0) AS s ON t.c_custkey = s.c_custkey
+        WHEN MATCHED AND t.c_custkey % 10 = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET t.c_mktsegment = s.c_mktsegment
+        WHEN NOT MATCHED THEN INSERT (c_custkey, c_mktsegment) VALUES (s.c_custkey, s.c_mktsegment);"""
+    return _sql(spark, sf, merge, target=df.filter("c_custkey % 3 <> 0"), changes=df).table("target")
+
+
+@query("SELECT count(*) AS n, 'failed' AS state FROM nation")
+def transaction_rollback(spark, sf):
+    """A sequence that requires a transaction empties a table, then fails: the table is as before."""
+    run = _runner(spark, sf, "nation")
+    inside = [Task("empty", "execute_sql", sql="TRUNCATE TABLE nation"), Task("fail", "execute_sql", sql="EXEC dbo.nothing")]
+    states = run.tasks([Task("all", "sequence", properties={"TransactionOption": "2"}, children=inside, constraints=[Constraint("empty", "fail")])], None)
+    return run.registry.table("nation").agg(F.count("*").alias("n")).withColumn("state", F.lit(states["all"]))
+
+
+@query("""
+WITH a AS (SELECT l_returnflag AS name, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag AS name, count(*) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY 1)
+SELECT 'rows' AS kind, name, 'count' AS difference, a.n::VARCHAR AS expected, b.n::VARCHAR AS actual FROM a LEFT JOIN b USING (name) WHERE abs(coalesce(b.n, 0) - a.n) > 0.1 * a.n
+UNION ALL SELECT 'task', r_name, 'missing', '1', NULL FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'task', 'other', 'extra', NULL, '1'""")
+def compare_traces(spark, sf):
+    lines = t(spark, sf, "lineitem")
+    counts = lambda df: df.groupBy(F.lit("rows").alias("kind"), F.col("l_returnflag").alias("name")).agg(F.count("*").cast("string").alias("value"))
+    tasks = t(spark, sf, "region").select(F.lit("task").alias("kind"), F.col("r_name").alias("name"), F.lit("1").alias("value"), "r_regionkey")
+    wanted = counts(lines).unionByName(tasks.drop("r_regionkey"))
+    other = _results(spark, [("task", "other", "1")], "kind string, name string, value string")
+    got = counts(lines.filter("l_linenumber < 4")).unionByName(tasks.filter("r_regionkey > 0").drop("r_regionkey")).unionByName(other)
+    return quality.compare_traces(wanted, got, 0.1)
+
+
+# ---- further functions
+
+
+@query("SELECT p_partkey AS k, round(exp(p_size / 100.0), 9) AS a, round(ln(p_size), 9) AS b, round(log10(p_size), 9) AS c, round(log2(p_size), 9) AS d, round(asin(p_size / 100.0), 9) AS e, round(acos(p_size / 100.0), 9) AS f, p_size::DOUBLE * p_size AS g, p_size | 9 AS h, xor(p_size, 9) AS i FROM part")
+def expr_math_more(spark, sf):
+    made = {"a": "EXP(p_size / 100.0)", "b": "LN(p_size)", "c": "LOG10(p_size)", "d": "LOG2(p_size)", "e": "ASIN(p_size / 100.0)", "f": "ACOS(p_size / 100.0)", "g": "SQUARE(p_size)", "h": "BITOR(p_size, 9)", "i": "BITXOR(p_size, 9)"}
+    out = expressions(t(spark, sf, "part"), k="p_partkey", **made)
+    return out.withColumns({c: F.round(c, 9) for c in "abcdef"} | {c: F.col(c).cast("int") for c in "hi"})
+
+
+@query("SELECT p_partkey AS k, upper(to_hex(p_size)) AS h, p_name || '-' || p_name AS c, '2024-03-15' AS d FROM part")
+def expr_hex_concat_now(spark, sf):
+    out = expressions(t(spark, sf, "part"), k="p_partkey", h="HEX(p_size)", c='CONCATENATE(p_name, "-", p_name)', d="GETDATE()")
+    return out.withColumns({"h": F.upper("h"), "d": F.date_format("d", "yyyy-MM-dd")})
+
+
+@query("SELECT DISTINCT 1 AS u FROM part")
+def expr_random(spark, sf):
+    return expressions(t(spark, sf, "part"), u="RAND()").select(F.when((F.col("u") >= 0) & (F.col("u") < 1), 1).otherwise(0).alias("u")).distinct()
+
+
+@query("SELECT DISTINCT event_id % 4 AS op, min(event_id) OVER (PARTITION BY event_id % 4) AS low FROM events WHERE event_id > 100 AND event_id <= 1000 AND event_id % 4 > 0")
+def src_cdc_range(spark, sf):
+    """The change table of a table, between two places of its log."""
+    rows_ = t(spark, sf, "events").select(F.col("event_id").alias("__$start_lsn"), (F.col("event_id") % 4).alias("op")).filter("op > 0")
+    r = Registry(spark, tables={"cdc.dbo_users_ct": rows_})
+    return sources.read_cdc(r, None, "dbo.users", low=100, high=1000).groupBy("op").agg(F.min("__$start_lsn").alias("low"))

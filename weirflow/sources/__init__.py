@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
@@ -48,11 +49,11 @@ class Connection:
 
 @dataclass
 class Registry:
-    """Connections by id or name, and the tables that stand in for databases: a table name leads to a path or a DataFrame."""
+    """Connections by id or name, and the tables that stand in for databases: a table name leads to a path, paths or a DataFrame."""
 
     spark: SparkSession
     connections: dict[str, Connection] = field(default_factory=dict)
-    tables: dict[str, str | DataFrame] = field(default_factory=dict)
+    tables: dict[str, str | list[str] | DataFrame] = field(default_factory=dict)
     warehouse: str = ""
 
     def add(self, connection: Connection) -> None:
@@ -66,11 +67,44 @@ class Registry:
         return self.connections.get((ref or "").lower()) or self.connections.get(m[1].lower() if m else "")
 
     def table(self, name: str) -> DataFrame:
-        key = clean_name(name)
-        found = self.tables.get(key) if key in self.tables else self.tables.get(key.rpartition(".")[2])
+        found = self.tables.get(self.key(name))
         if found is None:
-            return self.spark.table(key)
-        return self.spark.read.parquet(found) if isinstance(found, str) else found
+            return self.spark.table(clean_name(name))
+        return found if isinstance(found, DataFrame) else self.spark.read.parquet(*([found] if isinstance(found, str) else found))
+
+    @property
+    def folder(self) -> str:
+        """Where tables are written: ``warehouse``, else the session's own warehouse."""
+        return (self.warehouse or self.spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+    def new_folder(self, name: str) -> str:
+        return f"{self.folder}/{re.sub(r'[^0-9a-z_]', '_', clean_name(name))}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Write a new version of a table in a folder of its own, then let the name point to it; readers of the old one go on."""
+        path = self.new_folder(name)
+        write_table(rows, path, "overwrite")
+        self.tables[self.key(name)] = path
+
+    def attach(self, name: str, path: str) -> None:
+        """Add the rows of a written folder to a table."""
+        key = self.key(name)
+        old = self.tables.get(key)
+        if old is None or old == path:
+            self.tables[key] = path
+        elif isinstance(old, DataFrame):
+            self.tables[key] = old.unionByName(self.spark.read.parquet(path), allowMissingColumns=True)
+        else:
+            self.tables[key] = list(dict.fromkeys([*([old] if isinstance(old, str) else old), path]))
+
+    def key(self, name: str) -> str:
+        """The name under which a table is registered, with or without its schema; the name itself if it is not."""
+        name = clean_name(name)
+        if name in self.tables:
+            return name
+        schema, _, last = name.rpartition(".")
+        near = [last] if schema else [k for k in self.tables if k.rpartition(".")[2] == last]
+        return next((k for k in near if k in self.tables), name)
 
     def publish(self) -> None:
         """Give every registered table a view, for SQL; the schema dbo has no name of its own there."""
@@ -78,8 +112,15 @@ class Registry:
             self.table(name).createOrReplaceTempView(clean_name(name).removeprefix("dbo.").replace(".", "_"))
 
     def sql(self, text: str, args: list | None = None) -> DataFrame:
+        """Run a statement; TRUNCATE, DELETE, INSERT, UPDATE and MERGE make a new version of a registered table."""
         self.publish()
-        return self.spark.sql(dialect(text, set(self.tables)), args=args or [])
+        text = dialect(text, set(self.tables))
+        changed = change(text, args or [], self)
+        if changed is None:
+            return self.spark.sql(text, args=args or [])
+        table, rows = changed
+        self.put(table, rows)
+        return self.spark.createDataFrame([], "done string")
 
 
 def clean_name(name: str) -> str:
@@ -103,12 +144,93 @@ def dialect(sql: str, tables: set[str] | None = None) -> str:
     return out
 
 
+_NAME = r"([\w.`]+)"
+_WRITES = {
+    "truncate": re.compile(rf"\s*TRUNCATE\s+TABLE\s+{_NAME}\s*;?\s*$", re.I),
+    "delete": re.compile(rf"\s*DELETE\s+FROM\s+{_NAME}(?:\s+WHERE\s+(.+?))?\s*;?\s*$", re.I | re.S),
+    "insert": re.compile(rf"\s*INSERT\s+INTO\s+{_NAME}\s*(?:\(([^)]*)\))?\s*((?:SELECT|VALUES|WITH)\b.+?)\s*;?\s*$", re.I | re.S),
+    "update": re.compile(rf"\s*UPDATE\s+{_NAME}\s+SET\s+(.+?)(?:\s+WHERE\s+(.+?))?\s*;?\s*$", re.I | re.S),
+    "merge": re.compile(rf"\s*MERGE\s+(?:INTO\s+)?{_NAME}\s+(?:AS\s+)?(\w+)\s+USING\s+(\(.+?\)|[\w.`]+)\s+(?:AS\s+)?(\w+)\s+ON\s+(.+?)\s+(WHEN\s+.+?)\s*;?\s*$", re.I | re.S),
+}
+_WHEN = re.compile(r"WHEN\s+(NOT\s+MATCHED|MATCHED)(?:\s+BY\s+TARGET)?(?:\s+AND\s+(.+?))?\s+THEN\s+(?:(UPDATE)\s+SET\s+(.+?)|(DELETE)|(INSERT)\s*\(([^)]*)\)\s*VALUES\s*\((.+?)\))\s*(?=WHEN\s|$)", re.I | re.S)
+
+
+def split_list(text: str) -> list[str]:
+    """The parts of a list between commas that are in no bracket and no quotes."""
+    out, depth, quoted = [""], 0, False
+    for ch in text:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [x.strip() for x in out]
+
+
+def _sets(text: str) -> dict[str, str]:
+    """Column to expression, of a SET list."""
+    pairs = [x.partition("=") for x in split_list(text)]
+    return {clean_name(a).rpartition(".")[2]: b.strip() for a, _, b in pairs}
+
+
+def change(sql: str, args: list, registry: Registry) -> tuple[str, DataFrame] | None:
+    """The table that a write statement changes and its rows afterwards, as one query of the table; None for other statements.
+
+    MERGE takes one clause of each kind and needs a source whose keys are unique, as the standard has it.
+    """
+    found = next(((k, m) for k, p in _WRITES.items() if (m := p.match(sql))), None)
+    if found is None:
+        return None
+    kind, m = found
+    name, spark = m[1], registry.spark
+    target = registry.table(name)
+    view = clean_name(name).removeprefix("dbo.").replace(".", "_")
+    columns = target.columns
+    run = lambda text: spark.sql(text, args=args)
+    quoted = {c.lower(): f"`{c}`" for c in columns}
+    typed = lambda values: ", ".join(f"CAST({v} AS {target.schema[c].dataType.simpleString()}) AS `{c}`" for c, v in values.items())
+    if kind == "truncate":
+        return name, target.limit(0)
+    if kind == "delete":
+        return name, run(f"SELECT * FROM {view} WHERE NOT coalesce({m[2]}, false)") if m[2] else target.limit(0)
+    if kind == "insert":
+        rows = run(m[3])
+        given = [clean_name(c) for c in m[2].split(",")] if m[2] else [c.lower() for c in columns]
+        place = {c: k for k, c in enumerate(given)}
+        made = rows.toDF(*[f"_{k}" for k in range(len(rows.columns))])
+        added = made.select(*[(F.col(f"_{place[c.lower()]}") if c.lower() in place else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in columns])
+        return name, target.unionByName(added)
+    if kind == "update":
+        sets, where = _sets(m[2]), m[3]
+        new = {c: f"CASE WHEN {where} THEN {sets[c.lower()]} ELSE {quoted[c.lower()]} END" if where and c.lower() in sets else sets.get(c.lower(), quoted[c.lower()]) for c in columns}
+        return name, run(f"SELECT {typed(new)} FROM {view}")
+    a, b, on = m[2], m[4], m[5]
+    source = m[3] if m[3].startswith("(") else clean_name(m[3]).removeprefix("dbo.").replace(".", "_")
+    update, gone, insert = None, None, None
+    for w in _WHEN.finditer(m[6]):
+        if w[3]:
+            update = (w[2] or "true", _sets(w[4]))
+        elif w[5]:
+            gone = w[2] or "true"
+        else:
+            insert = (w[2] or "true", dict(zip([clean_name(c) for c in w[7].split(",")], split_list(w[8]), strict=True)))
+    met = f"{a}._t AND {b}._s"
+    new = {c: f"CASE WHEN {met} AND ({update[0]}) THEN {update[1][c.lower()]} WHEN {a}._t THEN {a}.{quoted[c.lower()]}" if update and c.lower() in update[1] else f"CASE WHEN {a}._t THEN {a}.{quoted[c.lower()]}" for c in columns}
+    new = {c: f"{x} ELSE {insert[1].get(c.lower(), 'NULL') if insert else 'NULL'} END" for c, x in new.items()}
+    keep = f"({a}._t AND NOT coalesce({b}._s AND ({gone or 'false'}), false)) OR ({a}._t IS NULL AND coalesce({insert[0] if insert else 'false'}, false))"
+    return name, run(f"SELECT {typed(new)} FROM (SELECT *, true AS _t FROM {view}) {a} FULL JOIN (SELECT *, true AS _s FROM {source}) {b} ON {on} WHERE {keep}")
+
+
 def read_database(registry: Registry, connection: Connection | None, query: str | None = None, table: str | None = None) -> DataFrame:
     """A query wins over a table. Without a JDBC url the registered tables stand in for the database."""
     if not query and not table:
         raise ValueError("a source needs a query or a table")
     if connection and connection.url:
         reader = registry.spark.read.format("jdbc").option("url", connection.url).options(**connection.options)
+        # A query that is read in parts (partitionColumn and its bounds among the options) has to stand as a table.
+        if query and "partitionColumn" in connection.options:
+            query, table = None, f"({query}) part"
         return reader.option("query", query).load() if query else reader.option("dbtable", table).load()
     return registry.sql(query) if query else registry.table(table)
 
@@ -211,3 +333,37 @@ def manifest(table: str, connection: str, schema: T.StructType) -> str:
         number = isinstance(d, T.DecimalType)
         columns.append({"name": f.name, "dataType": d.simpleString(), "length": f.metadata.get("length", 0), "precision": d.precision if number else 0, "scale": d.scale if number else 0})
     return json.dumps({"table": table, "connectionRef": connection, "columns": columns})
+
+
+def hadoop(spark: SparkSession, path: str):
+    """A path as Hadoop has it, and the file system that it lies in: local disk, HDFS, an object store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Files of a folder that a pattern meets, in order; local ones as plain paths."""
+    where, fs = hadoop(spark, f"{folder.rstrip('/')}/{pattern}")
+    found = [s.getPath() for s in fs.globStatus(where) or [] if s.isFile()]
+    return sorted(p.toUri().getPath() if p.toUri().getScheme() in (None, "file") else p.toString() for p in found)
+
+
+def file_operation(spark: SparkSession, operation: str, source: str, target: str = "") -> None:
+    """Copy, move, rename or delete files and folders, or make a folder, in any store that Spark reaches."""
+    s, fs = hadoop(spark, source)
+    if operation in ("copy", "copy_file", "copy_directory", "move", "move_file", "move_directory", "rename"):
+        t, other = hadoop(spark, target)
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, s, other, t, not operation.startswith("copy"), spark.sparkContext._jsc.hadoopConfiguration())
+    elif operation in ("delete", "delete_file", "delete_directory"):
+        done = fs.delete(s, operation == "delete_directory")
+    elif operation == "create_directory":
+        done = fs.mkdirs(s)
+    elif operation == "delete_content":
+        done = all([fs.delete(x.getPath(), True) for x in fs.listStatus(s)])
+    elif operation == "set_attributes":
+        fs.setPermission(s, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission(target or "644"))
+        done = True
+    else:
+        raise ValueError(f"unknown file operation {operation}")
+    if not done:
+        raise OSError(f"{operation} of {source} did not succeed")
