@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 def first_by_key(ref: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row a key, the first by the given columns (all others by default)."""
     by = order or [c for c in ref.columns if c not in keys]
-    if len(by) == 1 and isinstance(ref.schema[by[0]].dataType, (T.NumericType, T.DatetimeType, T.BooleanType)) and not isinstance(ref.schema[by[0]].dataType, (T.FloatType, T.DoubleType)):
+    if len(by) == 1 and isinstance(ref.schema[by[0]].dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
         # A hash aggregate; nulls come first here, as in a struct.
         least = F.when(F.count(F.lit(1)) == F.count(by[0]), F.min(by[0])).alias(by[0])
         return ref.groupBy(*keys).agg(least).select(*keys, by[0])
@@ -111,8 +111,11 @@ def fuzzy_grouping(df: DataFrame, column: str, block=F.soundex) -> DataFrame:
     return keyed.join(ids, same).drop("_k2", "_c2").join(heads, F.col("_group_key").eqNullSafe(F.col("_k3"))).drop("_k3")
 
 
+SEPARATOR = "[^\\p{L}\\p{N}]+"
+
+
 def text_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
 
 
 def term_lookup(df: DataFrame, terms: DataFrame, column: str, term_column: str, key: str) -> DataFrame:
@@ -134,8 +137,9 @@ def _grams(n: int) -> Column:
 
 def term_extraction(df: DataFrame, column: str, min_frequency: int = 2, min_length: int = 2) -> DataFrame:
     """(term, frequency, documents) of the words of all texts."""
-    words = df.select(F.filter(text_words(F.col(column)), lambda w: F.length(w) >= min_length).alias("_w"))
-    # Every word, and once more each that a text has: one pass with partial sums, so only terms are shuffled.
-    every = words.select(F.explode(F.concat(F.transform("_w", lambda w: F.struct(w.alias("term"), F.lit(0).alias("of"))), F.transform(F.array_distinct("_w"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("of"))))).alias("x"))
-    counts = every.select("x.term", "x.of").groupBy("term").agg(F.sum(1 - F.col("of")).alias("frequency"), F.sum("of").alias("documents"))
+    words = df.select(F.split(F.lower(F.col(column)), SEPARATOR).alias("_w"))
+    # Every word, then once more each that the text has: one pass with partial sums, so only terms are shuffled.
+    every = words.select(F.posexplode(F.concat("_w", F.array_distinct("_w"))).alias("k", "term"), F.size("_w").alias("n"))
+    own = (F.col("k") < F.col("n")).cast("long")
+    counts = every.filter(F.length("term") >= max(1, min_length)).groupBy("term").agg(F.sum(own).alias("frequency"), F.sum(1 - own).alias("documents"))
     return counts.filter(F.col("frequency") >= min_frequency)
