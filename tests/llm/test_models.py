@@ -68,7 +68,7 @@ def test_mixing_meets_targets(spark, sf):
 
 
 def test_mixing_posterior_by_hand(spark):
-    """The posterior over the four domains is that of a naive Bayes model computed plainly."""
+    """The posterior over the four domains is that of the shrunk naive Bayes model computed plainly, word by word."""
     docs = [(1, "sun sun moon", 1, 0), (2, "moon rain", 1, 0), (3, "mud rain mud", 0, 0), (4, "filth sun", 1, 1), (5, "filth mud", 0, 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, quality int, toxic int")
     with warnings.catch_warnings():
@@ -76,23 +76,53 @@ def test_mixing_posterior_by_hand(spark):
         got = {r.doc_id: r.mix.p for r in mixing.mix(df, df).collect()}
     bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in ("sun", "moon", "rain", "mud", "filth")], "w string").select("w", mixing.buckets(F.col("w"))[0].alias("b")).collect()}
     assert len(set(bucket.values())) == 5
-    count = {d: Counter() for d in range(4)}
-    for _, text, q, t in docs:
-        count[2 * q + t].update(text.split())
-    every = sum(count.values(), Counter())
+    vocabulary = sorted(bucket)
+    words, n_docs = {}, {}
+    for q in (0, 1):
+        for t in (0, 1):
+            own = [text.split() for _, text, *label in docs if label == [q, t]]
+            words[q, t], n_docs[q, t] = Counter(sum(own, [])), len(own) + 1
+    every = sum(words.values(), Counter())
+    rest = 0.5 * (mixing.BUCKETS - 5)  # buckets without any word count half a word
+    pooled = {w: every[w] / (every.total() + rest) for w in vocabulary}
+
+    def alone(j, v, w):
+        own = sum((c for d, c in words.items() if d[j] == v), Counter())
+        return (own[w] + mixing.SMOOTHING * pooled[w]) / (own.total() + mixing.SMOOTHING)
+
+    def alone_rest(j, v):  # of all buckets without words, together
+        own = sum((c for d, c in words.items() if d[j] == v), Counter())
+        return mixing.SMOOTHING * rest / (every.total() + rest) / (own.total() + mixing.SMOOTHING)
+
+    share = {(j, v): sum(n for d, n in n_docs.items() if d[j] == v) / sum(n_docs.values()) for j in (0, 1) for v in (0, 1)}
     for i, text, *_ in docs:
         logs = []
-        for d in range(4):
-            n = sum(2 * q + t == d for _, _, q, t in docs)
-            logs.append(np.log(n + 1) + sum(np.log((count[d][w] + mixing.SMOOTHING * every[w] / every.total()) / (count[d].total() + mixing.SMOOTHING)) for w in text.split()))
+        for q, t in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            mixed = {w: alone(0, q, w) * alone(1, t, w) / pooled[w] for w in vocabulary}
+            whole = sum(mixed.values()) + alone_rest(0, q) * alone_rest(1, t) / (rest / (every.total() + rest))
+            here = words[q, t]
+            prior = n_docs[q, t] + sum(n_docs.values()) * share[0, q] * share[1, t]
+            logs.append(np.log(prior) + sum(np.log((here[w] + mixing.SMOOTHING * mixed[w] / whole) / (here.total() + mixing.SMOOTHING)) for w in text.split()))
         want = np.exp(np.array(logs) - max(logs))
         assert np.allclose(got[i], want / want.sum(), atol=1e-4)
 
 
+def test_a_combination_that_no_label_shows(spark):
+    """No labelled document is poor and toxic; one that has the signs of both has a share of that domain nevertheless."""
+    rows = [(k, " ".join([f"{'good' if k % 3 else 'poor'}{j}" for j in range(20)] + ["vile vicious nasty"] * (k % 9 == 1)), int(k % 3 > 0), int(k % 9 == 1)) for k in range(900)]
+    rows.append((1000, " ".join([f"poor{j}" for j in range(20)] + ["vile vicious nasty"] * 3), None, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        got = {r.doc_id: r.mix for r in mixing.mix(df, df.filter("quality IS NOT NULL")).collect()}
+    assert got[1000].p[1] > 0.3 and max(m.p[1] for k, m in got.items() if k < 1000) < 0.1
+    assert sum(m.rate * m.tokens * m.p[1] for m in got.values()) > 0
+
+
 def test_mixing_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (6, None, 1), (None, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int")
     plain = edge.drop("mix")
-    out = mixing.mix(plain, labels)
+    out = mixing.mix(plain, labels, rounds=20)
     assert out.count() == edge.count()
     assert set(mixing.realise(out).columns) == set(plain.columns)
     assert mixing.mix(edge, labels.limit(0)).count() == edge.count()

@@ -75,12 +75,31 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: list[str], domains: list
     for r in sample.select("d", F.explode("b").alias("b")).groupBy("d", "b").count().collect():  # at most BUCKETS rows a domain
         cells[r["d"], r["b"] - 1] = r["count"]
     drop_path(docs.sparkSession, path)
-    every = max(cells.sum(), 1.0)
-    logs = np.log((cells + SMOOTHING * np.maximum(cells.sum(0), 0.5) / every) / (cells.sum(1, keepdims=True) + SMOOTHING))
-    prior = np.log(of_docs)
+    logs, prior = joint(cells, of_docs, domains)
     return [((logs[k] - logs[0]).tolist(), float(prior[k] - prior[0])) for k in range(1, len(domains))]
 
 
+def joint(cells: np.ndarray, of_docs: np.ndarray, domains: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of P(word | domain) and P(domain) from counts, shrunk towards what the labels tell one by one.
+
+    A domain's words count against SMOOTHING words of the mixture that independent labels would make, and its documents
+    against as many as independent labels would give it. So a combination that few or no labelled documents show is told
+    by its labels, and one that many show by itself.
+    """
+    pooled = np.maximum(cells.sum(0), 0.5)
+    pooled = pooled / pooled.sum()
+    of_words, alone = np.tile(pooled, (len(domains), 1)), np.full(len(domains), of_docs.sum())
+    for j in range(len(domains[0])):
+        for v in (0, 1):
+            own = [k for k, d in enumerate(domains) if d[j] == v]
+            words = cells[own].sum(0)
+            of_words[own] *= (words + SMOOTHING * pooled) / (words.sum() + SMOOTHING) / pooled
+            alone[own] *= of_docs[own].sum() / of_docs.sum()
+    of_words /= of_words.sum(1, keepdims=True)
+    logs = np.log((cells + SMOOTHING * of_words) / (cells.sum(1, keepdims=True) + SMOOTHING))
+    return logs, np.log(of_docs + alone)
+
+
 def evidence(weights: list[float]) -> Column:
     table = F.array(*[F.lit(round(w, 6)) for w in weights])
     return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b.cast("int")))
@@ -222,7 +241,11 @@ def realise(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Chance is a hash of the id, so a run can be repeated; the ``mix`` column goes.
     """
     chance = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor(F.col("mix.rate") + chance).cast("int")
+    times = F.floor(F.col("mix.rate") + chance).cast("long")
     own = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c != "mix"])
     rows = mixed.select(own.alias("_doc"), times.alias("_times")).filter("_times > 0")
-    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    # In two steps, so that no row holds a list as long as its rate.
+    by = 1000
+    rows = rows.select("_doc", "_times", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / by))).alias("_k"))
+    rows = rows.select("_doc", F.explode(F.sequence(F.lit(1), F.least(F.lit(by).cast("long"), F.col("_times") - F.col("_k") * by))))
+    return rows.select("_doc.*")
