@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from weirflow.llm import near_dedup, suffix_dedup
 from weirflow.llm.common import connected_components
@@ -143,13 +144,16 @@ def test_suffix_dedup_edges(edge, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
-def test_suffix_dedup_over_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("bucket, in_range, ranges", [(20, 20, 1000), (20, 1000, 1000), (7, 50, 3)])
+def test_suffix_dedup_over_many_buckets(spark, monkeypatch, bucket, in_range, ranges):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("ab\0"), n))
     passage, other = word(70), word(60)
     docs = [(k, word(rng.integers(0, 90)) + (passage if k % 2 else other) * (1 + k % 3) + word(rng.integers(0, 60))) for k in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", in_range)
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", ranges)
     check_suffix(df, width=40, gram=12)
     check_suffix(df, width=40, gram=6, also=16)
     check_suffix(df, width=40, gram=1, also=2)

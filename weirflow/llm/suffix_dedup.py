@@ -5,15 +5,17 @@ have equal anchors at equal offsets, so only the suffixes at anchors need sortin
 Where strings of a second, shorter length are asked for too, the shorter windows have the anchors, and serve both.
 
 * Anchors whose gram occurs once are dropped by a grouped count: none of their windows can repeat.
-* The others' suffixes are dealt out by sampled splitters over their leading bytes: the first eight, then a hash of the
-  gram, so that a splitter is a few numbers. As many buckets are made as the counted suffixes need.
+* The others' suffixes are dealt out by sampled splitters over their leading bytes: the first seven, then a hash of the
+  gram, so that a splitter is a few numbers. The counted suffixes say how many ranges are made, up to a greatest number
+  that the splitters' sample can serve. Spark orders each range by the same numbers, spilling where it has to, and its
+  task takes it in buckets of bounded size, one after the other.
 * Each bucket sorts its suffixes, and the bytes before the anchors backwards, by a multikey sort on words of eight
   bytes. Neighbours' common prefixes then say which suffixes agree up to any length, in both directions, and so which
   windows of a bucket are equal, byte for byte. Equal suffixes of a bucket are sorted once.
-* A run of suffixes that a splitter may have cut is compared across the boundary by its windows' digests.
+* A run of suffixes that the end of a bucket may have cut is compared across the boundary by its windows' digests.
 
-Splitters also cut runs of equal grams (a hash of the document breaks ties), so a bucket's size is bounded however
-many copies a passage has.
+Buckets and splitters also cut runs of equal grams (a hash of the document breaks ties), so the size of neither a bucket
+nor a range depends on how many copies a passage has.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from weirflow.llm.near_dedup import _mixed, _powers
 
 WIDTH = 400
 GRAM = 96
-#: Suffixes in one bucket.
+#: Suffixes in one bucket, and in one range as long as there are fewer ranges than the greatest number of them.
 BUCKET_ROWS = 16_000
+RANGE_ROWS = 64_000
+MAX_RANGES = 20_000
 #: Bytes of a text whose windows are anchored at once.
 CHUNK = 1 << 19
 _U = np.uint64
@@ -250,7 +254,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     word = F.conv(F.hex(F.substring("right", 1, 7)), 16, 10).cast("long")
     tie = F.xxhash64("k1", "k2", "at")
     dealt = made.withColumns({"lead": word, "spread": F.xxhash64(F.substring("right", 1, gram))})
-    buckets = dealt.repartitionByRange(max(1, -(-suffix_count // BUCKET_ROWS)), "lead", "spread", tie)
+    ranges = min(max(1, -(-suffix_count // RANGE_ROWS)), MAX_RANGES)
+    ordered = dealt.repartitionByRange(ranges, "lead", "spread", tie).sortWithinPartitions("lead", "spread", tie)
+    bucket_rows = BUCKET_ROWS
 
     found_names = ["k1", "k2", "length", "start", "stop", "digest", "n"]
     found_kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
@@ -261,7 +267,26 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def spans(k1: np.ndarray, k2: np.ndarray, length: int, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
         return batch(k1, k2, np.full(len(k1), length, np.int32), starts, stops, [None] * len(k1), np.zeros(len(k1), np.int32))
 
-    def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        bucket, room = [], bucket_rows
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, room)
+                bucket.append(part)
+                at += part.num_rows
+                room -= part.num_rows
+                if not room:
+                    yield bucket
+                    bucket, room = [], bucket_rows
+        if bucket:
+            yield bucket
+
+    def sort_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in buckets(batches):
+            yield from sort_bucket(bucket)
+
+    def sort_bucket(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct: dict[tuple[bytes, bytes, int], int] = {}
         own: list[list] = [[] for _ in range(4)]  # k1, k2, place and the number of the distinct suffix
         leads, twice = [], []
@@ -318,7 +343,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 start = place[one[r]] - d
                 yield batch(k1[one[r]], k2[one[r]], np.full(len(r), length, np.int32), start, start + length, digests, np.where(repeated[r, d], 2, 1).astype(np.int32))
 
-    found, _ = written(buckets.mapInArrow(sort_bucket, "k1 long, k2 long, length int, start long, stop long, digest binary, n int"), "suffix-found")
+    found, _ = written(ordered.mapInArrow(sort_range, "k1 long, k2 long, length int, start long, stop long, digest binary, n int"), "suffix-found")
     across = found.filter("digest IS NOT NULL")
     shared, _ = written(across.groupBy("digest", "length").agg(F.sum("n").alias("all")).filter("all > 1").select("digest", "length"), "suffix-shared")
     columns = ["k1", "k2", "length", "start", "stop"]
