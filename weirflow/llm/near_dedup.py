@@ -306,7 +306,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     buckets, _ = written(buckets.groupBy("size", "low", "mark").agg(F.min("bucket").alias("bucket")), "near-buckets")
     members = banded.join(buckets.select("bucket", "size", F.col("low").alias("leader")).hint("merge"), "bucket")
     members = members.join(classes.select("rep", "sketch").hint("merge"), "rep")
-    members = members.select("bucket", "rep", "leader", "size", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"), "sketch")
+    members, _ = written(members.select("bucket", "rep", "leader", "size", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"), "sketch"), "near-members")
 
     def sketches(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return g.column("rep").to_numpy(), np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(g), HASHES)
@@ -340,7 +340,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     heads = inside.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max(F.struct("copies", (-F.col("rep")).alias("r"))).alias("h"))
     heads, _ = written(heads.select("component", "size", (-F.col("h.r")).alias("leader"), F.ceil(F.col("weight") / CLUSTER_BLOCK).cast("int").alias("blocks")), "near-heads")
     nodes, _ = written(inside.join(heads.hint("merge"), "component").select("rep", "component", "size", "leader", "blocks"), "near-nodes")
+    # Written, as large clusters read it twice and each reading would shuffle all texts.
     full = source.join(nodes.hint("merge"), F.col("doc_id") == F.col("rep")).select("component", "rep", "size", "leader", "blocks", "text")
+    full, _ = written(full, "near-full")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for g in by_group(batches, ["component", "i"]):
