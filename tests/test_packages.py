@@ -205,3 +205,13 @@ def test_nodes_and_handlers(spark):
     package = Package("p", variables={"User::all": ""}, tasks=[loop, Task("mail", "send_mail")], handlers={"OnPreExecute": mark("("), "OnTaskFailed": mark("!"), "OnPostExecute": mark(")")})
     run = Runner(Registry(spark))
     assert run.run(package) == {"each": "succeeded", "mail": "failed"} and run.ctx.variables["User::all"] == "(12!)"
+
+
+def test_impact_of_tables(spark):
+    from weirflow.plans.metadata import package_tables, table_impact
+
+    rows = [("load", "t1", "dbo.orders", "reader"), ("load", "t2", "dbo.orders", "reader"), ("load", "t1", "fact", "writer"), ("fill", "t1", "dbo.orders", "writer"), ("ask", "t1", "dbo.orders", "reader")]
+    lineage = spark.createDataFrame(rows, "package_name string, task_name string, table_name string, role string")
+    assert sorted(map(tuple, table_impact(lineage, "[dbo].[orders]").collect())) == [("reader", ["ask", "load"]), ("writer", ["fill"])]
+    assert sorted(map(tuple, package_tables(lineage, "load").collect())) == [("reader", ["dbo.orders"]), ("writer", ["fact"])]
+    assert table_impact(lineage, "none").count() == package_tables(lineage, "none").count() == 0

@@ -71,6 +71,18 @@ def table_lineage(spark: SparkSession, packages: list[Package]) -> DataFrame:
     return spark.createDataFrame(sorted(found), "package_name string, task_name string, table_name string, role string")
 
 
+def table_impact(lineage: DataFrame, table: str) -> DataFrame:
+    """(role, packages): which packages read and which write a table, from the rows of ``table_lineage``."""
+    own = lineage.filter(F.col("table_name") == clean_name(table))
+    return own.groupBy("role").agg(F.array_sort(F.collect_set("package_name")).alias("packages"))
+
+
+def package_tables(lineage: DataFrame, package: str) -> DataFrame:
+    """(role, tables): which tables a package reads and which it writes."""
+    own = lineage.filter(F.col("package_name") == package)
+    return own.groupBy("role").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+
+
 def column_lineage(spark: SparkSession, packages: list[Package]) -> DataFrame:
     """(source_table, source_column, target_table, target_column, transformation) through each data flow.
 
