@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity
+from weirflow.llm import exact_dedup, fingerprints, language_id, line_dedup, media, mixing, near_dedup, packing, resampling, suffix_dedup, token_counts, toxicity, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_line_dedup, op4_mixing, op5_media_columns, op6_suffix_dedup, op7_toxicity, op8_minhash_near_dedup, op9_token_counts, op10_best_fit_packing)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_line_dedup, op4_mixing, op5_media_columns, op6_suffix_dedup, op7_toxicity, op8_minhash_near_dedup, op9_token_counts, op10_best_fit_packing, op11_embedding_whitening, op12_importance_resampling, op13_document_fingerprints)}
 
 ORACLES = {
     "op3_line_dedup": """
