@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from weirflow.llm import resampling
 from weirflow.llm.queries import op12_importance_resampling
 
@@ -90,4 +92,6 @@ def test_blocks_and_windows_of_any_size(spark, monkeypatch):
         assert found == want, window
     blocks = resampling.csr_blocks(spark.createDataFrame([(k, "a b a b a") for k in range(5)], "doc_id long, text string").coalesce(1))
     row = blocks.first()
-    assert row.doc_id == list(range(5)) and row.n_words == [5] * 5 and row.start == [6 * k for k in range(6)] and sum(row["count"]) == 60
+    start, count = (np.frombuffer(bytes(row[c]), "<u4").tolist() for c in ("start", "count"))
+    assert row.doc_id == list(range(5)) and row.n_words == [5] * 5 and start == [6 * k for k in range(6)] and sum(count) == 60
+    assert len(row.bucket) == 2 * start[-1]

@@ -22,13 +22,18 @@ from weirflow.llm.common import written
 
 BUCKETS, ORDER = 10_000, 3
 PERCENT, MIN_WORDS, SEED = 5, 20, 42
-#: Words whose runs are hashed at once, and entries after which a block of the matrix ends.
-WINDOW, BLOCK = 1 << 17, 1 << 17
+#: Words whose runs are hashed at once, entries after which a block of the matrix ends, and blocks that are summed at once.
+WINDOW, BLOCK, AT_ONCE = 1 << 17, 1 << 12, 64
 
 #: ASCII letters, digits and all bytes beyond ASCII are parts of words, in lower case; others part them.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
-BLOCK_KIND = "doc_id array<long>, n_words array<long>, start array<int>, bucket array<int>, count array<int>"
+#: Arrays are little-endian: starts and counts of 32 bits, buckets of 16, or of 32 where there are more of them.
+BLOCK_KIND = "doc_id array<long>, n_words array<long>, start binary, bucket binary, count binary"
+
+
+def _bucket_type(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
 
 
 def run_buckets(text: str | None, buckets: int = BUCKETS, order: int = ORDER) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,11 +63,14 @@ def csr_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n_words, start, cols, counts = [], [], [0], [], []
+        done: list[tuple] = []
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+
+        def block() -> tuple:
+            return ids, n_words, *(np.concatenate(x).astype(t).tobytes() for x, t in (([start], "<u4"), (cols, _bucket_type(buckets)), (counts, "<u4")))
 
-        def block() -> pa.RecordBatch:
-            flat = [np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32) for x in (cols, counts)]
-            parts = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(start, pa.int32()), *map(pa.array, flat)]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in parts], ["doc_id", "n_words", "start", "bucket", "count"])
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "start", "bucket", "count"])
 
         for b in batches:
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -76,10 +84,14 @@ def csr_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
                 cols.append(col)
                 counts.append(count)
                 if start[-1] >= BLOCK or len(ids) >= BLOCK:
-                    yield block()
+                    done.append(block())
                     ids, n_words, start, cols, counts = [], [], [0], [], []
+                    if len(done) >= AT_ONCE:
+                        yield table()
+                        done = []
         if ids:
-            yield block()
+            done.append(block())
+        yield table()
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(source.mapInArrow(run, BLOCK_KIND), f"resampling-{name}")[0]
@@ -99,8 +111,9 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for b in batches:
-            col, count = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("bucket", "count"))
-            np.add.at(sums, col, count)
+            for at in range(0, b.num_rows, AT_ONCE):
+                col, count = (np.frombuffer(b"".join(b.column(c).slice(at, AT_ONCE).to_pylist()), t) for c, t in (("bucket", _bucket_type(buckets)), ("count", "<u4")))
+                sums += np.bincount(col, count, buckets).astype(np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["bucket", "s"])
 
@@ -120,14 +133,18 @@ def log_gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def weights(blocks: DataFrame, gains: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features and weight of every row of the matrix: its product with the gains."""
+    types = ("<u4", _bucket_type(len(gains)), "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                own = lambda c: b.column(c).slice(k, 1).flatten()  # noqa: E731, B023
-                start, col, count = (own(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "bucket", "count"))
-                sums = [np.concatenate([[0], x.cumsum()]) for x in (count, count * gains[col])]
-                arrays = [own("doc_id"), own("n_words"), *(pa.array(s[start[1:]] - s[start[:-1]], pa.int64()) for s in sums)]
+            for at in range(0, b.num_rows, AT_ONCE):
+                part, sums = b.slice(at, AT_ONCE), ([], [])
+                for raw in zip(*(part.column(c).to_pylist() for c in ("start", "bucket", "count")), strict=True):
+                    start, col, count = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(raw, types, strict=True))
+                    for out, x in zip(sums, (count, count * gains[col]), strict=True):
+                        s = np.concatenate([[0], x.cumsum()])
+                        out.append(s[start[1:]] - s[start[:-1]])
+                arrays = [*(part.column(c).flatten() for c in ("doc_id", "n_words")), *(pa.array(np.concatenate(x), pa.int64()) for x in sums)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
