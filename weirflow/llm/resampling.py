@@ -72,7 +72,7 @@ def csr_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "start", "bucket", "count"])
 
-        for b in batches:
+        for b in (x.slice(at, AT_ONCE) for x in batches for at in range(0, x.num_rows, AT_ONCE)):
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 total, col, count = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for n, found in run_buckets(text, buckets, order):
