@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _on(a: str, b: str, keys: list[str]) -> Column:
+    """Equal keys, a null being equal to a null: a row whose key is null is met at the next load, not added again."""
     out: Column = F.lit(True)
     for k in keys:
-        out = out & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
     return out
 
 
@@ -76,13 +77,13 @@ def cdc_apply(target: DataFrame, changes: DataFrame, keys: list[str], order: lis
     last = latest_change(changes.filter(F.col(f"`{operation}`") != 3), keys, order)
     gone = F.col(f"c.`{operation}`") == 1
     has = F.col(f"c.`{operation}`").isNotNull()
-    both = target.alias("t").join(last.alias("c"), _on("t", "c", keys), "full")
+    both = target.withColumn("_there", F.lit(True)).alias("t").join(last.alias("c"), _on("t", "c", keys), "full")
     if not deleted:
         both = both.filter(F.coalesce(~gone, F.lit(True)))
         kept = has
     else:
         if not tombstones:
-            both = both.filter(~(F.coalesce(gone, F.lit(False)) & F.col(f"t.{keys[0]}").isNull()))
+            both = both.filter(~(F.coalesce(gone, F.lit(False)) & F.col("t._there").isNull()))
         kept = has if tombstones else has & ~gone
     out = [F.coalesce(f"t.{k}", f"c.{k}").alias(k) for k in keys]
     out += [F.when(kept, F.col(f"c.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in values]

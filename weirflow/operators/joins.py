@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.operators.graph import connected
+from weirflow.sources.shared import kept
+
 
 def first_by_key(ref: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """One row a key, the first by the given columns (all others by default)."""
@@ -61,23 +64,85 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def rarest_marks(value: Column, min_similarity: float) -> Column:
-    """Marks of a value of which two values share one if they are as similar as ``min_similarity``, which is over zero.
+def edits(longest: Column, min_similarity: float) -> Column:
+    """The most edits that two values may be apart of which the longer has ``longest`` characters."""
+    return F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
+
+
+def _cut(length: Column, i: Column, min_similarity: float) -> tuple[Column, Column]:
+    """Where segment ``i`` of a value begins, and its length: segments are one more than edits, and even but for one."""
+    n = edits(length, min_similarity) + 1
+    base, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
+    late = F.greatest(i - (n - longer), F.lit(0))
+    return i * base + late, base + F.when(i >= n - longer, 1).otherwise(0)
+
+
+def _span(low: Column, high: Column, fn, kind: str = "bigint") -> Column:
+    """What ``fn`` makes of each number from ``low`` to ``high``; nothing if there are none."""
+    return F.when(low <= high, F.transform(F.sequence(low.cast("int"), high.cast("int")), fn)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def segments(value: Column, min_similarity: float) -> Column:
+    """The keys of a value's segments. A value that is as long at most and near enough has one of them as a part."""
+    n = F.length(value)
+
+    def key(i: Column) -> Column:
+        start, size = _cut(n, i, min_similarity)
+        return F.xxhash64(n, i, F.substr(value, start + 1, size))
+
+    return _span(F.lit(0), edits(n, min_similarity), key)
+
+
+def parts(value: Column, min_similarity: float, shorter: bool) -> Column:
+    """The keys of a value's parts that can be segments of a longer value, or with ``shorter`` unset of one as long.
+
+    A part stands where the segments before it and after it leave edits enough: with d edits in all and i segments before
+    it, it is shifted by i places at most, and by d - i at most against the other end.
+    """
+    own = F.length(value)
+    longest = F.floor(own / F.lit(min_similarity) + F.lit(1e-9)).cast("int")
+
+    def of_length(length: Column) -> Column:
+        most, more = edits(length, min_similarity), length - own
+
+        def of_segment(i: Column) -> Column:
+            start, size = _cut(length, i, min_similarity)
+            low = F.greatest(F.lit(0), start - F.least(i, more + most - i))
+            high = F.least(own - size, start - F.greatest(-i, more - most + i))
+            return _span(low, high, lambda at: F.xxhash64(length, i, F.substr(value, at + 1, size)))
+
+        return F.flatten(_span(F.lit(0), most, of_segment, "array<bigint>"))
+
+    return F.array_distinct(F.flatten(_span(own + (1 if shorter else 0), longest, of_length, "array<bigint>")))
+
 
-    Marks are characters with the number of their occurrence. Values that d edits part share all but d of the longer
-    one's marks; so many that among the first ones of both, in a common order, is one that both have.
+def candidates(a: DataFrame, b: DataFrame, min_similarity: float) -> DataFrame:
+    """Pairs of ``_value`` of ``a`` and ``_match`` of ``b`` that can be similar enough; a pair may come more than once.
+
+    The longer value of a pair gives its segments, the shorter one its parts, so a pair meets where both share one.
     """
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    nth = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("nth"), F.xxhash64(c).alias("h"), c.alias("c")))
-    size = F.length(value)
-    first = F.greatest(size - F.ceil(size * F.lit(min_similarity) - F.lit(1e-9)) + 1, F.lit(0)).cast("int")
-    return F.when(size == 0, F.array(F.struct(F.lit(0).alias("nth"), F.lit(0).cast("long").alias("h"), F.lit("").alias("c")))).otherwise(F.slice(F.array_sort(nth), 1, first))
+    if not 0 < min_similarity <= 1:
+        raise ValueError("a least similarity over 0, up to 1, is needed: else all pairs are similar")
+
+    def keyed(df: DataFrame, c: str, long_role: int) -> DataFrame:
+        long, short = segments(F.col(c), min_similarity), parts(F.col(c), min_similarity, shorter=long_role == 1)
+        role = lambda keys, n: F.transform(keys, lambda k: F.struct(F.lit(n).alias("role"), k.alias("key")))
+        return df.select(c, F.explode(F.concat(role(long, long_role), role(short, 1 - long_role))).alias("k")).select(c, "k.role", "k.key")
+
+    return keyed(a, "_value", 0).join(keyed(b, "_match", 1), ["role", "key"]).select("_value", "_match")
+
+
+def similar(a: DataFrame, b: DataFrame, min_similarity: float) -> DataFrame:
+    """The pairs of distinct ``_value`` and ``_match`` that are similar enough, with ``_similarity``."""
+    pairs = candidates(a, b, min_similarity)
+    scored = pairs.withColumn("_similarity", similarity(F.col("_value"), F.col("_match")))
+    return scored.filter(F.col("_similarity") >= min_similarity).distinct()
 
 
 def fuzzy_lookup(df: DataFrame, ref: DataFrame, column: str, ref_column: str, block=None, ref_block=None, min_similarity: float = 0.5, top: int = 1) -> DataFrame:
     """The most similar reference values of each row: ``_match``, ``_similarity``.
 
-    Every value is held against every reference value that can be similar enough, by length and by ``rarest_marks``.
+    Every value is held against every reference value that shares a segment with it, which all do that are similar enough.
     Where ``block`` makes a block's name from a value, only values of one block are compared. Equal values are looked up
     once and all their rows stay. Null values match nothing; ties go to the smaller value.
     """
@@ -85,30 +150,100 @@ def fuzzy_lookup(df: DataFrame, ref: DataFrame, column: str, ref_column: str, bl
     b = ref.select(F.col(ref_column).alias("_match")).filter("_match IS NOT NULL").distinct()
     if block:
         pairs = a.withColumn("_block", block(F.col("_value"))).join(b.withColumn("_block", (ref_block or block)(F.col("_match"))), "_block")
-    elif min_similarity <= 0:
-        pairs = a.crossJoin(b)
+        scored = pairs.select("_value", "_match", similarity(F.col("_value"), F.col("_match")).alias("_similarity")).filter(F.col("_similarity") >= min_similarity)
     else:
-        a = a.withColumn("_a", rarest_marks(F.col("_value"), min_similarity)).withColumn("_mark", F.explode("_a"))
-        b = b.withColumn("_b", rarest_marks(F.col("_match"), min_similarity)).withColumn("_mark", F.explode("_b"))
-        # A pair meets at each mark that both have, and is taken at the first.
-        pairs = a.join(b, "_mark").filter(F.element_at(F.array_intersect("_a", "_b"), 1) == F.col("_mark"))
-        sizes = [F.length("_value"), F.length("_match")]
-        pairs = pairs.filter(F.least(*sizes) >= F.greatest(*sizes) * F.lit(min_similarity) - F.lit(1e-9))
-    scored = pairs.select("_value", "_match", similarity(F.col("_value"), F.col("_match")).alias("_similarity")).filter(F.col("_similarity") >= min_similarity)
+        scored = similar(a, b, min_similarity)
     best = Window.partitionBy("_value").orderBy(F.desc("_similarity"), "_match")
     found = scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top).drop("_n")
     return df.join(found, F.col(column) == F.col("_value")).drop("_value")
 
 
-def fuzzy_grouping(df: DataFrame, column: str, block=F.soundex) -> DataFrame:
-    """``_group_key``, ``_group_id`` and ``_canonical``: values of one block, the smallest value standing for all."""
-    keyed = df.withColumn("_group_key", block(F.col(column)))
-    values = keyed.groupBy("_group_key").agg(F.min(column).alias("_canonical"))
-    distinct = keyed.select("_group_key", column).distinct().withColumn("_group_id", F.dense_rank().over(Window.partitionBy("_group_key").orderBy(column)))
-    same = [F.col("_group_key").eqNullSafe(F.col("_k2")), F.col(column).eqNullSafe(F.col("_c2"))]
-    ids = distinct.select(F.col("_group_key").alias("_k2"), F.col(column).alias("_c2"), "_group_id")
-    heads = values.select(F.col("_group_key").alias("_k3"), "_canonical")
-    return keyed.join(ids, same).drop("_k2", "_c2").join(heads, F.col("_group_key").eqNullSafe(F.col("_k3"))).drop("_k3")
+def fuzzy_grouping(df: DataFrame, column: str, min_similarity: float = 0.8) -> DataFrame:
+    """``_group_key``, ``_group_id``, ``_canonical`` and ``_similarity``, that of a row's value to the canonical one.
+
+    Values belong together if a chain of values leads from one to the other, each as similar to the next as
+    ``min_similarity``. A group's key is its smallest value, its id a hash of that, its canonical value the one that most
+    rows have, of equally frequent ones the smallest. Rows without a value have nulls.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = kept(counts, "values")
+    values = counts.select("_value")
+    pairs = similar(values, values.withColumnRenamed("_value", "_match"), min_similarity).filter("_value < _match")
+    groups = connected(pairs, "_value", "_match")
+    named = counts.join(groups, F.col("_value") == F.col("node"), "left").select("_value", "_n", F.coalesce("component", "_value").alias("_group_key"))
+    named = kept(named, "groups")
+    heads = named.groupBy(F.col("_group_key").alias("_key")).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_value")).alias("_head"))
+    known = named.join(heads, F.col("_group_key") == F.col("_key")).select("_value", "_group_key", F.col("_head._value").alias("_canonical"))
+    out = df.join(known, F.col(column) == F.col("_value"), "left").drop("_value")
+    return out.withColumns({"_group_id": F.when(F.col("_group_key").isNotNull(), F.xxhash64("_group_key")), "_similarity": similarity(F.col(column), F.col("_canonical"))})
+
+
+def _seconds(df: DataFrame, column: str) -> Column:
+    """A number as it is; a time in microseconds' exactness as seconds."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.col(f"`{column}`").cast("timestamp").cast("double")
+    return F.col(f"`{column}`")
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, columns: list[str], width: float, tolerance: float | None = None) -> DataFrame:
+    """The left rows with ``columns`` of the last right row of their keys that is not later, nulls if there is none.
+
+    Times are timestamps or numbers; ``tolerance`` is how much earlier the right row may be, in seconds or units. Of right rows
+    with equal keys and times the largest by ``columns`` counts. Rows without a time find nothing, keys meet as SQL has it.
+
+    Both sides are put in one order by key and time. To keep a hot key out of one task, time is cut into bins of ``width``:
+    inside a bin the last right row goes on to those after it, and each bin starts with the last row of the bins before it.
+    """
+    number = _seconds
+    bin_of = lambda c: F.floor(c.cast("double") / F.lit(float(width)))
+    names = [f"_k{i}" for i in range(len(keys))]
+    key_of = lambda: [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]
+    able: Column = F.col("_t").isNotNull()
+    for n in names:
+        able = able & F.col(n).isNotNull()
+    a = left.select(*key_of(), number(left, at).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    b = right.select(*key_of(), number(right, right_at).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_new")).filter(able)
+    last = b.groupBy(*names, bin_of(F.col("_t")).alias("_bin")).agg(F.max(F.struct("_t", "_new")).alias("_last"))
+    bins = a.filter(able).select(*names, bin_of(F.col("_t")).alias("_bin")).distinct()
+    order = Window.partitionBy(*names).orderBy("_bin")
+    # A row for each bin that has rows: what the bins before it leave.
+    both = bins.join(last, [*names, "_bin"], "full")
+    carried = both.withColumn("_carry", F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = carried.filter("_carry IS NOT NULL").select(*names, "_bin", F.col("_carry._t").alias("_t"), F.lit(0).alias("_side"), F.col("_carry._new").alias("_new"), F.col("_carry._t").alias("_from"))
+    inside = Window.partitionBy(*names, "_bin").orderBy("_t", "_side", "_new").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.withColumns({"_bin": bin_of(F.col("_t")), "_side": F.lit(2)})
+    changes = b.withColumns({"_bin": bin_of(F.col("_t")), "_side": F.lit(1), "_from": F.col("_t")})
+    every = rows.filter(able).unionByName(changes, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
+    found = every.withColumn("_hit", F.last(F.when(F.col("_side") < 2, F.struct("_from", "_new")), ignorenulls=True).over(inside)).filter("_side = 2")
+    near = F.col("_hit").isNotNull() if tolerance is None else (F.col("_t") - F.col("_hit._from") <= F.lit(tolerance))
+    hit = found.select("_row", F.when(near, F.col("_hit._new")).alias("_new"))
+    none = a.filter(~F.coalesce(able, F.lit(False))).select("_row", F.lit(None).cast(b.schema["_new"].dataType).alias("_new"))
+    taken = {c.lower() for c in columns}
+    return hit.unionByName(none).select(*[F.col(f"_row.`{c}`") for c in left.columns if c.lower() not in taken], *[F.col(f"_new.`{c}`") for c in columns])
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str, columns: list[str], width: float, how: str = "inner") -> DataFrame:
+    """The left rows with ``columns`` of each right row of their keys whose interval, from ``start`` up to ``end``, has their time.
+
+    A null end is open. Time is cut into bins of ``width`` (seconds, or units of numbers): an interval stands in each bin that
+    it touches between the first and the last time of the left rows, and rows meet by key and bin. So the join is an equi-join,
+    whose hot keys adaptive execution splits. ``how`` is inner or left.
+    """
+    number = lambda df, c: _seconds(df, c).cast("double")
+    bin_of = lambda c: F.floor(c / F.lit(float(width)))
+    low, high = left.agg(F.min(number(left, at)), F.max(number(left, at))).first()
+    names = [f"_k{i}" for i in range(len(keys))]
+    a = left.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], number(left, at).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    b = right.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], number(right, start).alias("_s"), number(right, end).alias("_e"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_new"))
+    first, last = F.greatest(F.col("_s"), F.lit(low)), F.least(F.coalesce("_e", F.lit(high)), F.lit(high))
+    b = b.filter((first <= last) if low is not None else F.lit(False)).withColumn("_bin", F.explode(F.sequence(bin_of(first), bin_of(last))))
+    a = a.withColumn("_bin", bin_of(F.col("_t")))
+    condition: Column = (F.col("a._bin") == F.col("b._bin")) & (F.col("a._t") >= F.col("b._s")) & (F.col("b._e").isNull() | (F.col("a._t") < F.col("b._e")))
+    for n in names:
+        condition = condition & (F.col(f"a.{n}") == F.col(f"b.{n}"))
+    taken = {c.lower() for c in columns}
+    return a.alias("a").join(b.alias("b"), condition, how).select(*[F.col(f"a._row.`{c}`") for c in left.columns if c.lower() not in taken], *[F.col(f"b._new.`{c}`") for c in columns])
 
 
 SEPARATOR = "[^\\p{L}\\p{N}]+"

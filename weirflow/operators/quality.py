@@ -117,12 +117,28 @@ def record_hash(columns: list[str]) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
-def compare_records(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """One row: matched, mismatched, missing and extra records, match_rate, passed. Of rows with equal keys the largest counts."""
+def _matched(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """A full join by keys of which a null equals a null; ``a`` has the names, ``b`` has them with an r before."""
+    on: Column = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"r{n}"))
+    return a.join(b, on, "full")
+
+
+def _record_hashes(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The keys of either side with the hashes of their records, ``_a`` and ``_b``; of rows with equal keys the largest."""
     columns = columns or [c for c in source.columns if c not in keys]
-    side = lambda d, n: d.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(record_hash(columns)).alias(n))
     names = [f"_k{i}" for i in range(len(keys))]
-    both = side(source, "_a").join(side(target, "_b"), names, "full")
+    side = lambda d, of, n: d.groupBy(*[F.col(k).alias(f"{of}{x}") for k, x in zip(keys, names, strict=True)]).agg(F.max(record_hash(columns)).alias(n))
+    return _matched(side(source, "", "_a"), side(target, "r", "_b"), names), names
+
+
+def compare_records(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row: matched, mismatched, missing and extra records, match_rate, passed. Of rows with equal keys the largest counts.
+
+    A null key meets a null key.
+    """
+    both, _ = _record_hashes(source, target, keys, columns)
     out = both.agg(
         F.count_if(F.col("_a") == F.col("_b")).alias("matched"),
         F.count_if(F.col("_a") != F.col("_b")).alias("mismatched"),
@@ -134,12 +150,11 @@ def compare_records(source: DataFrame, target: DataFrame, keys: list[str], colum
 
 
 def mismatches(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Keys that differ, with what is wrong: mismatched, missing or extra."""
-    columns = columns or [c for c in source.columns if c not in keys]
-    a = source.select(*keys, record_hash(columns).alias("_a"))
-    b = target.select(*keys, record_hash(columns).alias("_b"))
+    """Keys that differ, one row each, with what is wrong: mismatched, missing or extra. Nulls and repeats as in ``compare_records``."""
+    both, names = _record_hashes(source, target, keys, columns)
     kind = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(F.col("_a") != F.col("_b"), "mismatched")
-    return a.join(b, keys, "full").select(*keys, kind.alias("kind")).filter("kind IS NOT NULL")
+    own = [F.coalesce(n, f"r{n}").alias(k) for k, n in zip(keys, names, strict=True)]
+    return both.select(*own, kind.alias("kind")).filter("kind IS NOT NULL")
 
 
 def save_golden(df: DataFrame, path: str, name: str, version: str = "1") -> None:
@@ -157,12 +172,13 @@ def load_golden(spark, path: str, name: str) -> tuple[DataFrame, dict]:
 def consistency(source: DataFrame, target: DataFrame, keys: list[str], row_tolerance: float = 0.0, numeric_tolerance: float = 1e-4) -> DataFrame:
     """One row: whether row counts agree within a share, columns are the same, and how many values differ.
 
-    Numbers differ by more than the relative tolerance; rows meet by key, over whole tables.
+    Numbers differ by more than the relative tolerance; rows meet by key, over whole tables. Keys are unique; a null meets a null.
     """
     common = [c for c in source.columns if c in target.columns and c not in keys]
     number = {f.name for f in source.schema if isinstance(f.dataType, T.NumericType)}
-    a = source.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in common], F.lit(1).alias("_in_a"))
-    b = target.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in common], F.lit(1).alias("_in_b"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    a = source.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[F.col(c).alias(f"_a_{c}") for c in common], F.lit(1).alias("_in_a"))
+    b = target.select(*[F.col(k).alias(f"r{n}") for k, n in zip(keys, names, strict=True)], *[F.col(c).alias(f"_b_{c}") for c in common], F.lit(1).alias("_in_b"))
     differing = F.lit(0)
     for c in common:
         x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
@@ -171,7 +187,7 @@ def consistency(source: DataFrame, target: DataFrame, keys: list[str], row_toler
             equal = equal | F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= numeric_tolerance * F.greatest(F.abs(x.cast("double")), F.lit(1.0)), F.lit(False))
         differing = differing + F.when(equal, 0).otherwise(1)
     both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
-    out = a.join(b, keys, "full").agg(F.count("_in_a").alias("source_rows"), F.count("_in_b").alias("target_rows"), F.coalesce(F.sum(F.when(both, differing)), F.lit(0)).alias("different_values"))
+    out = _matched(a, b, names).agg(F.count("_in_a").alias("source_rows"), F.count("_in_b").alias("target_rows"), F.coalesce(F.sum(F.when(both, differing)), F.lit(0)).alias("different_values"))
     same = set(source.columns) == set(target.columns)
     return out.withColumns({"rows_ok": F.abs(F.col("source_rows") - F.col("target_rows")) <= row_tolerance * F.col("source_rows"), "columns_ok": F.lit(same)})
 

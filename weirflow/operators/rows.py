@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import compile_expression
@@ -230,7 +230,67 @@ def percentage_sampling(df: DataFrame, percent: float = 10, seed: int = 42, key:
 
 
 def row_sampling(df: DataFrame, key: str, rows: int = 1000) -> dict[str, DataFrame]:
-    """A fixed number of rows, those with the least hashes of a key, and the rest. Rows may share a key or repeat."""
-    order = F.md5(F.col(key).cast("string").cast("binary"))
-    selected = df.withColumn("_h", order).orderBy("_h", key, *df.columns).limit(rows).drop("_h")
-    return {"selected": selected, "unselected": df.exceptAll(selected)}
+    """A fixed number of rows, those with the least hashes of a key, and the rest. Rows may share a key or repeat.
+
+    Rows are counted by the first four digits of the hash; all below the digits at which the number is reached are in, all
+    above are out, and only those of these digits are put in order.
+    """
+    order = F.md5(F.col(f"`{key}`").cast("string").cast("binary"))
+    digits = F.coalesce(F.substring(order, 1, 4), F.lit(""))  # a null key comes first, as in an order
+    cut, before = None, 0
+    for r in df.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).orderBy("digits").collect():
+        if before + r["n"] > rows:
+            cut = r["digits"]
+            break
+        before += r["n"]
+    if cut is None:
+        return {"selected": df, "unselected": df.limit(0)}
+    at = df.filter(digits == cut)
+    first = at.withColumn("_h", order).orderBy("_h", f"`{key}`", *[f"`{c}`" for c in df.columns]).limit(rows - before).drop("_h")
+    return {"selected": df.filter(digits < cut).unionAll(first), "unselected": df.filter(digits > cut).unionAll(at.exceptAll(first))}
+
+
+#: What a frame's aggregation can be.
+FRAMED: dict[str, Callable[[str], Column]] = AGGREGATES | {"first": F.first, "last": F.last}
+del FRAMED["count_distinct"]
+
+
+def grouping_sets(df: DataFrame, keys: list[str], aggregations: list[tuple], sets: list[list[str]] | str = "cube") -> DataFrame:
+    """Aggregates over several sets of keys at once: a list of sets, or all of a ``cube`` or a ``rollup``.
+
+    Keys that a row's set lacks are null; ``grouping_id`` tells them from null values: a bit for each key, 1 where it is lacking.
+    """
+    made = []
+    for column, function, *name in aggregations:
+        fn = AGGREGATES.get(function.lower())
+        if fn is None:
+            raise ValueError(f"unknown aggregation {function}")
+        made.append(fn(column).alias(name[0] if name else f"{column}_{function.lower()}"))
+    if sets == "cube":
+        grouped = df.cube(*keys)
+    elif sets == "rollup":
+        grouped = df.rollup(*keys)
+    elif isinstance(sets, str):
+        raise ValueError(f"unknown grouping {sets}")
+    else:
+        grouped = df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys])
+    return grouped.agg(*made, F.grouping_id().alias("grouping_id"))
+
+
+def framed(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, str]], aggregations: list[tuple], low: int | None = None, high: int | None = 0, by: str = "rows") -> DataFrame:
+    """Aggregates over a frame around each row: (column, function, name), from ``low`` to ``high`` rows or values away.
+
+    None is without bound. ``by`` is rows, or range for distances of the only column of the order.
+    """
+    bound = lambda x, end: end if x is None else x
+    window = Window.partitionBy(*partition_by).orderBy(*[F.col(c).desc() if d.lower().startswith("desc") else F.col(c).asc() for c, d in order_by])
+    ends = bound(low, Window.unboundedPreceding), bound(high, Window.unboundedFollowing)
+    if by not in ("rows", "range"):
+        raise ValueError(f"unknown frame {by}")
+    window = window.rowsBetween(*ends) if by == "rows" else window.rangeBetween(*ends)
+    made = {}
+    for column, function, name in aggregations:
+        if function.lower() not in FRAMED:
+            raise ValueError(f"unknown aggregation {function}")
+        made[name] = FRAMED[function.lower()](column).over(window)
+    return df.withColumns(made)

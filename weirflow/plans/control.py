@@ -103,13 +103,10 @@ class Runner:
         if task.properties.get("TransactionOption") not in ("2", "Required") or self.ctx.transaction:
             self.perform(task)
             return
-        before, self.ctx.transaction = dict(self.registry.tables), True
+        self.ctx.transaction = True
         try:
-            self.perform(task)
-        except Exception:
-            self.registry.tables.clear()
-            self.registry.tables.update(before)
-            raise
+            with self.registry.transaction():
+                self.perform(task)
         finally:
             self.ctx.transaction = False
 
@@ -129,6 +126,8 @@ class Runner:
         elif task.type == "execute_sql":
             args = [ctx.variables[v] for _, v in sorted(task.parameters)]
             result = registry.sql(task.sql, args)
+            for (_, v), value in zip(sorted(task.parameters), args, strict=True):
+                ctx.variables[v] = value  # OUTPUT parameters of procedures
             if task.results:
                 row = result.first()
                 for k, (name, variable) in enumerate(task.results):

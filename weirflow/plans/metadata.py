@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions.parser import ExpressionError, parse, referenced
+from weirflow.operators.graph import reachable
 from weirflow.plans.model import Component, Package, Task
 from weirflow.sources import clean_name
 
@@ -130,25 +131,70 @@ def column_lineage(spark: SparkSession, packages: list[Package]) -> DataFrame:
     return spark.createDataFrame(sorted(edges), "source_table string, source_column string, target_table string, target_column string, transformation string")
 
 
-def column_impact(edges: DataFrame, table: str, column: str, downstream: bool = True) -> list[tuple[str, str]]:
-    """Columns that depend on a column (or that it depends on), through any number of edges of a package's small graph."""
-    a, b = (("source_table", "source_column"), ("target_table", "target_column"))[:: 1 if downstream else -1]
-    next_to: dict[tuple, set] = {}
-    for r in edges.toLocalIterator():
-        next_to.setdefault((r[a[0]], r[a[1]]), set()).add((r[b[0]], r[b[1]]))
-    seen, waiting = set(), [(table, column)]
-    while waiting:
-        for n in next_to.get(waiting.pop(), ()):
-            if n not in seen:
-                seen.add(n)
-                waiting.append(n)
-    return sorted(seen)
+def column_impact(edges: DataFrame, table: str, column: str, downstream: bool = True) -> DataFrame:
+    """(table_name, column_name, steps) of the columns that depend on a column (or that it depends on), through any number of
+    edges, of which it takes ``steps`` at least. The column itself is among them if a cycle leads back to it.
+    """
+    a, b = (["source_table", "source_column"], ["target_table", "target_column"])[:: 1 if downstream else -1]
+    start = edges.sparkSession.createDataFrame([(table, column)], "t string, c string")
+    return reachable(edges, start, a, b).toDF("table_name", "column_name", "steps")
 
 
 def mermaid(edges: list[tuple[str, str]]) -> str:
     return "graph LR\n" + "".join(f"    {re.sub(r'[^0-9A-Za-z_]', '_', a)} --> {re.sub(r'[^0-9A-Za-z_]', '_', b)}\n" for a, b in edges)
 
 
+# Kinds of catalog entries.
+ENTRY_KINDS = ["package", "connection", "task", "data_flow", "component", "table", "column", "expression", "parameter"]
+
+
+def catalog(spark: SparkSession, packages: list[Package]) -> DataFrame:
+    """Entries (name, kind, package_name, description, tags) of all that packages hold.
+
+    Tags: the kind of a connection, task or component, the table's role, and the sensitivity that a column's name tells of.
+    """
+    rows: list[tuple] = []
+    for p in packages:
+        rows.append((p.name, "package", p.name, f"{len(p.tasks)} tasks", ["package"]))
+        rows += [(c.name, "connection", p.name, c.connector, ["connection", c.connector]) for c in p.connections]
+        rows += [(name, "parameter", p.name, str(value), ["parameter"]) for name, value in p.variables.items()]
+        for t in all_tasks(p.tasks):
+            rows.append((t.name, "data_flow" if t.type == "data_flow" else "task", p.name, t.sql or t.expression or t.type, ["task", t.type]))
+            for c in t.components:
+                rows.append((c.name, "component", p.name, f"{c.type} in {t.name}", ["component", c.type]))
+                for port in [*c.outputs, *c.inputs]:
+                    for x in port["columns"]:
+                        text = x["properties"].get("FriendlyExpression") or x["properties"].get("Expression")
+                        rows.append((x["name"], "column", p.name, f"{c.name} in {t.name}", ["column", c.type]))
+                        if text:
+                            rows.append((x["name"], "expression", p.name, text, ["expression", c.type]))
+    entries = spark.createDataFrame(rows, "name string, kind string, package_name string, description string, tags array<string>").distinct()
+    used = table_lineage(spark, packages)
+    tables = used.groupBy("table_name", "package_name").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    tables = tables.select(F.col("table_name").alias("name"), F.lit("table").alias("kind"), "package_name", F.array_join("roles", " and ").alias("description"), F.concat(F.array(F.lit("table")), "roles").alias("tags"))
+    tagged = classify(entries.select(F.col("name").alias("column_name")).distinct()).filter("tag IS NOT NULL")
+    marked = entries.join(tagged, (F.col("name") == F.col("column_name")) & (F.col("kind") == "column"), "left")
+    marked = marked.withColumn("tags", F.when(F.col("tag").isNotNull(), F.concat("tags", F.array("tag"))).otherwise(F.col("tags")))
+    return marked.select("name", "kind", "package_name", "description", "tags").unionByName(tables)
+
+
+def browse(entries: DataFrame, tags: list[str] | None = None, kind: str | None = None, package_name: str | None = None) -> DataFrame:
+    """The entries that have all tags, case apart, and are of a kind and of a package, as far as these are given."""
+    out = entries
+    is_tag = lambda want: lambda x: F.lower(x) == F.lit(want)
+    for column, value in (("kind", kind), ("package_name", package_name)):
+        if value is not None:
+            out = out.filter(F.col(column) == value)
+    for tag in tags or []:
+        out = out.filter(F.exists("tags", is_tag(tag.lower())))
+    return out
+
+
+def catalog_summary(entries: DataFrame) -> DataFrame:
+    """(kind, entries, packages): how many entries of each kind there are, and in how many packages."""
+    return entries.groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("package_name").alias("packages"))
+
+
 def catalog_search(entries: DataFrame, query: str, tags: list[str] | None = None) -> DataFrame:
     """Entries (name, kind, description, tags) whose text has all words of the query, and all tags."""
     text = F.lower(F.concat_ws(" ", "name", "kind", "description", F.array_join("tags", " ")))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +16,8 @@ from weirflow.plans.control import Runner
 from weirflow.plans.flow import levels
 from weirflow.plans.model import Component, Constraint, Package, Path_, Task
 from weirflow.sources import Registry
-from weirflow.streaming import append_stream, apply_changes, current, detect_sources, stream_files
+from weirflow.sources.shared import new_folder
+from weirflow.streaming import append_stream, apply_changes, current, source_kinds, stream_files
 from weirflow.types import ddl
 
 QUERIES: dict = {}
@@ -41,12 +40,7 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="weirflow-")
-    return f"{base.rstrip('/')}/weirflow/q-{uuid.uuid4().hex}"
+    return new_folder(spark, "q")
 
 
 def d(c: str, digits: int = 2):
@@ -430,9 +424,17 @@ def row_sampling_unselected(spark, sf):
     return rows.row_sampling(t(spark, sf, "customer"), "c_custkey", 100)["unselected"].select("c_custkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT p_name || ' ' || p_brand AS v, count(*) AS n FROM part GROUP BY 1),
+e AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.v <> b.v AND abs(length(a.v) - length(b.v)) <= 3 AND 1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v)) >= 0.9),
+r AS (SELECT v AS a, v AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS v, min(b) AS k FROM r GROUP BY a),
+c AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS place FROM g JOIN v USING (v))
+SELECT p_partkey, g.k AS group_key, c.v AS canonical FROM part JOIN g ON g.v = p_name || ' ' || p_brand JOIN c ON c.k = g.k AND place = 1""")
 def fuzzy_grouping(spark, sf):
-    return joins.fuzzy_grouping(t(spark, sf, "nation").select("n_nationkey", "n_name"), "n_name")
+    names = t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    out = joins.fuzzy_grouping(names, "name", 0.9)
+    return out.select("p_partkey", F.col("_group_key").alias("group_key"), F.col("_canonical").alias("canonical"))
 
 
 @query("""
@@ -645,8 +647,6 @@ def foreach_region(spark, sf):
     run.ctx.variables["User::list"] = t(spark, sf, "region").select("r_regionkey")
     count = Task("count", "execute_sql", sql="SELECT count(*) AS n FROM nation WHERE n_regionkey = ?", parameters=[(0, "User::r")], results=[("n", "User::n")])
     loop = Task("loop", "foreach_loop", properties={"enumerator": "ado", "source": "User::list", "variables": "User::r"}, children=[count])
-    from weirflow.plans.flow import HOOKS  # noqa: F401
-
     class Noting(Runner):
         def one(self, task, allowed):
             state = super().one(task, allowed)
@@ -659,13 +659,15 @@ def foreach_region(spark, sf):
     return _results(spark, out, f"region {kind}, n long")
 
 
-@query("SELECT 10 AS total, 5 AS i")
+@query("SELECT count(*) + count(*) FILTER (n_regionkey < 5) AS total, 5 AS i FROM nation")
 def for_loop_accumulate(spark, sf):
-    run = _runner(spark, sf, total=0, i=0)
-    add = Task("add", "expression", expression="@[User::total] = @[User::total] + @[User::i]")
-    loop = Task("loop", "for_loop", properties={"InitExpression": "@[User::i] = 0", "EvalExpression": "@[User::i] < 5", "AssignExpression": "@[User::i] = @[User::i] + 1"}, children=[add])
+    """A loop adds up the nations of regions 0 to 4, after all nations."""
+    run = _runner(spark, sf, "nation", total=t(spark, sf, "nation").count(), i=0)
+    read = Task("read", "execute_sql", sql="SELECT count(*) AS n FROM nation WHERE n_regionkey = ?", parameters=[(0, "User::i")], results=[("n", "User::n")])
+    add = Task("add", "expression", expression="@[User::total] = @[User::total] + @[User::n]")
+    loop = Task("loop", "for_loop", properties={"InitExpression": "@[User::i] = 0", "EvalExpression": "@[User::i] < 5", "AssignExpression": "@[User::i] = @[User::i] + 1"}, children=[read, add], constraints=[Constraint("read", "add")])
     run.run(Package("p", tasks=[loop]))
-    return _results(spark, [(run.ctx.variables["User::total"], run.ctx.variables["User::i"])], "total int, i int")
+    return _results(spark, [(run.ctx.variables["User::total"], run.ctx.variables["User::i"])], "total long, i int")
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000 AND o_orderpriority = '1-URGENT'")
@@ -689,13 +691,15 @@ def execute_package_params(spark, sf):
     return run.registry.table("picked")
 
 
-@query("SELECT * FROM (VALUES ('bad', 'failed'), ('good', 'skipped'), ('cleanup', 'succeeded'), ('always', 'succeeded'), ('off', 'disabled')) AS v(task, state)")
+@query("SELECT v.*, n FROM (VALUES ('bad', 'failed'), ('good', 'skipped'), ('cleanup', 'succeeded'), ('always', 'succeeded'), ('off', 'disabled')) AS v(task, state), (SELECT count(*) AS n FROM nation)")
 def precedence_branches(spark, sf):
     run = _runner(spark, sf, "region", x=1)
-    ok = "SELECT count(*) AS n FROM region"
+    ok = "INSERT INTO seen SELECT count(*) FROM nation"
+    run.registry.tables |= {"nation": t(spark, sf, "nation"), "seen": spark.createDataFrame([], "n long")}
     tasks = [Task("bad", "execute_sql", sql="EXEC nothing"), Task("good", "execute_sql", sql=ok), Task("cleanup", "execute_sql", sql=ok), Task("always", "execute_sql", sql=ok), Task("off", "execute_sql", disabled=True)]
     states = run.run(Package("p", tasks=tasks, constraints=[Constraint("bad", "good"), Constraint("bad", "cleanup", "failure"), Constraint("bad", "always", "completion", "@[User::x] == 1")]))
-    return _results(spark, list(states.items()), "task string, state string")
+    n = run.registry.table("seen").agg(F.max("n")).first()[0]
+    return _results(spark, list(states.items()), "task string, state string").withColumn("n", F.lit(n))
 
 
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount))::DOUBLE, 0) AS net, count(*) AS lines FROM lineitem
@@ -762,10 +766,17 @@ def dq_risk_score(spark, sf):
     return quality.risk_score(results)
 
 
-@query("SELECT * FROM (VALUES ('b', 'REMOVED', 'ERROR', 'string', NULL), ('c', 'ADDED', 'INFO', NULL, 'int'), ('a', 'TYPE_CHANGED', 'ERROR', 'int', 'bigint')) AS v(column_name, kind, severity, source, target)")
+@query("""
+WITH d AS (SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS kind FROM (DESCRIBE orders))
+SELECT column_name, 'REMOVED' AS kind, 'ERROR' AS severity, kind AS source, NULL AS target FROM d WHERE column_name = 'o_orderpriority'
+UNION ALL SELECT column_name, 'TYPE_CHANGED', 'ERROR', kind, 'string' FROM d WHERE column_name <> 'o_orderpriority' AND kind <> 'string'
+UNION ALL SELECT column_name, 'ADDED', 'INFO', NULL, 'string' FROM (DESCRIBE customer) WHERE column_name <> 'c_custkey'""")
 def schema_drift(spark, sf):
-    of = lambda text: spark.createDataFrame([], text).schema
-    return quality.schema_drift(spark, of("a int, b string"), of("a long, c int"))
+    """Orders against themselves as texts, without a column and with those of their customers."""
+    orders, customers = t(spark, sf, "orders"), t(spark, sf, "customer")
+    texts = lambda df, *left: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c not in left])
+    other = texts(orders, "o_orderpriority").join(texts(customers), F.col("o_custkey") == F.col("c_custkey"), "left").drop("c_custkey")
+    return quality.schema_drift(spark, orders.schema, other.schema)
 
 
 def _pair(spark, sf):
@@ -816,30 +827,51 @@ def _port(name, *columns, **properties):
     return {"name": name, "error": False, "properties": properties, "columns": [{"name": c, "type": "", "sort": 0, "properties": p} for c, p in columns]}
 
 
-def sample_packages() -> list[Package]:
-    load = Task("load", "data_flow", components=[
-        Component("src", "source", "src", properties={"OpenRowset": "[dbo].[orders]"}, outputs=[_port("out", ("price", {}), ("disc", {}))]),
-        Component("calc", "derived_column", "calc", outputs=[_port("out", ("net", {"Expression": "price * (1 - disc)"}))]),
-        Component("dest", "destination", "dest", properties={"OpenRowset": "fact"}, inputs=[_port("in", ("net", {}), ("price", {}))]),
-    ], paths=[Path_("src", "out", "calc", "in"), Path_("calc", "out", "dest", "in")])
-    clear = Task("clear", "execute_sql", sql="TRUNCATE TABLE dbo.fact")
-    report = Package("report", tasks=[Task("sum", "execute_sql", sql="INSERT INTO totals SELECT sum(net) FROM fact JOIN dates ON d = k")])
-    return [Package("sales", tasks=[clear, load]), report]
+def packages_of(spark, sf) -> list[Package]:
+    """A package for each nation: it empties and loads the nation's fact table from its region's orders; each region reports."""
+    out = []
+    for n in t(spark, sf, "nation").select("n_name", "n_regionkey").orderBy("n_name").collect():
+        fact = f"fact_{n.n_name}".lower()
+        load = Task("load", "data_flow", components=[
+            Component("src", "source", "src", properties={"OpenRowset": f"[dbo].[orders_{n.n_regionkey}]"}, outputs=[_port("out", ("price", {}), ("disc", {}))]),
+            Component("calc", "derived_column", "calc", outputs=[_port("out", ("net", {"Expression": "price * (1 - disc)"}))]),
+            Component("dest", "destination", "dest", properties={"OpenRowset": fact}, inputs=[_port("in", ("net", {}), ("price", {}))]),
+        ], paths=[Path_("src", "out", "calc", "in"), Path_("calc", "out", "dest", "in")])
+        report = Task("sum", "execute_sql", sql=f"INSERT INTO totals_{n.n_regionkey} SELECT sum(net) FROM {fact} JOIN dates ON d = k")
+        out.append(Package(n.n_name, tasks=[Task("clear", "execute_sql", sql=f"TRUNCATE TABLE dbo.{fact}"), load, report]))
+    return out
 
 
-@query("SELECT * FROM (VALUES ('sales','clear','dbo.fact','writer'), ('sales','load','dbo.orders','reader'), ('sales','load','fact','writer'), ('report','sum','fact','reader'), ('report','sum','dates','reader'), ('report','sum','totals','writer')) AS v(package_name, task_name, table_name, role)")
+@query("""
+SELECT n_name AS package_name, 'clear' AS task_name, 'dbo.fact_' || lower(n_name) AS table_name, 'writer' AS role FROM nation
+UNION ALL SELECT n_name, 'load', 'dbo.orders_' || n_regionkey, 'reader' FROM nation UNION ALL SELECT n_name, 'load', 'fact_' || lower(n_name), 'writer' FROM nation
+UNION ALL SELECT n_name, 'sum', 'fact_' || lower(n_name), 'reader' FROM nation UNION ALL SELECT n_name, 'sum', 'dates', 'reader' FROM nation
+UNION ALL SELECT n_name, 'sum', 'totals_' || n_regionkey, 'writer' FROM nation""")
 def table_lineage(spark, sf):
-    return metadata.table_lineage(spark, sample_packages())
+    return metadata.table_lineage(spark, packages_of(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('dbo.orders','price','fact','price','direct'), ('dbo.orders','price','fact','net','derived'), ('dbo.orders','disc','fact','net','derived')) AS v(source_table, source_column, target_table, target_column, transformation)")
+@query("""
+SELECT 'dbo.orders_' || n_regionkey AS source_table, s AS source_column, 'fact_' || lower(n_name) AS target_table, c AS target_column, kind AS transformation
+FROM nation, (VALUES ('price', 'price', 'direct'), ('price', 'net', 'derived'), ('disc', 'net', 'derived')) AS v(s, c, kind)""")
 def column_lineage(spark, sf):
-    return metadata.column_lineage(spark, sample_packages())
+    return metadata.column_lineage(spark, packages_of(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('fact','net'), ('fact','price')) AS v(table_name, column_name)")
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (
+    SELECT p_partkey AS a, p_partkey // 2 AS b FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 4 = 0 UNION SELECT 0, 5),
+r AS (SELECT b FROM e, n WHERE a = n.n - 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.b)
+SELECT 't' || b AS table_name, 'c' || b % 5 AS column_name FROM r""")
 def column_impact(spark, sf):
-    return _results(spark, metadata.column_impact(metadata.column_lineage(spark, sample_packages()), "dbo.orders", "price"), "table_name string, column_name string")
+    """Columns of tables that are made of each other, in a chain that ends in a cycle: what depends on the last one."""
+    part = t(spark, sf, "part").select("p_partkey")
+    links = part.select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 2").alias("b")).unionByName(part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 3").alias("b")))
+    links = links.unionByName(part.filter("p_partkey = 0").select(F.col("p_partkey").alias("a"), F.lit(5).cast("long").alias("b")))
+    name = lambda c: [F.concat(F.lit("t"), F.col(c)), F.concat(F.lit("c"), F.col(c) % 5)]
+    edges = links.select(*[x.alias(n) for x, n in zip([*name("a"), *name("b")], ["source_table", "source_column", "target_table", "target_column"], strict=True)])
+    last = part.agg(F.max("p_partkey")).first()[0]
+    return metadata.column_impact(edges, f"t{last}", f"c{last % 5}").select("table_name", "column_name")
 
 
 @query("""
@@ -851,38 +883,69 @@ def pii_classify(spark, sf):
     return metadata.classify(_results(spark, names, "column_name string"))
 
 
-@query("SELECT 'orders' AS name, 'table' AS kind")
+def _entries(spark, sf):
+    """Parts as catalog entries: brand and size as tags."""
+    tags = F.array(F.col("p_brand"), F.concat(F.lit("owner:"), F.col("p_size")))
+    tags = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand")).otherwise(tags)
+    return t(spark, sf, "part").select(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_partkey").alias("name"), F.col("p_type").alias("kind"), F.concat(F.lit("Sales of "), F.col("p_name")).alias("description"), tags.alias("tags"))
+
+
+@query("SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_type AS kind FROM part WHERE contains(lower(p_name), 'ring') AND p_type = 'SMALL' AND p_brand = 'Brand#4'")
 def catalog_search(spark, sf):
-    entries = _results(spark, [("orders", "table", "Sales orders by day", ["sales"]), ("load", "package", "Loads sales orders", ["etl"]), ("nation", "table", "Nations", ["geo"])], "name string, kind string, description string, tags array<string>")
-    return metadata.catalog_search(entries, "ORDERS sales", ["sales"]).select("name", "kind")
+    return metadata.catalog_search(_entries(spark, sf), "RING of sales small", ["Brand#4"]).select("name", "kind")
+
+
+@query("SELECT kind, count(*) AS entries, count(*) AS packages FROM (SELECT unnest(['package', 'data_flow']) AS kind FROM nation) GROUP BY 1 UNION ALL SELECT 'task', 2 * count(*), count(*) FROM nation UNION ALL SELECT 'component', 3 * count(*), count(*) FROM nation UNION ALL SELECT 'column', 5 * count(*), count(*) FROM nation UNION ALL SELECT 'expression', count(*), count(*) FROM nation UNION ALL SELECT 'table', 5 * count(*), count(*) FROM nation")
+def catalog_build(spark, sf):
+    return metadata.catalog_summary(metadata.catalog(spark, packages_of(spark, sf)))
+
 
+@query("SELECT 'dbo.fact_' || lower(n_name) AS name, n_name AS package_name FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'fact_' || lower(n_name), n_name FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'totals_' || n_regionkey, n_name FROM nation WHERE n_nationkey = 3")
+def catalog_browse(spark, sf):
+    """The tables that a nation's package writes."""
+    one = t(spark, sf, "nation").filter("n_nationkey = 3").first()["n_name"]
+    return metadata.browse(metadata.catalog(spark, packages_of(spark, sf)), ["WRITER"], "table", one).select("name", "package_name")
 
-@query("SELECT 'report' AS left_name, 'sales' AS right_name, 1::BIGINT AS shared")
+
+@query("""WITH u AS (SELECT DISTINCT c_nationkey AS p, c_mktsegment AS r FROM customer UNION SELECT s_nationkey, 'supplier' || s_nationkey % 4 FROM supplier)
+SELECT 'n' || a.p AS left_name, 'n' || b.p AS right_name, count(*) AS shared FROM u a JOIN u b ON a.r = b.r AND 'n' || a.p < 'n' || b.p GROUP BY 1, 2""")
 def dependency_matrix(spark, sf):
-    uses = metadata.table_lineage(spark, sample_packages()).select("package_name", F.col("table_name").alias("resource"))
-    return metadata.dependency_matrix(uses)
+    """Nations as packages, the segments of their customers and the groups of their suppliers as what they use."""
+    a = t(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("package_name"), F.col("c_mktsegment").alias("resource"))
+    b = t(spark, sf, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("package_name"), F.concat(F.lit("supplier"), F.col("s_nationkey") % 4).alias("resource"))
+    return metadata.dependency_matrix(a.unionByName(b))
 
 
-@query("SELECT 'loadcustomers' AS component, 2::BIGINT AS packages")
+@query("SELECT replace(p_name, ' ', '') AS component, count(DISTINCT p_brand) AS packages FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def shared_flows(spark, sf):
-    return metadata.shared_flows(_results(spark, [("a", "Load Customers"), ("b", "load_customers"), ("b", "Other")], "package_name string, component string"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("_")))
+    return metadata.shared_flows(t(spark, sf, "part").select(F.col("p_brand").alias("package_name"), name.alias("component")))
 
 
-@query("SELECT * FROM (VALUES ('prefix', 'warning', 'orders'), ('no secrets', 'error', 'load_x'), ('owner', 'error', 'orders')) AS v(rule, severity, name)")
+@query("""WITH e AS (SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_name, p_partkey FROM part)
+SELECT 'prefix' AS rule, 'warning' AS severity, name FROM e WHERE NOT starts_with(name, 'red_') UNION ALL SELECT 'no bolts', 'error', name FROM e WHERE contains(p_name, 'bolt')
+UNION ALL SELECT 'owner', 'error', name FROM e WHERE p_partkey % 3 = 0""")
 def policy_check(spark, sf):
-    entries = _results(spark, [("orders", "table", "Sales orders", ["sales"]), ("load_x", "package", "uses password=1", ["owner:a"])], "name string, kind string, description string, tags array<string>")
-    rules = [("prefix", "naming", "load_.*", "warning"), ("no secrets", "forbidden", "password\\s*=", "error"), ("owner", "required_tag", "owner:", "error")]
-    return metadata.policy_violations(entries, rules)
+    rules = [("prefix", "naming", "red_.*", "warning"), ("no bolts", "forbidden", "Sales of .*bolt", "error"), ("owner", "required_tag", "owner:", "error")]
+    return metadata.policy_violations(_entries(spark, sf), rules)
 
 
-@query("SELECT * FROM (VALUES ('a', 3::BIGINT, 18.5::DOUBLE, 'MANUAL'), ('b', 1::BIGINT, 8.0::DOUBLE, 'HIGH')) AS v(package_name, tasks, hours, complexity)")
+@query("""WITH c AS (SELECT 'c' || o_custkey AS package_name, CASE WHEN o_orderkey % 50 = 0 THEN 4 ELSE o_orderkey % 3 + 1 END AS rank FROM orders)
+SELECT package_name, count(*) AS tasks, sum([0.5, 2.0, 8.0, 16.0][rank])::DOUBLE AS hours, ['LOW', 'MEDIUM', 'HIGH', 'MANUAL'][max(rank)] AS complexity FROM c GROUP BY 1""")
 def effort_estimate(spark, sf):
-    return metadata.effort(_results(spark, [("a", "LOW"), ("a", "MEDIUM"), ("a", "MANUAL"), ("b", "HIGH")], "package_name string, complexity string"))
+    """Customers as packages, their orders as tasks."""
+    rank = F.when(F.col("o_orderkey") % 50 == 0, 4).otherwise(F.col("o_orderkey") % 3 + 1).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, metadata.EFFORT_HOURS)), rank)
+    return metadata.effort(t(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("package_name"), kind.alias("complexity")))
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (0, 'b'), (1, 'c'), (2, 'd')) AS v(level, task)")
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS b, n_nationkey // 2 AS a FROM nation WHERE n_nationkey > 0),
+l AS (SELECT n_nationkey AS k, 0 AS level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT e.b, level + 1 FROM l JOIN e ON e.a = l.k)
+SELECT level, n_name AS task FROM l JOIN nation ON n_nationkey = k""")
 def parallel_levels(spark, sf):
-    out = [(k, n) for k, names in enumerate(levels(["a", "b", "c", "d"], [("a", "c"), ("b", "c"), ("c", "d")])) for n in names]
+    """Nations as tasks, each after that of half its number."""
+    names = {r.n_nationkey: r.n_name for r in t(spark, sf, "nation").select("n_nationkey", "n_name").collect()}
+    out = [(k, n) for k, some in enumerate(levels(list(names.values()), [(names[i // 2], n) for i, n in names.items() if i])) for n in some]
     return _results(spark, out, "level int, task string")
 
 
@@ -898,7 +961,7 @@ def stream_cdc_apply(spark, sf):
     schema = changes.select("user_id", "value", "event_type").schema
     q = apply_changes(stream_files(spark, f"{path}/in", changes.schema), f"{path}/out", ["user_id"], ["__$start_lsn"], f"{path}/ck", schema)
     q.awaitTermination()
-    return current(spark, f"{path}/out", schema, q.lastProgress["batchId"])
+    return current(spark, f"{path}/out", schema)
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -910,10 +973,13 @@ def stream_append(spark, sf):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-@query("SELECT * FROM (VALUES ('service_bus', 'Endpoint=sb://x.servicebus.windows.net', 0.9::DOUBLE), ('kafka', 'kafka:9092', 0.85::DOUBLE), ('event_hub', 'EventHub=x', 0.85::DOUBLE), ('cdc', 'Apply CDC', 0.95::DOUBLE)) AS v(kind, found, confidence)")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'service_bus' WHEN 1 THEN 'kafka' WHEN 2 THEN 'event_hub' WHEN 3 THEN 'service_bus' END AS source_kind,
+CASE c_custkey % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.85 WHEN 3 THEN 0.9 END::DOUBLE AS confidence FROM customer""")
 def stream_source_detect(spark, sf):
-    found = detect_sources(["Endpoint=sb://x.servicebus.windows.net", "kafka:9092", "EventHub=x", "Data Source=db"], ["Apply CDC", "Load"])
-    return _results(spark, found, "kind string, found string, confidence double")
+    """Connections by their strings, and where these tell nothing by their types."""
+    forms = F.array(F.lit("Endpoint=sb://x.ServiceBus.windows.net"), F.lit("kafka:9092"), F.lit("EventHub=x"), F.lit("Data Source=a"), F.lit("Data Source=b"))
+    rows_ = t(spark, sf, "customer").select("c_custkey", F.concat(F.element_at(forms, (F.col("c_custkey") % 5 + 1).cast("int")), F.lit(";"), F.col("c_name")).alias("text"), F.when(F.col("c_custkey") % 5 == 3, "SERVICEBUS").alias("kind"))
+    return source_kinds(rows_, "text", "kind").select("c_custkey", "source_kind", "confidence")
 
 
 # ---- writes of pass-through SQL, transactions, traces
@@ -997,9 +1063,10 @@ def expr_hex_concat_now(spark, sf):
     return out.withColumns({"h": F.upper("h"), "d": F.date_format("d", "yyyy-MM-dd")})
 
 
-@query("SELECT DISTINCT 1 AS u FROM part")
+@query("SELECT p_partkey AS k, p_size AS u FROM part")
 def expr_random(spark, sf):
-    return expressions(t(spark, sf, "part"), u="RAND()").select(F.when((F.col("u") >= 0) & (F.col("u") < 1), 1).otherwise(0).alias("u")).distinct()
+    out = expressions(t(spark, sf, "part"), k="p_partkey", u="p_size + RAND()")
+    return out.select("k", F.floor("u").cast("int").alias("u"))
 
 
 @query("SELECT DISTINCT event_id % 4 AS op, min(event_id) OVER (PARTITION BY event_id % 4) AS low FROM events WHERE event_id > 100 AND event_id <= 1000 AND event_id % 4 > 0")
@@ -1008,3 +1075,6 @@ def src_cdc_range(spark, sf):
     rows_ = t(spark, sf, "events").select(F.col("event_id").alias("__$start_lsn"), (F.col("event_id") % 4).alias("op")).filter("op > 0")
     r = Registry(spark, tables={"cdc.dbo_users_ct": rows_})
     return sources.read_cdc(r, None, "dbo.users", low=100, high=1000).groupBy("op").agg(F.min("__$start_lsn").alias("low"))
+
+
+from weirflow.plans import further  # noqa: E402, F401, I001  (more queries, registered by the import)

@@ -7,6 +7,8 @@ import json
 import re
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.sources import statements
+from weirflow.sources.log import TableLog
+
 # Keywords of providers and connection strings, in the order in which they are tried.
 CONNECTORS = [
     ("sap_hana", ("hana",)), ("sap_bw", ("sapbw", "sap bw", "saprfc")), ("salesforce", ("salesforce",)), ("oracle", ("oracle", "oraoledb", "msdaora")),
@@ -55,6 +60,13 @@ class Registry:
     connections: dict[str, Connection] = field(default_factory=dict)
     tables: dict[str, str | list[str] | DataFrame] = field(default_factory=dict)
     warehouse: str = ""
+    procedures: dict[str, Callable] = field(default_factory=dict)
+    #: Columns, by table, that number new rows.
+    identities: dict[str, str] = field(default_factory=dict)
+    log: TableLog | None = None
+    version: int = 0
+    entries: dict[str, dict] = field(default_factory=dict)
+    held: bool = False
 
     def add(self, connection: Connection) -> None:
         for key in (connection.name, connection.id):
@@ -74,8 +86,11 @@ class Registry:
 
     @property
     def folder(self) -> str:
-        """Where tables are written: ``warehouse``, else the session's own warehouse."""
-        return (self.warehouse or self.spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+        """Where tables are written: ``warehouse``, else the session's own, which on a cluster has to be named."""
+        own = self.spark.conf.get("spark.sql.warehouse.dir")
+        if not self.warehouse and not self.spark.sparkContext.master.startswith("local") and self.spark.sparkContext.getConf().get("spark.sql.warehouse.dir") is None:
+            raise ValueError("a registry on a cluster needs a warehouse that driver and executors share")
+        return (self.warehouse or own).rstrip("/")
 
     def new_folder(self, name: str) -> str:
         return f"{self.folder}/{re.sub(r'[^0-9a-z_]', '_', clean_name(name))}-{uuid.uuid4().hex}"
@@ -85,6 +100,7 @@ class Registry:
         path = self.new_folder(name)
         write_table(rows, path, "overwrite")
         self.tables[self.key(name)] = path
+        self.commit()
 
     def attach(self, name: str, path: str) -> None:
         """Add the rows of a written folder to a table."""
@@ -96,6 +112,7 @@ class Registry:
             self.tables[key] = old.unionByName(self.spark.read.parquet(path), allowMissingColumns=True)
         else:
             self.tables[key] = list(dict.fromkeys([*([old] if isinstance(old, str) else old), path]))
+        self.commit()
 
     def key(self, name: str) -> str:
         """The name under which a table is registered, with or without its schema; the name itself if it is not."""
@@ -106,120 +123,97 @@ class Registry:
         near = [last] if schema else [k for k in self.tables if k.rpartition(".")[2] == last]
         return next((k for k in near if k in self.tables), name)
 
-    def publish(self) -> None:
-        """Give every registered table a view, for SQL; the schema dbo has no name of its own there."""
-        for name in self.tables:
-            self.table(name).createOrReplaceTempView(clean_name(name).removeprefix("dbo.").replace(".", "_"))
+    def append(self, name: str, rows: DataFrame) -> str:
+        """Add rows to a table as files of their own; their folder."""
+        path = self.new_folder(name)
+        write_table(rows, path, "overwrite")
+        self.attach(name, path)
+        return path
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows that are read more than once, written and read back."""
+        path = self.new_folder("_kept")
+        write_table(rows, path, "overwrite")
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def procedure(self, name: str) -> Callable:
+        """The function that EXEC calls; it gets the registry and its arguments and may return rows or output values by name."""
+        found = self.procedures.get(clean_name(name).removeprefix("dbo."))
+        if found is None:
+            raise ValueError(f"needs a registered procedure: {name}")
+        return found
+
+    def register_procedure(self, name: str, fn: Callable) -> None:
+        self.procedures[clean_name(name).removeprefix("dbo.")] = fn
+
+    # ---- versions that outlast the session
+
+    @classmethod
+    def open(cls, spark: SparkSession, warehouse: str) -> Registry:
+        """The tables of a warehouse as its newest version has them; every change from now on is a version."""
+        out = cls(spark, warehouse=warehouse)
+        out.log = TableLog(spark, warehouse)
+        out.version, out.entries = out.log.read()
+        for name, entry in out.entries.items():
+            out.tables[name] = entry["folders"] if "folders" in entry else stream_rows(spark, entry)
+        return out
+
+    def commit(self) -> None:
+        """Write the tables' folders as a version, unless a transaction is going on."""
+        if self.log is None or self.held:
+            return
+        made = {}
+        for name, found in self.tables.items():
+            if not isinstance(found, DataFrame):
+                made[name] = {"folders": [found] if isinstance(found, str) else found}
+            elif name in self.entries:
+                made[name] = self.entries[name]
+        if made != self.entries:
+            self.version = self.log.commit(self.version, made)
+            self.entries = made
+
+    @contextmanager
+    def transaction(self):
+        """Changes inside are one version, or none if something fails."""
+        if self.held:
+            yield
+            return
+        before, self.held = dict(self.tables), True
+        try:
+            yield
+            self.held = False
+            self.commit()
+        except BaseException:
+            self.tables.clear()
+            self.tables.update(before)
+            raise
+        finally:
+            self.held = False
 
     def sql(self, text: str, args: list | None = None) -> DataFrame:
-        """Run a statement; TRUNCATE, DELETE, INSERT, UPDATE and MERGE make a new version of a registered table."""
-        self.publish()
-        text = dialect(text, set(self.tables))
-        changed = change(text, args or [], self)
-        if changed is None:
-            return self.spark.sql(text, args=args or [])
-        table, rows = changed
-        self.put(table, rows)
-        return self.spark.createDataFrame([], "done string")
+        """Run a batch of statements as one transaction; the rows of its last query, or none.
+
+        TRUNCATE, DELETE, UPDATE and MERGE make a new version of a registered table, INSERT adds files to it.
+        """
+        with self.transaction():
+            return statements.run(self, text, args)
+
+
+def stream_rows(spark: SparkSession, entry: dict) -> DataFrame:
+    """The current rows of a table that a stream of changes keeps up to date."""
+    schema = T.StructType.fromJson(entry["schema"])
+    folders = [f for f in entry["buckets"].values() if f]
+    rows = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return rows.filter("NOT _deleted").select(*[F.col(f"`{c}`") for c in entry["columns"]])
 
 
 def clean_name(name: str) -> str:
     return re.sub(r'[\[\]"`]', "", name).strip().lower()
 
 
-def dialect(sql: str, tables: set[str] | None = None) -> str:
-    """The few T-SQL forms that pass-through queries use, in Spark's dialect; what cannot be run raises."""
-    if re.match(r"\s*(EXEC|EXECUTE|DECLARE)\b", sql, re.I):
-        raise ValueError(f"needs a registered procedure: {sql.strip()[:60]}")
-    parts = re.split(r"('(?:[^']|'')*')", sql)
-    for k in range(0, len(parts), 2):
-        p = re.sub(r"\[([^\]]+)\]", r"`\1`", parts[k])
-        p = re.sub(r"(?:`?dbo`?\.)(`?\w+`?)", r"\1", p, flags=re.I)
-        p = re.sub(r"\bISNULL\s*\(", "coalesce(", p, flags=re.I)
-        p = re.sub(r"\bGETDATE\s*\(\s*\)", "current_timestamp()", p, flags=re.I)
-        parts[k] = re.sub(r"\bWITH\s*\(\s*NOLOCK\s*\)", "", p, flags=re.I)
-    out = "".join(parts)
-    if m := re.match(r"(\s*SELECT\s+)TOP\s*\(?\s*(\d+)\s*\)?\s+(.*)", out, re.I | re.S):
-        out = f"{m[1]}{m[3].rstrip().rstrip(';')} LIMIT {m[2]}"
-    return out
-
-
-_NAME = r"([\w.`]+)"
-_WRITES = {
-    "truncate": re.compile(rf"\s*TRUNCATE\s+TABLE\s+{_NAME}\s*;?\s*$", re.I),
-    "delete": re.compile(rf"\s*DELETE\s+FROM\s+{_NAME}(?:\s+WHERE\s+(.+?))?\s*;?\s*$", re.I | re.S),
-    "insert": re.compile(rf"\s*INSERT\s+INTO\s+{_NAME}\s*(?:\(([^)]*)\))?\s*((?:SELECT|VALUES|WITH)\b.+?)\s*;?\s*$", re.I | re.S),
-    "update": re.compile(rf"\s*UPDATE\s+{_NAME}\s+SET\s+(.+?)(?:\s+WHERE\s+(.+?))?\s*;?\s*$", re.I | re.S),
-    "merge": re.compile(rf"\s*MERGE\s+(?:INTO\s+)?{_NAME}\s+(?:AS\s+)?(\w+)\s+USING\s+(\(.+?\)|[\w.`]+)\s+(?:AS\s+)?(\w+)\s+ON\s+(.+?)\s+(WHEN\s+.+?)\s*;?\s*$", re.I | re.S),
-}
-_WHEN = re.compile(r"WHEN\s+(NOT\s+MATCHED|MATCHED)(?:\s+BY\s+TARGET)?(?:\s+AND\s+(.+?))?\s+THEN\s+(?:(UPDATE)\s+SET\s+(.+?)|(DELETE)|(INSERT)\s*\(([^)]*)\)\s*VALUES\s*\((.+?)\))\s*(?=WHEN\s|$)", re.I | re.S)
-
-
-def split_list(text: str) -> list[str]:
-    """The parts of a list between commas that are in no bracket and no quotes."""
-    out, depth, quoted = [""], 0, False
-    for ch in text:
-        quoted ^= ch == "'"
-        depth += 0 if quoted else (ch == "(") - (ch == ")")
-        if ch == "," and not depth and not quoted:
-            out.append("")
-        else:
-            out[-1] += ch
-    return [x.strip() for x in out]
-
-
-def _sets(text: str) -> dict[str, str]:
-    """Column to expression, of a SET list."""
-    pairs = [x.partition("=") for x in split_list(text)]
-    return {clean_name(a).rpartition(".")[2]: b.strip() for a, _, b in pairs}
-
-
-def change(sql: str, args: list, registry: Registry) -> tuple[str, DataFrame] | None:
-    """The table that a write statement changes and its rows afterwards, as one query of the table; None for other statements.
-
-    MERGE takes one clause of each kind and needs a source whose keys are unique, as the standard has it.
-    """
-    found = next(((k, m) for k, p in _WRITES.items() if (m := p.match(sql))), None)
-    if found is None:
-        return None
-    kind, m = found
-    name, spark = m[1], registry.spark
-    target = registry.table(name)
-    view = clean_name(name).removeprefix("dbo.").replace(".", "_")
-    columns = target.columns
-    run = lambda text: spark.sql(text, args=args)
-    quoted = {c.lower(): f"`{c}`" for c in columns}
-    typed = lambda values: ", ".join(f"CAST({v} AS {target.schema[c].dataType.simpleString()}) AS `{c}`" for c, v in values.items())
-    if kind == "truncate":
-        return name, target.limit(0)
-    if kind == "delete":
-        return name, run(f"SELECT * FROM {view} WHERE NOT coalesce({m[2]}, false)") if m[2] else target.limit(0)
-    if kind == "insert":
-        rows = run(m[3])
-        given = [clean_name(c) for c in m[2].split(",")] if m[2] else [c.lower() for c in columns]
-        place = {c: k for k, c in enumerate(given)}
-        made = rows.toDF(*[f"_{k}" for k in range(len(rows.columns))])
-        added = made.select(*[(F.col(f"_{place[c.lower()]}") if c.lower() in place else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in columns])
-        return name, target.unionByName(added)
-    if kind == "update":
-        sets, where = _sets(m[2]), m[3]
-        new = {c: f"CASE WHEN {where} THEN {sets[c.lower()]} ELSE {quoted[c.lower()]} END" if where and c.lower() in sets else sets.get(c.lower(), quoted[c.lower()]) for c in columns}
-        return name, run(f"SELECT {typed(new)} FROM {view}")
-    a, b, on = m[2], m[4], m[5]
-    source = m[3] if m[3].startswith("(") else clean_name(m[3]).removeprefix("dbo.").replace(".", "_")
-    update, gone, insert = None, None, None
-    for w in _WHEN.finditer(m[6]):
-        if w[3]:
-            update = (w[2] or "true", _sets(w[4]))
-        elif w[5]:
-            gone = w[2] or "true"
-        else:
-            insert = (w[2] or "true", dict(zip([clean_name(c) for c in w[7].split(",")], split_list(w[8]), strict=True)))
-    met = f"{a}._t AND {b}._s"
-    new = {c: f"CASE WHEN {met} AND ({update[0]}) THEN {update[1][c.lower()]} WHEN {a}._t THEN {a}.{quoted[c.lower()]}" if update and c.lower() in update[1] else f"CASE WHEN {a}._t THEN {a}.{quoted[c.lower()]}" for c in columns}
-    new = {c: f"{x} ELSE {insert[1].get(c.lower(), 'NULL') if insert else 'NULL'} END" for c, x in new.items()}
-    keep = f"({a}._t AND NOT coalesce({b}._s AND ({gone or 'false'}), false)) OR ({a}._t IS NULL AND coalesce({insert[0] if insert else 'false'}, false))"
-    return name, run(f"SELECT {typed(new)} FROM (SELECT *, true AS _t FROM {view}) {a} FULL JOIN (SELECT *, true AS _s FROM {source}) {b} ON {on} WHERE {keep}")
+def dialect(sql: str) -> str:
+    """A T-SQL query in Spark's dialect; EXEC and DECLARE, which are no queries, raise."""
+    return statements.dialect(Registry(None), sql)
 
 
 def read_database(registry: Registry, connection: Connection | None, query: str | None = None, table: str | None = None) -> DataFrame:
