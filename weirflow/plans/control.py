@@ -183,6 +183,8 @@ class Runner:
             return [n.text or "" for n in ElementTree.fromstring(p["source"]).findall(p.get("xpath", "*"))]
         if kind == "ado":
             return (tuple(r) for r in self.ctx.variables[p["source"]].toLocalIterator())
+        if kind == "smo":  # the objects of a server: here the registered tables, or the columns of one
+            return sorted(self.registry.tables) if not p.get("source") else list(self.registry.table(p["source"]).columns)
         if kind == "variable":
             return list(self.ctx.variables[p["source"]])
         return [x.strip() for x in p.get("items", "").split(",") if x.strip()]

@@ -20,6 +20,7 @@ Operator = Callable[[Component, dict[str, DataFrame], RunContext, Registry], dic
 OPERATORS: dict[str, Operator] = {}
 HOOKS: dict[str, list[Callable]] = {}
 SCRIPTS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+SCRIPT_SOURCES: dict[str, tuple] = {}
 
 
 def register_script(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
@@ -27,6 +28,11 @@ def register_script(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     SCRIPTS[name] = fn
 
 
+def register_script_source(name: str, schema: str, split: Callable[[], list], rows: Callable) -> None:
+    """What a script component of this name reads that has no input: its columns, its parts, and the rows of a part."""
+    SCRIPT_SOURCES[name] = (schema, split, rows)
+
+
 def discover(group: str = "weirflow.plugins") -> list[str]:
     """Load the plugins that installed packages announce; each is called and registers what it has."""
     found = entry_points(group=group)
@@ -169,6 +175,8 @@ def _excel_source(c, inputs, ctx, registry):
 
 @operator("script")
 def _script(c, inputs, ctx, registry):
+    if not inputs and c.name in SCRIPT_SOURCES:
+        return {_name(c): sources.script_source(registry.spark, c.name, *SCRIPT_SOURCES[c.name])}
     fn = SCRIPTS.get(c.name)
     if fn is None:
         raise ValueError(f"no function for script component {c.name}")

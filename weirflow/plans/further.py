@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirflow.operators import dimensions, joins, quality, rows
-from weirflow.plans.queries import query, scratch, t
+from weirflow.operators.rows import RunContext
+from weirflow.plans.control import Runner, register_task
+from weirflow.plans.flow import register_script_source, run_flow
+from weirflow.plans.model import Component, Package, Path_, Task
+from weirflow.plans.queries import NOW, query, scratch, t
 from weirflow.sources import Registry
 from weirflow.streaming import sessions, stream_files, tumbling
 
@@ -110,6 +114,42 @@ def sql_warehouse_versions(spark, sf):
     raise AssertionError("a wrong statement was run")
 
 
+# ---- sources
+
+
+@query("SELECT o_orderkey, o_orderkey * o_orderkey AS square FROM orders")
+def src_script_rows(spark, sf):
+    """A script source of as many rows as there are orders, read by several tasks in a data flow."""
+    n, parts = t(spark, sf, "orders").agg(F.max("o_orderkey") + 1).first()[0], 5
+    register_script_source("squares", "k long, square long", lambda: [(n * i // parts, n * (i + 1) // parts) for i in range(parts)], lambda part: ((k, k * k) for k in range(*part)))
+    flow = Task("load", "data_flow", components=[
+        Component("squares", "script", "src", outputs=[{"name": "out", "columns": [], "error": False, "properties": {}}]),
+        Component("dest", "destination", "dest", properties={"OpenRowset": "squares"}, inputs=[{"name": "in", "properties": {}, "columns": []}]),
+    ], paths=[Path_("src", "out", "dest", "in")])
+    r = _registry(spark)
+    run_flow(flow, RunContext({}, NOW), r)
+    return t(spark, sf, "orders").select("o_orderkey").join(r.table("squares"), F.col("o_orderkey") == F.col("k")).select("o_orderkey", "square")
+
+
+@query("SELECT r_regionkey AS region, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT 100 + count(*), count(*) FROM nation")
+def foreach_tables(spark, sf):
+    """A loop over the tables of a server that counts the rows of each, each region's nations being a table."""
+    nation, region = t(spark, sf, "nation"), t(spark, sf, "region")
+    some = {f"nations_{k.r_regionkey}": nation.filter(F.col("n_regionkey") == k.r_regionkey) for k in region.collect()}
+    r = Registry(spark, tables=some | {"all_nations": nation}, warehouse=scratch(spark))
+    counts = []
+
+    def count(task, ctx, registry):
+        name = ctx.variables["User::table"]
+        n = registry.table(name).count()
+        counts.append((int(name.removeprefix("nations_")) if name != "all_nations" else 100 + n, n))
+
+    register_task("count_rows", count)
+    loop = Task("loop", "foreach_loop", properties={"enumerator": "smo", "variables": "User::table"}, children=[Task("count", "count_rows")])
+    Runner(r, RunContext({}, NOW)).run(Package("p", tasks=[loop]))
+    return spark.createDataFrame(counts, "region int, n long")
+
+
 # ---- similarity
 
 

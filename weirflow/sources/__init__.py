@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import re
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from decimal import Decimal
+from itertools import islice
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weirflow.sources import statements
 from weirflow.sources.log import TableLog
@@ -217,16 +221,62 @@ def dialect(sql: str) -> str:
 
 
 def read_database(registry: Registry, connection: Connection | None, query: str | None = None, table: str | None = None) -> DataFrame:
-    """A query wins over a table. Without a JDBC url the registered tables stand in for the database."""
+    """A query wins over a table. Without a JDBC url the registered tables stand in for the database.
+
+    With ``partitionColumn`` among a connection's options (a number, a date or a time, or ``auto`` for the first whole number)
+    a database is read by ``numPartitions`` tasks, 8 by default. Bounds that are not given are asked for first; rows without a
+    value are read by the first task.
+    """
     if not query and not table:
         raise ValueError("a source needs a query or a table")
-    if connection and connection.url:
-        reader = registry.spark.read.format("jdbc").option("url", connection.url).options(**connection.options)
-        # A query that is read in parts (partitionColumn and its bounds among the options) has to stand as a table.
-        if query and "partitionColumn" in connection.options:
-            query, table = None, f"({query}) part"
+    if not (connection and connection.url):
+        return registry.sql(query) if query else registry.table(table)
+    options = dict(connection.options)
+    column = options.pop("partitionColumn", None)
+    reader = registry.spark.read.format("jdbc").option("url", connection.url).options(**options)
+    # A query that is read in parts has to stand as a table.
+    whole = f"({query}) part" if query else table
+    if column == "auto":
+        kinds = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        column = next((f.name for f in reader.option("dbtable", whole).load().schema if isinstance(f.dataType, kinds)), None)
+    if column and "lowerBound" not in options:
+        quoted = registry.spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(connection.url).quoteIdentifier(column)
+        asked = registry.spark.read.format("jdbc").option("url", connection.url).options(**{k: v for k, v in options.items() if k != "numPartitions"})
+        low, high = asked.option("query", f"SELECT min({quoted}) AS low_end, max({quoted}) AS high_end FROM {whole}").load().first()
+        if isinstance(low, (float, Decimal)):  # bounds of numbers are whole
+            low, high = math.floor(low), math.ceil(high)
+        options |= {} if low is None else {"lowerBound": str(low), "upperBound": str(high)}
+        column = None if low is None else column
+    if not column:
         return reader.option("query", query).load() if query else reader.option("dbtable", table).load()
-    return registry.sql(query) if query else registry.table(table)
+    options.setdefault("numPartitions", 8)
+    return reader.options(**options).option("partitionColumn", column).option("dbtable", whole).load()
+
+
+def script_source(spark: SparkSession, name: str, schema: str | T.StructType, split: Callable[[], list], rows: Callable[[object], Iterator[tuple]]) -> DataFrame:
+    """The rows of a source that a script has: ``split`` names its parts, and a task each calls ``rows`` with one of them."""
+    kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(p) for p in split()]
+
+        def read(self, partition):
+            yield from rows(partition.value)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return f"script_{re.sub(r'[^0-9a-z]', '_', name.lower())}"
+
+        def schema(self):
+            return kind
+
+        def reader(self, schema):
+            return Reader()
+
+    spark.dataSource.register(Source)
+    return spark.read.format(Source.name()).load()
 
 
 def read_flat(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, delimiter: str = ",", quote: str = '"') -> DataFrame:
@@ -259,45 +309,62 @@ def read_cdc(registry: Registry, connection: Connection | None, table: str | Non
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def sheet_rows(data: bytes, sheet: str = "Sheet1") -> list[list[str | None]]:
-    """The cells of a workbook's sheet as texts, row by row from A1."""
+def sheet_rows(data: bytes, sheet: str = "Sheet1") -> Iterator[list[str | None]]:
+    """The cells of a workbook's sheet as texts, row by row from A1; a row is let go of when the next one is read."""
+    tag = lambda name: f"{{{_NS['m']}}}{name}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+            for _, si in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if si.tag == tag("si"):
+                    shared.append("".join(t.text or "" for t in si.iter(tag("t"))))
+                    si.clear()
         names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)]
         k = names.index(sheet.rstrip("$")) + 1 if sheet.rstrip("$") in names else 1
-        out = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).findall("m:sheetData/m:row", _NS):
+        body = None
+        for event, row in ElementTree.iterparse(z.open(f"xl/worksheets/sheet{k}.xml"), events=("start", "end")):
+            if row.tag == tag("sheetData") and event == "start":
+                body = row
+            if row.tag != tag("row") or event == "start":
+                continue
             cells: list[str | None] = []
             for c in row.findall("m:c", _NS):
                 at = 0
-                for ch in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
+                for ch in re.match(r"[A-Z]*", c.get("r", ""))[0]:
                     at = at * 26 + ord(ch) - 64
+                at = at or len(cells) + 1
                 cells += [None] * (at - len(cells))
                 v = c.find("m:v", _NS)
-                text = v.text if v is not None else "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) or None
+                text = v.text if v is not None else "".join(t.text or "" for t in c.iter(tag("t"))) or None
                 cells[at - 1] = shared[int(text)] if c.get("t") == "s" else text
-            out.append(cells)
-        return out
+            yield cells
+            if body is not None:
+                body.clear()
+
+
+#: Rows of a sheet that are handed on at once.
+SHEET_ROWS = 10_000
 
 
 def read_excel(spark: SparkSession, path: str, schema: str, sheet: str = "Sheet1") -> DataFrame:
-    """Workbooks with a header row; a task reads each, values are cast to the schema and nulls where they cannot be."""
+    """Workbooks with a header row; a task reads each as a stream of rows. Values are cast to the schema, null where they cannot be."""
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = target.names
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = sheet_rows(content, sheet)
-                head = rows[0] if rows else []
-                body = [dict(zip(head, r + [None] * (len(head) - len(r)), strict=False)) for r in rows[1:]]
-                yield pd.DataFrame([[r.get(n) for n in names] for r in body], columns=names, dtype=object)
-
-    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = sheet_rows(content.as_py(), sheet)
+                head = next(rows, [])
+                place = {name: k for k, name in enumerate(head)}
+                while body := list(islice(rows, SHEET_ROWS)):
+                    pick = [place.get(n) for n in names]
+                    columns = [[None if k is None or k >= len(r) else r[k] for r in body] for k in pick]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+    texts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
     return texts.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in target])
 
 
