@@ -1,3 +1,4 @@
+import math
 import warnings
 import zlib
 from collections import Counter
@@ -129,6 +130,64 @@ def test_mixing_edges(spark, edge, nothing):
     assert mixing.mix(plain.limit(0), labels).count() == 0
 
 
+def test_columns_that_differ_in_case_are_replaced(spark, edge):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = edge.select("doc_id", "text", "lang", "source").selectExpr("*", "'x' AS Language", "'y' AS Mix")
+    out = language_id.identify(docs)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "source", "Mix", "language"]) and out.filter("language.kept").count() > 5
+    mixed = mixing.mix(docs, labels, rounds=5)
+    assert sorted(mixed.columns) == sorted(["doc_id", "text", "lang", "source", "Language", "mix"])
+    assert mixing.realise(mixed).columns == ["doc_id", "text", "lang", "source", "Language"]
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS BIGINT)", "CAST(7 AS BIGINT)", "id"])
+def test_realised_rows_without_ids_of_their_own(spark, ids):
+    """Each row has a chance of its own: of 4000 at a rate of 2.3 about 9200 come out, and the same ones each time."""
+    docs = spark.range(4000).selectExpr(f"{ids} AS doc_id", "'some text' AS text", "id AS row")
+    mixed = mixing.mix(docs, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"), targets={(1, 0): 1.0}, rounds=0)
+    fixed = mixed.withColumn("mix", F.struct(F.lit(2.3).alias("rate"), F.col("mix.chance").alias("chance")))
+    out = mixing.realise(fixed)
+    times = Counter(r.row for r in out.collect())
+    assert set(times.values()) == {2, 3} and abs(sum(times.values()) - 9200) < 200
+    assert Counter(r.row for r in out.repartition(3).collect()) == times
+
+
+def test_rates_against_plain_least_squares(spark):
+    """On a table whose targets cannot all be met the loss is that of a plain non-negative least squares."""
+    rows = [(k, " ".join([("good", "bad")[k % 2]] * 5 + [("kind", "vile")[k % 5 == 0]] * (1 + k % 7)), int(k % 2), int(k % 5 == 0)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    targets = {(0, 0): 0.05, (0, 1): 0.9, (1, 0): 0.04, (1, 1): 0.01}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        out = [r.mix for r in mixing.mix(df, df, targets=targets).collect()]
+    n, p = np.array([m.tokens for m in out]), np.array([m.p for m in out])
+    a = (n[:, None] * p).T
+    goal = np.array([targets[d] for d in ((0, 0), (0, 1), (1, 0), (1, 1))]) * n.sum()
+    metric = mixing.inverse((n[:, None] * p).T @ p, np.maximum(a.sum(1), 1e-6))
+    loss = lambda r: (a @ r - goal) @ metric @ (a @ r - goal) / 2
+    rate, at, t = np.ones(60), np.ones(60), 1.0
+    gram = a.T @ metric @ a
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(20_000):
+        new = np.maximum(at - step * (gram @ at - a.T @ metric @ goal), 0)
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        rate, at, t = new, new + (t - 1) / after * (new - rate), after
+    met = np.abs(a @ np.array([m.rate for m in out]) - goal) <= mixing.TOLERANCE * goal
+    assert met.all() or loss(np.array([m.rate for m in out])) <= (1 + 2 * mixing.LEAST) * loss(rate) + 1e-9 * n.sum()
+
+
+def test_toxicity_without_the_label_voter(spark):
+    """Labels then choose stems alone; what is left is word lists and patterns, which miss most but seldom err."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels, label_voter=False).toPandas()
+    both = out[out["held_out"]].merge(labels.toPandas(), on="doc_id")
+    hit, clean = (both[both["toxic"] == k] for k in (1, 0))
+    rank = both["score"].rank()
+    auc = (rank[both["toxic"] == 1].sum() - len(hit) * (len(hit) + 1) / 2) / (len(hit) * len(clean))
+    assert auc > 0.8 and (clean["predicted"] == 0).mean() > 0.98
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

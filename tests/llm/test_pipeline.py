@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.test_similar import brute_near
-from weirflow.llm import exact_dedup
+from weirflow.llm import common, exact_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,23 @@ def test_stages(spark):
     assert {r.doc_id for r in five.select("doc_id").distinct().collect()} == {r.doc_id for r in four.select("doc_id").collect()}
 
 
+def test_columns_of_any_case(spark, edge):
+    """Columns named like the operators' own, in another case, go through all stages."""
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", "'l' AS Language", "'m' AS Mix", "'d' AS _doc", "'r' AS Chance")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.filter("Language = 'l' AND Mix = 'm' AND Chance = 'r'").count() == out.count()
+
+
+def test_the_run_leaves_only_what_its_result_reads(spark):
+    before = common.tables()
+    out = corpus_pipeline.run(spark, SF)
+    left = common.tables() - before
+    assert out.count() > 0 and len([p for p in left if "/stage-" in p]) == 1
+    common.release(spark, before)
+
+
 def test_repeated_rows_and_nulls(spark):
     rows = [(1, "some words here", "en", "s", 1)] * 3 + [(None, None, None, None, None)] * 2 + [(2, "other words there", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

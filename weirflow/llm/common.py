@@ -45,12 +45,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 _WRITTEN: set[str] = set()
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all tables that operators of this process have written and their results may still read; how many.
+def tables() -> set[str]:
+    """The paths of the tables that there are now."""
+    return set(_WRITTEN)
 
-    To be called when the results have been stored.
+
+def release(spark: SparkSession, since: set[str] = frozenset(), keep: set[str] = frozenset()) -> int:
+    """Delete the tables that operators of this process have written and their results may still read; how many.
+
+    To be called when the results have been stored. Those of ``since``, which were there before, and of ``keep`` stay.
     """
-    paths = list(_WRITTEN)
+    paths = _WRITTEN - since - keep
     for path in paths:
         drop_path(spark, path)
     return len(paths)

@@ -90,7 +90,7 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", suffix_col: str | None = None) -> DataFrame:
-    """``docs`` with a struct column ``language``: code, confidence, trigrams, kept. A column of that name is replaced.
+    """``docs`` with a struct column ``language``: code, confidence, trigrams, kept. A column of that name, in any case, is replaced.
 
     Evidence that is null or of a value never seen says nothing. A text without letters, null ones too, has the code
     "und", confidence 0, and is rejected (kept is false); so is one whose best language is less likely than
@@ -99,7 +99,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
     A declared language with fewer than MIN_TRIGRAMS trigrams is no answer, of which a RuntimeWarning tells.
     """
     spark = docs.sparkSession
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "language"])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "language"])
     none = F.lit(None).cast("string")
     named = lambda c: F.lower(F.trim(F.col(c).cast("string"))) if c else none
     base = docs.select(

@@ -120,7 +120,10 @@ def posterior(logits: list[Column]) -> list[Column]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate. One of that name is replaced.
+    """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate, chance.
+
+    A column of that name, in whatever case, is replaced. ``chance`` is a number from 0 to 1 that is drawn once for each row
+    and written, from its id and its place, so rows without an id and rows that share one have chances of their own.
 
     Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. Where no rates
     meet them, the rates of the least loss are given, and a RuntimeWarning names each domain that is off and by how much.
@@ -132,16 +135,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
     targets = targets or TARGETS
     domains = list(product((0, 1), repeat=len(label_cols)))
     models = fit(docs, labels, list(label_cols), domains, id_col, text_col, sample_docs)
-    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix"])
     base = docs.select(keep.alias("_doc"), buckets(F.col(text_col)).alias("_b"), tokens(F.col(text_col)).alias("_n"))
     base = base.select("_doc", "_n", *[x.alias(f"_q{k}") for k, x in enumerate(odds(models), 1)])
     shares = posterior([F.col(f"_q{k}") for k in range(1, len(domains))])
-    scored, _ = written(base.select("_doc", "_n", *[p.alias(f"_p{k}") for k, p in enumerate(shares)]), "mix-scored")
+    chance = F.pmod(F.xxhash64(F.lit(11), F.col(f"_doc.`{id_col}`"), F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    scored, _ = written(base.select("_doc", "_n", *[p.alias(f"_p{k}") for k, p in enumerate(shares)], chance.alias("_chance")), "mix-scored")
     ps = [F.col(f"_p{k}") for k in range(len(domains))]
 
     history = solve(start(scored.select("_n", *ps)), ps, [targets.get(d, 0.0) for d in domains], domains, rounds)
     # Each document goes through the same steps as its copy in the loop did.
-    return scored.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), replayed(ps, history).alias("rate")).alias("mix"))
+    return scored.select("_doc.*", F.struct(F.col("_n").alias("tokens"), F.array(*ps).alias("p"), replayed(ps, history).alias("rate"), F.col("_chance").alias("chance")).alias("mix"))
 
 
 def inverse(curvature: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -152,13 +156,17 @@ def inverse(curvature: np.ndarray, mass: np.ndarray) -> np.ndarray:
 
 
 def solve(state: DataFrame, ps: list[Column], weights: list[float], domains: list[tuple], rounds: int) -> list[tuple[list[float], float]]:
-    """The steps, each a pull by domain and a momentum, that take rates of one to those that meet the weights."""
+    """The steps, each a pull by domain and a momentum, that take rates of one to those that meet the weights.
+
+    A step by the free documents' curvature that makes the loss larger is taken back. The steps end at the rates of the
+    least loss that were met.
+    """
     spark, count = state.sparkSession, len(ps)
     cells = [(i, j) for i in range(count) for j in range(i, count)]
     sums = [F.sum(F.col("_n") * p * F.col("_y")).alias(f"s{k}") for k, p in enumerate(ps)]
     free = [F.sum(F.when(F.col("_y") > 0, F.col("_n") * ps[i] * ps[j])).alias(f"h{i}_{j}") for i, j in cells]
     history: list[tuple[list[float], float]] = []
-    momentum, path, wait, lowest, last, pull = 1.0, None, 0, 0.0, None, np.zeros(count)
+    momentum, paths, wait, lowest, last, pull, fast, saved, best = 1.0, [], 0, 0.0, None, np.zeros(count), False, None, None
     for t in range(rounds + 1):
         row = state.agg(F.sum("_n").alias("n"), F.min(dot(ps, pull)).alias("down"), *sums, *free).first()
         if not row["n"]:
@@ -178,34 +186,44 @@ def solve(state: DataFrame, ps: list[Column], weights: list[float], domains: lis
             bound = total + math.sqrt(2 * last * total)
             lowest = max(lowest, last - pull @ before - max(0.0, -row["down"]) * bound)
         error = got - goal
-        loss, pull, before = float(error @ metric @ error) / 2, metric @ error, got
-        if (abs(error) <= may).all():
-            break
-        least = loss <= 1e-15 * total or loss - lowest <= LEAST * loss
+        loss = float(error @ metric @ error) / 2
+        if fast and loss > last:
+            state, error, curvature = saved
+            history.pop()
+            wait, momentum = PLAIN_ROUNDS, 1.0
+        else:
+            if fast and last is not None and loss > last / 2:
+                wait, momentum = PLAIN_ROUNDS, 1.0
+            elif last is not None and loss > last:
+                momentum = 1.0
+            pull, before, last = metric @ error, got, loss
+            if best is None or loss < best[0]:
+                best = loss, len(history), got
+            if (abs(error) <= may).all():
+                best = loss, len(history), got
+                break
+        least = best[0] <= 1e-15 * total or best[0] - lowest <= LEAST * best[0]
         if least or t == rounds:
-            off = ", ".join(f"{d}: {g / total:.3g} for {w / total:.3g}" for d, g, w, e, m in zip(domains, got, goal, error, may, strict=True) if abs(e) > m)
+            off = ", ".join(f"{d}: {g / total:.3g} for {w / total:.3g}" for d, g, w, m in zip(domains, best[2], goal, may, strict=True) if abs(g - w) > m)
             warnings.warn(f"mixing: {'no rates meet all targets' if least else f'targets not met in {t} rounds'}; domains off, as shares of all tokens: {off}", RuntimeWarning, stacklevel=3)
             break
-        if wait == 0 and last is not None and fast and loss > last / 2:
-            wait, momentum = PLAIN_ROUNDS, 1.0
-        elif last is not None and loss > last:
-            momentum = 1.0
-        fast, last = wait == 0, loss
+        fast = wait == 0
         if fast:
             step, carry, momentum = inverse(curvature, mass) @ error, 0.0, 1.0
         else:
             after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
             step, carry, momentum, wait = pull, (momentum - 1) / after, after, wait - 1
+        saved = state, error, curvature
         history.append((step.tolist(), carry))
         state = stepped(state, ps, *history[-1])
         if t % WRITE_EVERY == WRITE_EVERY - 1:
             state, newer = written(state, "mix-rates")
-            if path:
-                drop_path(spark, path)
-            path = newer
-    if path:
+            paths.append(newer)
+            if len(paths) > 2:  # a step that is taken back goes on from the table before
+                drop_path(spark, paths.pop(0))
+    for path in paths:
         drop_path(spark, path)
-    return history
+    return history[: best[1]]
 
 
 def dot(ps: list[Column], pull) -> Column:
@@ -235,14 +253,14 @@ def stepped(df: DataFrame, ps: list[Column], pull: list[float], momentum: float)
     return moved.withColumn("_y", F.greatest(F.lit(0.0), F.col("_m") + F.lit(momentum) * (F.col("_m") - F.col("_r")))).withColumn("_r", F.col("_m")).drop("_m")
 
 
-def realise(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, each as often as its rate says: the whole part, and one more with the chance of the rest.
+def realise(mixed: DataFrame) -> DataFrame:
+    """The documents of ``mix``, each row as often as its rate says: the whole part, and one more with the chance of the rest.
 
-    Chance is a hash of the id, so a run can be repeated; the ``mix`` column goes.
+    The chance is the row's own, which ``mix`` has written, so it is the same however often the rows are read; the ``mix``
+    column goes. An empty table gives no rows.
     """
-    chance = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor(F.col("mix.rate") + chance).cast("long")
-    own = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c != "mix"])
+    times = F.floor(F.col("mix.rate") + F.col("mix.chance")).cast("long")
+    own = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c.lower() != "mix"])
     rows = mixed.select(own.alias("_doc"), times.alias("_times")).filter("_times > 0")
     # In two steps, so that no row holds a list as long as its rate.
     by = 1000

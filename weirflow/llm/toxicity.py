@@ -198,12 +198,13 @@ def fit_linear(cols: np.ndarray, ends: np.ndarray, width: int, target: np.ndarra
     return w, b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD, max_words: int = MAX_WORDS, max_stems: int = MAX_STEMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD, max_words: int = MAX_WORDS, max_stems: int = MAX_STEMS, label_voter: bool = True) -> DataFrame:
     """Score every document: doc_id, held_out, score, predicted, votes (the voters that spoke up, as bits).
 
     Training uses rows that are not held out: crc32 of the id as text, mod 3, other than 1. The classifier is fitted to at
     most ``sample_docs`` labelled documents and the ``max_words`` terms that most of them have; stems that vote are the
-    ``max_stems`` that most toxic ones have. A null or empty text has no words and no votes and gets the classifier's
+    ``max_stems`` that most toxic ones have. With ``label_voter`` a known label is one more voter of the label model; without
+    it labels choose the stems that vote and nothing else, and the classifier learns from the other voters' posteriors. A null or empty text has no words and no votes and gets the classifier's
     bias. A null id is held out. Without labels the label model starts from the votes alone; an empty table gives an
     empty result. Repeated rows get equal scores.
     """
@@ -238,7 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), bits], ["doc_id", "bits"])
 
     marked = texts.filter("NOT held_out").mapInArrow(vote, "doc_id long, bits int").join(known, F.col("doc_id") == F.col("label_id"), "left")
-    label = F.coalesce("toxic", F.lit(-1)).alias("label")
+    label = (F.coalesce("toxic", F.lit(-1)) if label_voter else F.lit(-1)).alias("label")
     patterns = marked.groupBy("bits", label).agg(F.count("*").alias("n")).toPandas().sort_values(["bits", "label"])  # at most 3 * 2 ** len(VOTERS) rows
     model = LabelModel(*(patterns[c].to_numpy(int) for c in ("bits", "label", "n"))) if len(patterns) else None
     vocabulary: dict[str, float] = {}
@@ -262,7 +263,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         seen = sample.mapInArrow(number, "doc_id long, bits int, toxic int, at binary").toPandas()  # sample_docs rows
         seen = seen.sort_values(["doc_id", "at"])
         if len(seen):
-            target = model.posterior_of(seen["bits"].to_numpy(int), seen["toxic"].to_numpy(int))
+            own = seen["toxic"].to_numpy(int) if label_voter else np.full(len(seen), -1)
+            target = model.posterior_of(seen["bits"].to_numpy(int), own)
             ends = np.append(0, seen["at"].map(len).to_numpy(np.int64).cumsum() // 4)
             cols = np.frombuffer(b"".join(seen["at"]), np.int32)
             del seen
