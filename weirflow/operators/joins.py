@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.operators.graph import connected
-from weirflow.sources.shared import kept
+from weirflow.sources.shared import kept, spread
 
 
 def first_by_key(ref: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def first_by_key(ref: DataFrame, keys: list[str], order: list[str] | None = None
     if len(by) == 1 and isinstance(ref.schema[by[0]].dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
         # A hash aggregate; nulls come first here, as in a struct.
         least = F.when(F.count(F.lit(1)) == F.count(by[0]), F.min(by[0])).alias(by[0])
-        return ref.groupBy(*keys).agg(least).select(*keys, by[0])
+        return spread(ref.select(*keys, by[0])).groupBy(*keys).agg(least).select(*keys, by[0])
     top = F.min(F.struct(*[F.col(c) for c in by])).alias("_top") if by else F.lit(0).alias("_top")
     one = ref.groupBy(*keys).agg(top)
     return one.select(*keys, *[F.col(f"_top.{c}") for c in by])
@@ -272,7 +272,7 @@ def _grams(n: int) -> Column:
 
 def term_extraction(df: DataFrame, column: str, min_frequency: int = 2, min_length: int = 2) -> DataFrame:
     """(term, frequency, documents) of the words of all texts."""
-    words = df.select(F.split(F.lower(F.col(column)), SEPARATOR).alias("_w"))
+    words = spread(df.select(column)).select(F.split(F.lower(F.col(column)), SEPARATOR).alias("_w"))
     # Every word, then once more each that the text has: one pass with partial sums, so only terms are shuffled.
     every = words.select(F.posexplode(F.concat("_w", F.array_distinct("_w"))).alias("k", "term"), F.size("_w").alias("n"))
     own = (F.col("k") < F.col("n")).cast("long")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import compile_expression
+from weirflow.sources.shared import kept
 from weirflow.types import spark_type
 
 
@@ -210,22 +211,16 @@ def hash_percent(key: str) -> Column:
     return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
 
 
-def checkpointed(df: DataFrame) -> bool:
-    """Whether the session names a folder for checkpoints, which survive lost executors."""
-    spark = df.sparkSession
-    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-
-
 def percentage_sampling(df: DataFrame, percent: float = 10, seed: int = 42, key: str | None = None) -> dict[str, DataFrame]:
     """Rows split by chance: by a hash of ``key``, which can be repeated anywhere, or by a seeded number.
 
-    The numbers depend on the order of the rows, so they are drawn once and checkpointed; each row is in one of the outputs.
+    The numbers depend on the order of the rows, so they are drawn once and written to the shared folder; each row is in one
+    of the outputs.
     """
     if key:
         chosen = hash_percent(key) < percent
         return {"selected": df.filter(chosen), "unselected": df.filter(~chosen)}
-    u = df.withColumn("_u", F.rand(seed))
-    u = u.checkpoint() if checkpointed(df) else u.persist()
+    u = kept(df.withColumn("_u", F.rand(seed)), "sampling")
     return {"selected": u.filter(F.col("_u") < percent / 100).drop("_u"), "unselected": u.filter(F.col("_u") >= percent / 100).drop("_u")}
 
 

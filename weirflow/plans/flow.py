@@ -207,8 +207,8 @@ def _destination(c, inputs, ctx, registry):
     if connection and connection.url:
         sources.write_database(df, connection, table)
     else:
-        # Inside a transaction each write has a folder of its own, so that names alone tell what counts.
-        path = registry.new_folder(table) if ctx.transaction else f"{registry.folder}/{sources.clean_name(table)}"
+        # Inside a transaction and where versions are logged each write has a folder of its own, so that names alone tell what counts.
+        path = registry.new_folder(table) if ctx.transaction or registry.log else f"{registry.folder}/{sources.clean_name(table)}"
         sources.write_table(df, path)
         registry.attach(table, path)
     return {}
@@ -396,7 +396,7 @@ def _fuzzy_lookup(c, inputs, ctx, registry):
 def _fuzzy_grouping(c, inputs, ctx, registry):
     df = _one(inputs)
     column = next((x["name"] for i in c.inputs for x in i["columns"]), df.columns[0])
-    return {_name(c): joins.fuzzy_grouping(df, column)}
+    return {_name(c): joins.fuzzy_grouping(df, column, float(c.properties.get("MinSimilarity") or 0.8))}
 
 
 @operator("term_lookup")

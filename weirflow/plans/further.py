@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from weirflow.operators import dimensions, joins, quality, rows
 from weirflow.operators.rows import RunContext
 from weirflow.plans.control import Runner, register_task
-from weirflow.plans.flow import register_script_source, run_flow
-from weirflow.plans.model import Component, Package, Path_, Task
+from weirflow.plans.flow import register_script, register_script_source, run_flow
+from weirflow.plans.model import Component, Constraint, Package, Path_, Task, load_package
 from weirflow.plans.queries import NOW, query, scratch, t
-from weirflow.sources import Registry
+from weirflow.sources import Registry, read_flat, read_raw
 from weirflow.streaming import sessions, stream_files, tumbling
 
 
@@ -289,3 +289,118 @@ def cdc_apply_null_keys(spark, sf):
     updates = a.filter(key % 4 == 0).select("k", "k2", F.lit("late").alias("v"), F.lit(1).alias("lsn"), F.lit(4).alias("op"))
     deletes = a.filter(key % 9 == 0).select("k", "k2", F.lit("x").alias("v"), F.lit(2).alias("lsn"), F.lit(1).alias("op"))
     return dimensions.cdc_apply(a, updates.unionByName(deletes), ["k", "k2"], ["lsn"], "op")
+
+
+# ---- data flows and tasks of packages
+
+
+def _out(name, *columns, **properties):
+    return {"name": name, "error": False, "properties": properties, "columns": [{"name": c, "type": "", "sort": 0, "properties": p} for c, p in columns]}
+
+
+def _flow(spark, sf, table, *components):
+    """Run components one after another over a table; the registry with what they have written."""
+    source = Component("src", "source", "src", properties={"OpenRowset": f"[dbo].[{table}]"}, outputs=[_out("out")])
+    every = [source, *components]
+    paths = [Path_(a.ref, a.outputs[0]["name"], b.ref, "in") for a, b in zip(every, every[1:], strict=False)]
+    r = _registry(spark, **{table: t(spark, sf, table)})
+    run_flow(Task("load", "data_flow", components=every, paths=paths), RunContext({}, NOW), r)
+    return r
+
+
+@query("""SELECT o_orderstatus, count(o_custkey) AS n, round(sum(o_totalprice)::DOUBLE, 2) AS total, round(avg(o_totalprice)::DOUBLE, 4) AS mean,
+min(o_custkey) AS low, max(o_custkey) AS high, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""")
+def flow_aggregate_codes(spark, sf):
+    """An aggregate component by the codes of a package file: group by, count, sum, average, minimum, maximum, count distinct."""
+    columns = [("o_orderstatus", "o_orderstatus", 0), ("n", "o_custkey", 1), ("total", "o_totalprice", 2), ("mean", "o_totalprice", 3), ("low", "o_custkey", 4), ("high", "o_custkey", 5), ("customers", "o_custkey", 7)]
+    made = [(name, {"AggregationType": str(code), "AggregationColumnId": f"{{agg.Inputs[in].Columns[{source}]}}"}) for name, source, code in columns]
+    r = _flow(spark, sf, "orders", Component("agg", "aggregate", "agg", outputs=[_out("out", *made)]), Component("dest", "destination", "dest", properties={"OpenRowset": "sums"}))
+    return r.table("sums").withColumns({"total": F.round(F.col("total").cast("double"), 2), "mean": F.round(F.col("mean").cast("double"), 4)})
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || '/2024-03-15' AS tag FROM customer WHERE c_acctbal > 0")
+def flow_script_component(spark, sf):
+    """A script component by its registered function, after a column with the time in UTC."""
+    register_script("keep_solvent", lambda df: df.filter("c_acctbal > 0").drop("c_acctbal"))
+    tag = _out("out", ("tag", {"FriendlyExpression": 'UPPER(c_mktsegment) + "/" + SUBSTRING((DT_WSTR, 30)GETUTCDATE(), 1, 10)'}))
+    r = _flow(spark, sf, "customer", Component("tag", "derived_column", "tag", outputs=[tag]), Component("keep_solvent", "script", "script", outputs=[_out("out")]), Component("dest", "destination", "dest", properties={"OpenRowset": "tags"}))
+    return r.table("tags").select("c_custkey", "tag")
+
+
+@query("SELECT 'flat' AS kind, count(*) AS n, sum(n_regionkey) AS regions FROM nation UNION ALL SELECT 'raw', count(*), sum(n_regionkey) FROM nation UNION ALL SELECT 'recordset', count(*), sum(n_regionkey) FROM nation")
+def flow_destinations(spark, sf):
+    """A flow that fans out to a flat file, a raw file and a recordset."""
+    path = scratch(spark)
+    nation = t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    ctx = RunContext({}, NOW)
+    outs = [Component("flat", "flat_destination", "flat", properties={"_file_path": f"{path}/flat"}), Component("raw", "raw_destination", "raw", properties={"FileName": f"{path}/raw"}), Component("set", "recordset", "set", properties={"VariableName": "User::rows"})]
+    source = Component("src", "source", "src", properties={"OpenRowset": "nation"}, outputs=[_out("out")])
+    run_flow(Task("load", "data_flow", components=[source, *outs], paths=[Path_("src", "out", c.ref, "in") for c in outs]), ctx, _registry(spark, nation=nation))
+    found = {"flat": read_flat(spark, f"{path}/flat", nation.schema), "raw": read_raw(spark, f"{path}/raw"), "recordset": ctx.variables["User::rows"]}
+    return rows.union_all([df.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("n_regionkey").alias("regions")) for k, df in found.items()])
+
+
+SALES = """<?xml version="1.0"?>
+<DTS:Executable xmlns:DTS="www.microsoft.com/SqlServer/Dts" DTS:ObjectName="orders" DTS:ExecutableType="Microsoft.Package">
+  <DTS:ConnectionManagers><DTS:ConnectionManager DTS:ObjectName="dw" DTS:DTSID="{7}" DTS:CreationName="ADO.NET"><DTS:ObjectData><DTS:ConnectionManager DTS:ConnectionString="Data Source=x"/></DTS:ObjectData></DTS:ConnectionManager></DTS:ConnectionManagers>
+  <DTS:Variables><DTS:Variable DTS:Namespace="User" DTS:ObjectName="low"><DTS:VariableValue DTS:DataType="5">100000</DTS:VariableValue></DTS:Variable></DTS:Variables>
+  <DTS:Executables>
+    <DTS:Executable DTS:refId="Package\\clear" DTS:ObjectName="clear" DTS:ExecutableType="Microsoft.ExecuteSQLTask"><DTS:ObjectData><SqlTaskData SqlStatementSource="TRUNCATE TABLE dbo.large; TRUNCATE TABLE dbo.small;"/></DTS:ObjectData></DTS:Executable>
+    <DTS:Executable DTS:refId="Package\\load" DTS:ObjectName="load" DTS:ExecutableType="Microsoft.Pipeline">
+      <DTS:ObjectData><pipeline><components>
+        <component refId="src" name="src" componentClassID="Microsoft.ADONETSource">
+          <properties><property name="SqlCommand">SELECT o_orderkey, o_custkey, o_totalprice FROM dbo.orders</property></properties>
+          <connections><connection connectionManagerID="{7}" connectionManagerRefId="Package.ConnectionManagers[dw]" name="c"/></connections>
+          <outputs><output refId="src.Outputs[out]" name="out"/></outputs>
+        </component>
+        <component refId="split" name="split" componentClassID="Microsoft.ConditionalSplit">
+          <outputs><output name="large"><properties><property name="FriendlyExpression">o_totalprice &gt;= @[User::low]</property><property name="EvaluationOrder">0</property></properties></output><output name="small"/></outputs>
+        </component>
+        <component refId="a" name="a" componentClassID="Microsoft.OLEDBDestination"><properties><property name="OpenRowset">dbo.large</property></properties></component>
+        <component refId="b" name="b" componentClassID="Microsoft.OLEDBDestination"><properties><property name="OpenRowset">small</property></properties></component>
+      </components><paths><path startId="src.Outputs[out]" endId="split.Inputs[in]"/><path startId="split.Outputs[large]" endId="a.Inputs[in]"/><path startId="split.Outputs[small]" endId="b.Inputs[in]"/></paths></pipeline></DTS:ObjectData>
+    </DTS:Executable>
+  </DTS:Executables>
+  <DTS:PrecedenceConstraints><DTS:PrecedenceConstraint DTS:From="Package\\clear" DTS:To="Package\\load"/></DTS:PrecedenceConstraints>
+</DTS:Executable>"""
+
+
+@query("SELECT CASE WHEN o_totalprice >= 100000 THEN 'large' ELSE 'small' END AS kind, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
+def package_file_flow(spark, sf):
+    """A package read from its XML: a batch that empties two tables, then a flow that splits orders between them."""
+    orders = t(spark, sf, "orders")
+    none = orders.select("o_orderkey", "o_custkey", "o_totalprice").limit(3)
+    r = _registry(spark, orders=orders, large=none, small=none)
+    states = Runner(r, RunContext({}, NOW)).run(load_package(SALES))
+    if set(states.values()) != {"succeeded"}:
+        raise RuntimeError(f"the package ended with {states}")
+    return rows.union_all([r.table(k).agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("customers")) for k in ("large", "small")])
+
+
+@query("SELECT r_regionkey AS region, CASE WHEN r_regionkey % 2 = 0 THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS handled, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def sequence_handlers(spark, sf):
+    """For each region a package with a sequence container that counts its nations; those of even regions fail then, which a handler notes."""
+    out = []
+    for k in [r.r_regionkey for r in t(spark, sf, "region").collect()]:
+        r = _registry(spark, nation=t(spark, sf, "nation"), noted=spark.createDataFrame([], "k int"))
+        count = Task("count", "execute_sql", sql="SELECT count(*) AS n FROM nation WHERE n_regionkey = ?", parameters=[(0, "User::k")], results=[("n", "User::n")])
+        then = Task("then", "execute_sql", sql="EXEC dbo.none" if k % 2 == 0 else "SELECT 1 AS one")
+        inside = Task("all", "sequence", children=[count, then], constraints=[Constraint("count", "then")])
+        note = Task("note", "execute_sql", sql="INSERT INTO noted VALUES (?)", parameters=[(0, "User::k")])
+        ctx = RunContext({"User::k": k}, NOW)
+        states = Runner(r, ctx).run(Package("p", tasks=[inside], handlers={"OnError": [note]}))
+        out.append((k, states["all"], r.table("noted").count(), ctx.variables["User::n"]))
+    return spark.createDataFrame(out, "region int, state string, handled long, n long")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT s_nationkey) AS nations FROM supplier")
+def file_system_copy(spark, sf):
+    """File system tasks make a folder, copy a table's files into it, move them on and delete what is left."""
+    path = scratch(spark)
+    t(spark, sf, "supplier").write.parquet(f"{path}/a")
+    step = lambda operation, source, target="": Task(f"{operation} {source}", "file_system", properties={"operation": operation, "source": f"{path}/{source}", "target": f"{path}/{target}"})
+    tasks = [step("create_directory", "b"), step("copy_directory", "a", "b/copy"), step("move_directory", "b/copy", "c"), step("delete_directory", "a")]
+    states = Runner(_registry(spark), RunContext({}, NOW)).run(Package("p", tasks=tasks, constraints=[Constraint(x.name, y.name) for x, y in zip(tasks, tasks[1:], strict=False)]))
+    if set(states.values()) != {"succeeded"}:
+        raise RuntimeError(f"the tasks ended with {states}")
+    return spark.read.parquet(f"{path}/c").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_nationkey").alias("nations"))

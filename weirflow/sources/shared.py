@@ -28,3 +28,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of a table in fewer splits than there are cores, dealt to all cores before costly work on each row.
+
+    A file with one row group is read by one task however large it is. Only plain scans are dealt out, and only where they
+    have so few splits; large tables have many, and stay as they are.
+    """
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString() or int(str(run.optimizedPlan().stats().sizeInBytes())) < least_bytes:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
