@@ -97,4 +97,29 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    # The CRC-32 of each feature byte by byte, from a table that the first rows make.
+    "op12_importance_resampling": r"""
+        WITH steps AS (
+            SELECT list(c ORDER BY n) AS t FROM (
+                SELECT n, list_reduce([n] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+        texts AS (SELECT 1 AS corpus, doc_id, text FROM documents UNION ALL SELECT 0, item_id, text FROM benchmark),
+        words AS (
+            SELECT corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        runs AS (
+            SELECT corpus, doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS f FROM words, range(1, 4) s(k)),
+        counted AS (SELECT corpus, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
+        hashed AS (
+            SELECT f, xor(list_reduce([4294967295] || list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM counted)), steps),
+        cells AS (SELECT corpus, doc_id, bucket, n FROM counted JOIN hashed USING (f)),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (corpus = 1), 0) AS s, coalesce(sum(n) FILTER (corpus = 0), 0) AS t FROM cells GROUP BY 1),
+        totals AS (SELECT sum(s) AS total_s, sum(t) AS total_t FROM sums),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (total_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (total_t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, totals),
+        weights AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight FROM words
+            LEFT JOIN (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM cells JOIN gains USING (bucket) WHERE corpus = 1 GROUP BY 1) USING (doc_id) WHERE corpus = 1),
+        scored AS (
+            SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score, n_words >= 20 AS able FROM weights),
+        placed AS (SELECT *, CASE WHEN able THEN row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (able) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM placed""",
 }
