@@ -109,6 +109,13 @@ def test_inserts_add_files_only(r, tmp_path):
     assert r.tables["t"][0] == before and len(r.tables["t"]) == 3 and len(rows(r)) == 5
 
 
+def test_select_into_makes_a_table(r):
+    r.sql("SELECT a, (SELECT max(b) FROM s) AS top INTO dbo.made FROM t WHERE a IS NOT NULL")
+    assert rows(r, "dbo.made") == [(1, 400), (2, 400)]
+    with pytest.raises(ValueError, match="there already"):
+        r.sql("SELECT 1 AS a INTO t")
+
+
 def test_identity_numbers_new_rows(r, spark):
     r.put("log", spark.createDataFrame([(5, "x")], "id long, what string"))
     r.identities["log"] = "id"

@@ -129,7 +129,8 @@ def _record_hashes(source: DataFrame, target: DataFrame, keys: list[str], column
     """The keys of either side with the hashes of their records, ``_a`` and ``_b``; of rows with equal keys the largest."""
     columns = columns or [c for c in source.columns if c not in keys]
     names = [f"_k{i}" for i in range(len(keys))]
-    side = lambda d, of, n: d.groupBy(*[F.col(k).alias(f"{of}{x}") for k, x in zip(keys, names, strict=True)]).agg(F.max(record_hash(columns)).alias(n))
+    number = F.conv(record_hash(columns), 16, 10).cast("decimal(20,0)")  # of fixed width, so that hash aggregates hold it
+    side = lambda d, of, n: d.groupBy(*[F.col(k).alias(f"{of}{x}") for k, x in zip(keys, names, strict=True)]).agg(F.max(number).alias(n))
     return _matched(side(source, "", "_a"), side(target, "r", "_b"), names), names
 
 

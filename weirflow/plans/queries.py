@@ -890,7 +890,7 @@ def _entries(spark, sf):
     return t(spark, sf, "part").select(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_partkey").alias("name"), F.col("p_type").alias("kind"), F.concat(F.lit("Sales of "), F.col("p_name")).alias("description"), tags.alias("tags"))
 
 
-@query("SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_type AS kind FROM part WHERE contains(lower(p_name), 'ring') AND p_type = 'SMALL' AND p_brand = 'Brand#4'")
+@query("SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_type AS kind FROM part WHERE contains(lower(p_name), 'ring') AND (p_type = 'SMALL' OR contains(lower(p_name), 'small')) AND p_brand = 'Brand#4'")
 def catalog_search(spark, sf):
     return metadata.catalog_search(_entries(spark, sf), "RING of sales small", ["Brand#4"]).select("name", "kind")
 

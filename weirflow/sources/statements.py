@@ -288,6 +288,15 @@ class Session:
             if row is not None:
                 self.variables |= {name: row[k] for k, (name, _) in enumerate(given)}
             return None
+        if body[0].key == "SELECT":  # SELECT .. INTO makes a table
+            r = Reader(body)
+            head = r.until("INTO", "FROM")
+            if r.skip("INTO"):
+                name = r.name()
+                if self.registry.key(name) in self.registry.tables:
+                    raise ValueError(f"{name} is there already")
+                self.registry.put(name, self.run(self.text([*head, *r.rest()])))
+                return None
         return self.run(self.text(body))
 
     def declare(self, r: Reader) -> None:
