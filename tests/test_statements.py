@@ -88,7 +88,7 @@ def test_refused_statements_change_nothing(r, sql):
 
 
 def test_queries(r):
-    assert r.sql("SELECT TOP 1 o.[order name] FROM stg.orders o WHERE stg.orders.id IS NULL OR o.id = 1".replace("stg.orders.id IS NULL OR ", "")).first()[0] == "x y"
+    assert r.sql("SELECT TOP 1 o.[order name] FROM stg.orders o WHERE o.id = 1").first()[0] == "x y"
     assert r.sql("SELECT stg.orders.id FROM stg.orders").first()[0] == 1
     assert r.sql("WITH q AS (SELECT ISNULL(a, -1) AS a FROM t WITH (NOLOCK)) SELECT min(a) AS a FROM q").first()[0] == -1
 
@@ -98,8 +98,8 @@ def test_procedures_get_and_give(r):
     args = [3, None]
     r.sql("EXEC log.write ?, 4, ? OUTPUT", args)
     assert args == [3, 7]
-    r.sql("DECLARE @r int, @t int; EXEC @r = log.write @b = 1, @a = 2, @t = @t OUTPUT; UPDATE t SET b = @r WHERE a = 1".replace(", @t = @t OUTPUT", ""))
-    assert (1, 7, "a") in rows(r)
+    r.sql("DECLARE @r int, @t int; EXEC @r = log.write @b = 1, @a = 2, @total = @t OUTPUT; UPDATE t SET b = @r + @t WHERE a = 1")
+    assert (1, 10, "a") in rows(r)  # 7 and 3
 
 
 def test_inserts_add_files_only(r, tmp_path):

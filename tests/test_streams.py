@@ -22,9 +22,9 @@ def feed(spark, tmp_path):
         def add(self, rows):
             spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(self.source)
 
-        def run(self, checkpoint, buckets=8):
+        def run(self, checkpoint, buckets=8, **more):
             stream = stream_files(spark, self.source, spark.createDataFrame([], KIND).schema)
-            q = apply_changes(stream, self.target, ["k"], ["lsn"], str(tmp_path / checkpoint), self.schema, "op", buckets=buckets)
+            q = apply_changes(stream, self.target, ["k"], ["lsn"], str(tmp_path / checkpoint), self.schema, "op", buckets=buckets, **more)
             q.awaitTermination()
 
         def rows(self):
@@ -73,6 +73,19 @@ def test_a_batch_that_comes_again_changes_nothing(feed, spark, tmp_path):
     assert TableLog(spark, feed.target).latest() == version and feed.rows() == [(1, "a")]
 
 
+def test_marks_of_deleted_rows_go_in_time(feed, spark):
+    feed.add([(1, "a", 10, 2), (2, "a", 10, 2), (1, None, 20, 1)])
+    feed.run("ck", buckets=1, late=50)
+    marks = lambda: spark.read.parquet(*[f for f in feed.entry()["buckets"].values() if f]).filter("_deleted").count()
+    assert marks() == 1
+    feed.add([(1, "late", 15, 4), (3, "a", 100, 2)])  # behind its deletion
+    feed.run("ck", buckets=1, late=50)
+    assert feed.rows() == [(2, "a"), (3, "a")] and marks() == 0 and feed.entry()["high"] == 100
+    feed.add([(1, "too late", 15, 4), (4, "a", 60, 2)])  # the mark is gone, and so is what it kept away
+    feed.run("ck", buckets=1, late=50)
+    assert feed.rows() == [(2, "a"), (3, "a"), (4, "a")]
+
+
 def test_other_tables_of_the_warehouse_stay(feed, spark):
     r = Registry.open(spark, feed.target)
     r.put("dim", spark.range(3))

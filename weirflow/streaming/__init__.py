@@ -51,7 +51,7 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, schema: T.StructType, operation: str = "__$operation", name: str = "current", buckets: int = BUCKETS):
+def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, schema: T.StructType, operation: str = "__$operation", name: str = "current", buckets: int = BUCKETS, late: float | None = None):
     """Keep a table of current rows up to date with a stream of changes; the started query.
 
     The table is one of the warehouse ``target``, in ``buckets`` parts by a hash of the keys, of which a batch rewrites those
@@ -59,6 +59,8 @@ def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[s
     warehouse's log on, which also tells which batch of which query it was: a batch that is run again changes nothing, and
     another query, such as one with a new checkpoint, goes on from the table as it is. A deleted row stays as a mark with its
     place in the order: late or repeated changes that do not come after it are ignored. Null keys are keys like others.
+    With ``late``, a distance in the first column of the order, changes further behind the largest seen before their batch are
+    dropped, and so the marks of rows that were deleted so long ago go when their bucket is rewritten.
 
     ``current`` reads the newest version, as does a registry that opens the warehouse.
     """
@@ -72,6 +74,12 @@ def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[s
         entry = tables.get(name) or {"buckets": {str(k): None for k in range(buckets)}, "batches": {}}
         if number <= entry["batches"].get(query, -1):
             return
+        before, top = entry.get("high"), None
+        if late is not None:
+            top = batch.agg(F.max(F.col(f"`{order[0]}`").cast("double"))).first()[0]
+            top = max((x for x in (before, top) if x is not None), default=None)
+            if before is not None:
+                batch = batch.filter(F.col(f"`{order[0]}`").cast("double") >= before - late)
         n = len(entry["buckets"])
         bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(n)).cast("int")
         touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # as many as there are buckets at most
@@ -84,12 +92,15 @@ def apply_changes(stream: DataFrame, target: str, keys: list[str], order: list[s
         new = batch.join(seen, match, "left").filter(F.col("_seen").isNull() | (F.struct(*[F.col(c).alias(f"_at_{c}") for c in order]) > F.col("_seen")))
         new = new.select(*batch.columns).withColumns({f"_at_{c}": F.col(c) for c in order})
         out = cdc_apply(old.withColumn("_deleted", F.coalesce("_deleted", F.lit(False))), new, keys, order, operation, deleted="_deleted", tombstones=True)
+        if top is not None:
+            out = out.filter(~(F.col("_deleted") & (F.col(f"_at_{order[0]}").cast("double") < top - late)))
         path = f"{target.rstrip('/')}/{name}/{query}-{number}"
         out.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(path)
-        # Only buckets with rows have a folder: a change of before an update leaves none in a bucket of its own.
+        # Only buckets with rows have a folder.
         made = {r[0] for r in spark.read.parquet(path).select("_bucket").distinct().collect()} if touched else set()
-        entry["buckets"] |= {str(k): f"{path}/_bucket={k}" for k in touched if k in made}
+        entry["buckets"] |= {str(k): f"{path}/_bucket={k}" if k in made else None for k in touched}
         entry["batches"][query] = number
+        entry |= {"high": top} if top is not None else {}
         entry |= {"schema": json.loads(state.json()), "columns": schema.names}
         while True:
             try:
