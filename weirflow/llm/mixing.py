@@ -122,8 +122,8 @@ def posterior(logits: list[Column]) -> list[Column]:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_cols: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with its struct column ``mix``: tokens, p (posterior of each domain, 0 before 1), rate, chance.
 
-    A column of that name, in whatever case, is replaced. ``chance`` is a number from 0 to 1 that is drawn once for each row
-    and written, from its id and its place, so rows without an id and rows that share one have chances of their own.
+    A column of that name, in whatever case, is replaced. ``chance`` is a number from 0 to 1 that each row gets by its
+    place and that is written, so rows without an id and rows that share one have chances of their own.
 
     Targets are weights of the domains; they are scaled to one, and the total to the tokens there are. Where no rates
     meet them, the rates of the least loss are given, and a RuntimeWarning names each domain that is off and by how much.
@@ -139,7 +139,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None =
     base = docs.select(keep.alias("_doc"), buckets(F.col(text_col)).alias("_b"), tokens(F.col(text_col)).alias("_n"))
     base = base.select("_doc", "_n", *[x.alias(f"_q{k}") for k, x in enumerate(odds(models), 1)])
     shares = posterior([F.col(f"_q{k}") for k in range(1, len(domains))])
-    chance = F.pmod(F.xxhash64(F.lit(11), F.col(f"_doc.`{id_col}`"), F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Steps of the golden section from row to row of a task are spread evenly, whatever run of rows or every nth one is taken.
+    row, turn = F.monotonically_increasing_id(), F.lit(1 << 32)
+    chance = F.pmod(row.bitwiseAND((1 << 31) - 1) * F.lit(2654435769) + F.pmod(F.xxhash64(F.lit(11), F.shiftright(row, 33)), turn), turn) / turn.cast("double")
     scored, _ = written(base.select("_doc", "_n", *[p.alias(f"_p{k}") for k, p in enumerate(shares)], chance.alias("_chance")), "mix-scored")
     ps = [F.col(f"_p{k}") for k in range(len(domains))]
 
@@ -158,15 +160,15 @@ def inverse(curvature: np.ndarray, mass: np.ndarray) -> np.ndarray:
 def solve(state: DataFrame, ps: list[Column], weights: list[float], domains: list[tuple], rounds: int) -> list[tuple[list[float], float]]:
     """The steps, each a pull by domain and a momentum, that take rates of one to those that meet the weights.
 
-    A step by the free documents' curvature that makes the loss larger is taken back. The steps end at the rates of the
-    least loss that were met.
+    A step by the free documents' curvature may make the loss larger, and often leads on from there. Where the targets are
+    not met the steps end at the rates of the least loss on the way.
     """
     spark, count = state.sparkSession, len(ps)
     cells = [(i, j) for i in range(count) for j in range(i, count)]
     sums = [F.sum(F.col("_n") * p * F.col("_y")).alias(f"s{k}") for k, p in enumerate(ps)]
     free = [F.sum(F.when(F.col("_y") > 0, F.col("_n") * ps[i] * ps[j])).alias(f"h{i}_{j}") for i, j in cells]
     history: list[tuple[list[float], float]] = []
-    momentum, paths, wait, lowest, last, pull, fast, saved, best = 1.0, [], 0, 0.0, None, np.zeros(count), False, None, None
+    momentum, path, wait, lowest, last, pull, best = 1.0, None, 0, 0.0, None, np.zeros(count), None
     for t in range(rounds + 1):
         row = state.agg(F.sum("_n").alias("n"), F.min(dot(ps, pull)).alias("down"), *sums, *free).first()
         if not row["n"]:
@@ -187,41 +189,35 @@ def solve(state: DataFrame, ps: list[Column], weights: list[float], domains: lis
             lowest = max(lowest, last - pull @ before - max(0.0, -row["down"]) * bound)
         error = got - goal
         loss = float(error @ metric @ error) / 2
-        if fast and loss > last:
-            state, error, curvature = saved
-            history.pop()
-            wait, momentum = PLAIN_ROUNDS, 1.0
-        else:
-            if fast and last is not None and loss > last / 2:
-                wait, momentum = PLAIN_ROUNDS, 1.0
-            elif last is not None and loss > last:
-                momentum = 1.0
-            pull, before, last = metric @ error, got, loss
-            if best is None or loss < best[0]:
-                best = loss, len(history), got
-            if (abs(error) <= may).all():
-                best = loss, len(history), got
-                break
+        pull, before = metric @ error, got
+        met = (abs(error) <= may).all()
+        if best is None or met or loss < best[0]:
+            best = loss, len(history), got
+        if met:
+            break
         least = best[0] <= 1e-15 * total or best[0] - lowest <= LEAST * best[0]
         if least or t == rounds:
             off = ", ".join(f"{d}: {g / total:.3g} for {w / total:.3g}" for d, g, w, m in zip(domains, best[2], goal, may, strict=True) if abs(g - w) > m)
             warnings.warn(f"mixing: {'no rates meet all targets' if least else f'targets not met in {t} rounds'}; domains off, as shares of all tokens: {off}", RuntimeWarning, stacklevel=3)
             break
-        fast = wait == 0
+        if wait == 0 and last is not None and fast and loss > last / 2:
+            wait, momentum = PLAIN_ROUNDS, 1.0
+        elif last is not None and loss > last:
+            momentum = 1.0
+        fast, last = wait == 0, loss
         if fast:
             step, carry, momentum = inverse(curvature, mass) @ error, 0.0, 1.0
         else:
             after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
             step, carry, momentum, wait = pull, (momentum - 1) / after, after, wait - 1
-        saved = state, error, curvature
         history.append((step.tolist(), carry))
         state = stepped(state, ps, *history[-1])
         if t % WRITE_EVERY == WRITE_EVERY - 1:
             state, newer = written(state, "mix-rates")
-            paths.append(newer)
-            if len(paths) > 2:  # a step that is taken back goes on from the table before
-                drop_path(spark, paths.pop(0))
-    for path in paths:
+            if path:
+                drop_path(spark, path)
+            path = newer
+    if path:
         drop_path(spark, path)
     return history[: best[1]]
 
