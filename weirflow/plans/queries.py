@@ -108,7 +108,11 @@ def copy_column_mapping(spark, sf):
     return sources.map_columns(t(spark, sf, "nation").select("n_nationkey", "n_name"), ["N_NationKey", "N_Name"])
 
 
-@query()
+@query("""
+WITH d AS (SELECT row_number() OVER () AS k, column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS t FROM (DESCRIBE part))
+SELECT '{"table": "part", "connectionRef": "dw", "columns": [' || string_agg('{"name": "' || c || '", "dataType": "' || t || '", "length": 0, "precision": 0, "scale": 0}', ', ' ORDER BY k) || ']}' AS manifest,
+'CREATE TABLE `part` (' || string_agg('`' || c || '` ' || upper(t), ', ' ORDER BY k) || ') USING parquet' AS ddl_spark,
+'CREATE TABLE [part] (' || string_agg('[' || c || '] ' || CASE t WHEN 'string' THEN 'NVARCHAR(MAX)' WHEN 'double' THEN 'FLOAT' ELSE upper(t) END, ', ' ORDER BY k) || ')' AS ddl_sql FROM d""")
 def ddl_manifest(spark, sf):
     schema = t(spark, sf, "part").schema
     return spark.createDataFrame([(sources.manifest("part", "dw", schema), ddl("part", schema), ddl("part", schema, "sql"))], "manifest string, ddl_spark string, ddl_sql string")
