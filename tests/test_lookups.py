@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.operators import joins, rows
 
@@ -38,3 +39,45 @@ def test_row_sampling_keeps_rows_that_share_a_key(spark):
     out = rows.row_sampling(df, "k", 2)
     both = [tuple(r) for part in out.values() for r in part.collect()]
     assert out["selected"].count() == 2 and sorted(both, key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def best_of_block(left, right, block, least, top):
+    out = []
+    for x in left:
+        scored = sorted((-similarity(x, y), y) for y in set(right) if block(x) == block(y))
+        out += [(x, y, round(-s, 9)) for s, y in scored[:top] if -s >= least]
+    return sorted(out)
+
+
+def lookup_in_blocks(spark, left, right, block, least, top):
+    df, ref = (spark.createDataFrame([(x,) for x in values], f"{name} string") for values, name in ((left, "name"), (right, "ref")))
+    got = joins.fuzzy_lookup(df, ref, "name", "ref", block=block, min_similarity=least, top=top)
+    return sorted((r["name"], r["_match"], round(r["_similarity"], 9)) for r in got.collect())
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_fuzzy_lookup_in_a_block_does_not_try_all_pairs(spark, monkeypatch, back):
+    """Names that differ in a few characters of a number find their best without being held against their whole block."""
+    tried = []
+    whole_block = joins.block_pairs
+    monkeypatch.setattr(joins, "block_pairs", lambda a, b: tried.append(a.count()) or whole_block(a, b))
+    turn = (lambda x: x) if back else (lambda x: x[::-1])
+    left = [turn(f"Customer#{k:09}") for k in range(0, 40000, 97)]
+    right = [turn(f"Supplier#{k:09}") for k in range(600)]
+    at = (lambda x: x[-1:]) if back else (lambda x: x[:1])
+    got = lookup_in_blocks(spark, left, right, lambda c: F.right(c, F.lit(1)) if back else F.left(c, F.lit(1)), 0.4, 1)
+    assert not tried and got == best_of_block(left, right, at, 0.4, 1)
+
+
+@pytest.mark.parametrize(("seed", "least", "top", "letters", "tail"), [(1, 0.4, 1, "ab", "-end"), (2, 0.2, 3, "abc", ""), (3, 0.5, 2, "ab\U0001f600é", "xyxyxy"), (4, 0.9, 1, "abcdefgh", "000#"), (5, 0.1, 1, "a", "aab")])
+def test_fuzzy_lookup_in_blocks_misses_nothing(spark, seed, least, top, letters, tail):
+    rng = random.Random(seed)
+
+    def word(longest):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+
+    left = sorted({word(7) + rng.choice([tail, tail[::-1], tail[1:], word(4)]) for _ in range(90)} | {"", "lone"})
+    right = sorted({word(7) + tail for _ in range(50)} | ({"", word(14)} if seed % 2 else set()))
+    got = lookup_in_blocks(spark, left, right, lambda c: F.length(c) % 2, least, top)
+    assert got == best_of_block(left, right, lambda x: len(x) % 2, least, top)
+    assert lookup_in_blocks(spark, left, [None], lambda c: F.length(c) % 2, least, top) == []

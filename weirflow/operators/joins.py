@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,18 +141,124 @@ def similar(a: DataFrame, b: DataFrame, min_similarity: float) -> DataFrame:
     return scored.filter(F.col("_similarity") >= min_similarity).distinct()
 
 
+#: Different ends at which heads are looked up, at best and at most, and the most keys of one head and depth.
+FEW_ENDS, MOST_ENDS, HEAD_KEYS = 8, 64, 64
+
+
+def _cut_place(b: DataFrame) -> tuple[int, bool] | None:
+    """After how many characters, and whether from the back, ``_match`` is cut so that few different ends are left."""
+    longest = b.agg(F.max(F.length("_match"))).first()[0]
+    if longest is None:
+        return None
+    words = b.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("_match").alias("w")), F.struct(F.lit(True).alias("back"), F.reverse("_match").alias("w")))).alias("x")).select("x.*")
+    cuts = words.select("back", "w", F.explode(F.sequence(F.lit(0), F.lit(min(longest, HEAD_KEYS)))).alias("place"))
+    ends = cuts.select("back", "place", F.length("w").alias("n"), F.xxhash64(F.substr("w", F.col("place") + 1)).alias("end")).distinct()
+    found = ends.groupBy("place", "back").count().filter(F.col("count") <= MOST_ENDS).collect()
+    # With few ends a shorter head is better; a long one has too many keys.
+    best = min(found, key=lambda r: (r["count"] > FEW_ENDS or comb(r["place"], 2) > HEAD_KEYS, r["place"], r["back"]), default=None)
+    return (best["place"], best["back"]) if best else None
+
+
+def _with_fewer(word: Column, most: int) -> Column:
+    """A word, and what is left of it without each one of its characters, up to ``most`` of them."""
+    one_less = lambda w: _span(F.lit(1), F.length(w), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)), "string")
+    out = F.array(word)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one_less))))
+    return out
+
+
+def block_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of ``_value`` and ``_match`` of one block, with ``_similarity``."""
+    return a.join(b, "_block").select("_value", "_match", similarity(F.col("_value"), F.col("_match")).alias("_similarity"))
+
+
+def nearest(a: DataFrame, b: DataFrame, min_similarity: float, top: int = 1) -> DataFrame:
+    """Pairs of ``_value`` and ``_match`` of one ``_block`` with ``_similarity``: of each value the ``top`` best and their ties.
+
+    The reference values are cut into heads and the few different ends that they have, as the name of a table and zeros. An
+    edit distance is the sum of two for some place to cut the value. The one to the end is known for every end and place,
+    and is most of it where all ends differ from the value's. So few edits are left for the head, which is looked up by
+    what is left of both heads without so many characters. A first round seeks what is as near as the ends let it be, the
+    next ones an edit more; a value is done when it has found ``top`` that near. Values that leave the head more edits than
+    the keys have are held against their whole block.
+    """
+    cut = _cut_place(b)
+    if cut is None:
+        return block_pairs(a, b).filter(F.col("_similarity") >= min_similarity)
+    place, back = cut
+    depth = max(n for n in range(3) if comb(place, n) <= HEAD_KEYS)
+    word = lambda c: F.reverse(c) if back else F.col(c)
+    parted = b.select("_block", "_match", F.length("_match").alias("n"), F.substr(word("_match"), F.lit(1), F.lit(place)).alias("head"), F.substr(word("_match"), F.lit(place + 1)).alias("end"))
+    ends = parted.select("n", "end").distinct().collect()
+    index = kept(parted.select("_block", "_match", "n", "end", F.explode(_with_fewer(F.col("head"), depth)).alias("key")), "heads")
+    every = F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["end"]).alias("end"), F.lit(len(r["end"])).alias("size"), F.lit(min(place, r["n"])).alias("cut")) for r in ends])
+    own, size = F.col("_word"), F.col("_size")
+    to_end = lambda e, at: F.levenshtein(F.substr(own, at + 1), e["end"])
+    longest = lambda e: F.greatest(size, e["n"])
+
+    def tries(e: Column) -> Column:
+        """The places to cut a value for one end, and the edits that they leave for the head."""
+        far = lambda at: F.abs(at - e["cut"])
+        every_place = F.sequence(F.greatest(F.lit(0), e["cut"] - e["most"]), F.greatest(F.lit(0), F.least(size, e["cut"] + e["most"])))
+        places = F.filter(every_place, lambda at: (at <= size) & (far(at) + F.abs(size - at - e["size"]) <= e["most"]))
+        left = F.transform(places, lambda at: F.struct(e["n"].alias("n"), e["end"].alias("end"), at.alias("at"), (e["most"] - to_end(e, at)).alias("edits")))
+        return F.filter(left, lambda x: x["edits"] >= far(x["at"]))
+
+    fields = ("n", "end", "size", "cut")
+    costs = F.transform(every, lambda e: F.struct(*[e[f].alias(f) for f in fields], to_end(e, e["cut"]).alias("cost")))
+    values = spread(kept(a.select("_block", "_value", word("_value").alias("_word"), F.length("_value").alias("_size")), "values"), 0)
+    todo = kept(values.withColumn("_ends", costs), "costs")
+    most = lambda e: F.floor((1 - F.col("_least")) * longest(e) + F.lit(1e-9)).cast("int")
+    able = F.filter(F.transform("_ends", lambda e: F.struct(*[e[f].alias(f) for f in (*fields, "cost")], most(e).alias("most"))), lambda e: e["cost"] <= e["most"])
+    bound = F.array_max(F.transform("_ends", lambda e: 1 - e["cost"] / F.greatest(longest(e), F.lit(1))))
+    step = 1 / F.greatest(size, F.lit(max(r["n"] for r in ends)), F.lit(1))
+    known, wide = [], []
+    for more in range(depth + 1):
+        least = spread(todo, 0).withColumn("_least", F.greatest(bound - more * step, F.lit(float(min_similarity))))
+        tried = kept(least.withColumn("_tries", F.flatten(F.transform(able, tries))), "tries")
+        too_many = F.exists("_tries", lambda x: x["edits"] > depth)
+        wide.append(tried.filter(too_many).select("_block", "_value"))
+        sought = tried.filter(~too_many)
+        probes = sought.select("_block", "_value", "_word", "_least", F.explode("_tries").alias("t")).select("_block", "_value", "_least", "t.n", "t.end", "t.edits", F.substr("_word", F.lit(1), F.col("t.at")).alias("head"))
+        keys = F.when(F.col("edits") == 0, F.array("head"))
+        for n in range(1, depth + 1):
+            keys = keys.when(F.col("edits") == n, _with_fewer(F.col("head"), n))
+        probes = probes.withColumn("key", F.explode(keys)).select("_block", "_value", "_least", "n", "end", "key")
+        # As files heads are far smaller than in memory, so the optimizer would broadcast them.
+        pairs = probes.join(index.hint("merge"), ["_block", "n", "end", "key"]).select("_value", "_match", "_least").distinct()
+        scored = pairs.withColumn("_similarity", similarity(F.col("_value"), F.col("_match"))).filter((F.col("_similarity") >= F.col("_least") - 1e-12) & (F.col("_similarity") >= min_similarity))
+        counted = scored.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_value")))
+        hits = kept(counted.filter((F.col("_n") >= top) | (F.col("_least") <= min_similarity)).select("_value", "_match", "_similarity"), "hits")
+        known.append(hits)
+        open_ = sought.filter(F.col("_least") > min_similarity).join(hits.select("_value").distinct(), "_value", "left_anti")
+        todo = kept(open_.select("_block", "_value", "_word", "_size", "_ends"), "costs")
+        if todo.isEmpty():
+            break
+    wide.append(todo.select("_block", "_value"))
+    out = known[0]
+    for hits in known[1:]:
+        out = out.unionByName(hits)
+    rest = wide[0]
+    for more in wide[1:]:
+        rest = rest.unionByName(more)
+    rest = kept(rest, "rest")
+    if rest.isEmpty():
+        return out
+    return out.unionByName(block_pairs(spread(rest, 0), b).filter(F.col("_similarity") >= min_similarity))
+
+
 def fuzzy_lookup(df: DataFrame, ref: DataFrame, column: str, ref_column: str, block=None, ref_block=None, min_similarity: float = 0.5, top: int = 1) -> DataFrame:
     """The most similar reference values of each row: ``_match``, ``_similarity``.
 
     Every value is held against every reference value that shares a segment with it, which all do that are similar enough.
-    Where ``block`` makes a block's name from a value, only values of one block are compared. Equal values are looked up
-    once and all their rows stay. Null values match nothing; ties go to the smaller value.
+    Where ``block`` makes a block's name from a value, only values of one block are compared, see ``nearest``. Equal values
+    are looked up once and all their rows stay. Null values match nothing; ties go to the smaller value.
     """
     a = df.select(F.col(column).alias("_value")).filter("_value IS NOT NULL").distinct()
     b = ref.select(F.col(ref_column).alias("_match")).filter("_match IS NOT NULL").distinct()
     if block:
-        pairs = a.withColumn("_block", block(F.col("_value"))).join(b.withColumn("_block", (ref_block or block)(F.col("_match"))), "_block")
-        scored = pairs.select("_value", "_match", similarity(F.col("_value"), F.col("_match")).alias("_similarity")).filter(F.col("_similarity") >= min_similarity)
+        scored = nearest(a.withColumn("_block", block(F.col("_value"))), b.withColumn("_block", (ref_block or block)(F.col("_match"))), min_similarity, top)
     else:
         scored = similar(a, b, min_similarity)
     best = Window.partitionBy("_value").orderBy(F.desc("_similarity"), "_match")
